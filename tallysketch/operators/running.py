@@ -2,7 +2,8 @@
 
 Rows are cut into blocks of ``2**bits`` consecutive order values.  Each block is aggregated once, block totals are cut
 into blocks again, and every row adds the total of the earlier blocks to a running value inside its own block.  With
-unique order values no task ever sees more than ``2**bits`` rows of one window, however large or skewed the groups are.
+unique order values no window over rows ever holds more than ``2**bits`` of them, however large or skewed the groups
+are; the topmost window holds one row per ``2**(bits * (levels - 1))`` rows of a group.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
-LEVELS = 3
+LEVELS = 2
 
 
 def _combine(kind: str, column: Column | str) -> Column:
@@ -65,7 +66,11 @@ def running(
     }
     # One struct key: two NULL group values inside it compare equal, so no group is lost in the join.
     group = F.struct(*by) if by else F.lit(0)
-    tagged = df.withColumns({"__group": group, "__block": F.shiftright(F.col(order).cast("bigint"), bits), **filled})
+    position = F.col(order).cast("bigint")
+    checked = F.when(position.isNull(), F.raise_error(F.lit(f"{order} must not be NULL")).cast("bigint")).otherwise(position)
+    # A block that cannot be NULL needs no filter before the joins, so both readers of the totals share one exchange.
+    block = F.coalesce(F.shiftright(checked, bits), F.lit(0).cast("bigint"))
+    tagged = df.withColumns({"__group": group, "__block": block, **filled})
 
     totals = tagged.groupBy("__group", "__block").agg(
         *[_combine(kind, f"__value{i}").alias(f"__total{i}") for i in range(n)]

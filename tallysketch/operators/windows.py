@@ -17,10 +17,15 @@ SALTS = 32
 RESULT_BYTES = 4
 
 
+def packet_tuples(packets: DataFrame) -> DataFrame:
+    """Non-empty packets with a ``tuples`` column: whole keys per packet, unless the input brings its own."""
+    used = packets.where(is_not_empty(F.col("length")))
+    return used if "tuples" in used.columns else used.withColumn("tuples", tuples_in_packet(F.col("length")))
+
+
 def running_tuples(packets: DataFrame, by: Sequence[str] = (), out: str = "running", bits: int = BLOCK_BITS) -> DataFrame:
     """Running count of whole keys over the non-empty packets, in ``seq`` order."""
-    used = packets.where(is_not_empty(F.col("length")))
-    return running(used, "seq", {out: tuples_in_packet(F.col("length"))}, by, bits=bits)
+    return running(packet_tuples(packets), "seq", {out: F.col("tuples")}, by, bits=bits)
 
 
 def run_ids(
@@ -37,22 +42,29 @@ def _closed_windows(closing: DataFrame, by: Sequence[str], bits: int) -> DataFra
     return ranked.where(F.col("__nth") == F.col("__number")).groupBy(*by).agg(F.max("__number").alias("__closed"))
 
 
-def _with_closed(rows: DataFrame, closed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach each group's ``__closed`` to its rows without sending a large group to one task."""
+def attach_group_value(
+    rows: DataFrame, values: DataFrame, by: Sequence[str], column: str, spread: str = "seq"
+) -> DataFrame:
+    """Add each group's ``column`` from ``values`` (one row per group) to its rows, NULL where the group is missing.
+
+    Copies of ``values`` meet slices of the rows cut by the integer column ``spread``, so a group holding most of the
+    rows is not sent to one task.
+    """
     if not by:
-        # A global aggregate is exactly one row, whatever the input size.
-        return rows.join(F.broadcast(closed.withColumn("__all", F.lit(0))), F.col("__all") == 0, "left").drop("__all")
-    copies = closed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("__salt", F.pmod(F.col("seq"), F.lit(SALTS)).cast("int"))
-    same = [salted[c].eqNullSafe(copies[c]) for c in by] + [salted["__salt"] == copies["__salt"]]
-    condition = same[0]
-    for term in same[1:]:
-        condition = condition & term
-    return salted.join(copies, condition, "left").select(*[salted[c] for c in rows.columns], copies["__closed"])
+        # A global aggregate is exactly one value, whatever the input size.
+        return rows.withColumn(column, values.select(column).scalar())
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__slice")
+    names = [f"__group{i}" for i in range(len(by))]
+    copies = values.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col(column).alias("__found"), slices)
+    condition = F.pmod(F.col(spread), F.lit(SALTS)) == F.col("__slice")
+    for c, n in zip(by, names):
+        condition = condition & F.col(c).eqNullSafe(F.col(n))
+    return rows.join(copies, condition, "left").select(*rows.columns, F.col("__found").alias(column))
 
 
 def count_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:
-    """Assign non-empty packets to windows of ``size`` keys; adds ``running``, ``window_id`` and ``closes``.
+    """Assign non-empty packets to windows of ``size`` keys; adds ``running``, ``window_id``, ``closes`` and
+    ``window_closed``.
 
     A window closes at the packet whose running count reaches its end exactly, and only after all earlier windows have
     closed; a packet belongs wholly to one window.  Once a window overshoots, it stays open for good.  ``by`` gives each
@@ -61,20 +73,31 @@ def count_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: i
     """
     if size < 1:
         raise ValueError(f"size must be positive, got {size}")
-    tuples = tuples_in_packet(F.col("length"))
     counted = running_tuples(packets, by, "running", bits)
     n = F.lit(size).cast("bigint")
-    ends_here = (tuples > 0) & (F.col("running") % n == 0)
+    ends_here = (F.col("tuples") > 0) & (F.col("running") % n == 0)
     number = F.call_function("div", F.col("running"), n)
     closing = counted.where(ends_here).select(*by, number.alias("__number"))
-    rows = _with_closed(counted, _closed_windows(closing, by, bits), by)
+    rows = attach_group_value(counted, _closed_windows(closing, by, bits), by, "__closed")
     series = F.coalesce(F.col("__closed"), F.lit(0).cast("bigint"))
     closes = ends_here & (number <= series)
+    window_id = F.least(number, series) + 1 - closes.cast("bigint")
+    return rows.select(
+        *counted.columns, window_id.alias("window_id"), closes.alias("closes"), (window_id <= series).alias("window_closed")
+    )
+
+
+def marked_windows(packets: DataFrame, by: Sequence[str] = (), last: str = "last", bits: int = BLOCK_BITS) -> DataFrame:
+    """Like ``count_windows``, but a window closes at every packet whose ``last`` flag is set."""
+    used = packet_tuples(packets)
+    numbered = run_ids(used, last=last, out="__earlier", by=by, bits=bits)
+    ends = used.groupBy(*by).agg(F.coalesce(F.sum(F.col(last).cast("bigint")), F.lit(0)).alias("__closed"))
+    rows = attach_group_value(numbered, ends, by, "__closed")
     return rows.select(
-        *counted.columns,
-        (F.least(number, series) + 1 - closes.cast("bigint")).alias("window_id"),
-        closes.alias("closes"),
-        (F.least(number, series) + 1 - closes.cast("bigint") <= series).alias("closed"),
+        *used.columns,
+        (F.col("__earlier") + 1).alias("window_id"),
+        F.col(last).alias("closes"),
+        (F.col("__earlier") < F.col("__closed")).alias("window_closed"),
     )
 
 
@@ -83,7 +106,7 @@ def estimate_windows(
 ) -> DataFrame:
     """Distinct-count estimate of every closed window of ``count_windows``."""
     group = [*by, "window_id"]
-    keys = windowed.where("closed").select(*group, F.explode("payload").alias("key"))
+    keys = windowed.where("window_closed").select(*group, F.explode("payload").alias("key"))
     registers = build_registers(keys, "key", p, hash, group)
     return estimate_registers(registers, p, get_hash(hash).width, group)
 
@@ -96,7 +119,7 @@ def payload_offsets(windowed: DataFrame, by: Sequence[str] = (), bits: int = BLO
 def window_results(windowed: DataFrame, estimates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Where each closed window's result goes: right behind its payload."""
     group = [*by, "window_id"]
-    ends = windowed.where("closed").groupBy(*group).agg(F.sum(F.col("length").cast("bigint")).alias("offset"))
+    ends = windowed.where("window_closed").groupBy(*group).agg(F.sum(F.col("length").cast("bigint")).alias("offset"))
     # Both sides hold one row per window; the union lines them up without a join.
     parts = ends.select(*group, "offset", F.lit(None).cast("double").alias("estimate")).unionByName(
         estimates.select(*group, F.lit(None).cast("bigint").alias("offset"), "estimate")

@@ -1,0 +1,46 @@
+"""Whole flows from a raw source to a written result."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.hashes import get_hash
+from ..operators.estimate import estimate_registers
+from ..operators.registers import build_registers
+from ..operators.sketch import approx_distinct
+from ..operators.windows import count_windows, estimate_windows, payload_offsets, run_ids, window_results
+from ..sources.extents import read_extent
+from ..sources.lines import unpack_lines
+from ..sources.sinks import write_result
+
+
+def estimate_extent(
+    spark: SparkSession, path: str, result_path: str, offset: int = 0, length: int | None = None, p: int = 16,
+    hash: str = "murmur3_64_h1",
+) -> None:
+    """Estimate the distinct keys of a raw byte range and append the result to ``result_path``."""
+    write_result(approx_distinct(read_extent(spark, path, offset, length), "key", p, hash), result_path)
+
+
+def estimate_runs(
+    lines: DataFrame, p: int = 16, hash: str = "murmur3_64_h1", padding: str = "drop", by: Sequence[str] = ()
+) -> DataFrame:
+    """Estimate every finished run of a line stream cut by ``last``: ``(by..., run_id, estimate, ...)``."""
+    group = [*by, "run_id"]
+    numbered = run_ids(lines, by=by)
+    finished = numbered.where("last").select(*group)
+    keys = unpack_lines(numbered, group, padding)
+    registers = build_registers(keys, "key", p, hash, group)
+    estimates = estimate_registers(registers, p, get_hash(hash).width, group)
+    return estimates.join(finished, group, "left_semi")
+
+
+def tee_windows(
+    packets: DataFrame, size: int, p: int = 16, hash: str = "murmur3_64_h1", by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Payloads with their offsets, and the result behind each closed window (rule ``'exact'``)."""
+    windowed = count_windows(packets, size, by)
+    payload = payload_offsets(windowed, by).select(*by, "window_id", "seq", "offset", "length", "payload")
+    return payload, window_results(windowed, estimate_windows(windowed, p, hash, by), by)
