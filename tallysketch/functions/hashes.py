@@ -12,13 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .u64 import add64, bits, low32, mul64, rotl64, xorshift
+from .u64 import FMIX_C1, FMIX_C2, add64, bits, fmix64, low32, mul64, rotl64
 
 # Fixed values of the hash definitions.
 MURMUR3_C1 = 0x87C37B91114253D5
 MURMUR3_C2 = 0x4CF5AD432745937F
-FMIX_C1 = 0xFF51AFD7ED558CCD
-FMIX_C2 = 0xC4CEB9FE1A85EC53
 MURMUR3_SEED = 0xBAADF00D
 KEY_LENGTH = 4
 SIP_V0 = 0x736F6D6570736575
@@ -67,17 +65,6 @@ def murmur3_32(key: Column) -> Column:
     return low32(F.hash(reinterpret_int(key)).cast("bigint"))
 
 
-def _fmix(df: DataFrame, *names: str) -> DataFrame:
-    def each(fn):
-        return df.withColumns({n: fn(F.col(n)) for n in names})
-
-    df = each(lambda x: xorshift(x, 33))
-    df = each(lambda x: mul64(x, FMIX_C1))
-    df = each(lambda x: xorshift(x, 33))
-    df = each(lambda x: mul64(x, FMIX_C2))
-    return each(lambda x: xorshift(x, 33))
-
-
 def _murmur3_words(df: DataFrame, key: str) -> DataFrame:
     """Add ``__h1`` and ``__h2``, the two words of Murmur3 x64-128 over the four key bytes."""
     seed = MURMUR3_SEED ^ KEY_LENGTH
@@ -86,7 +73,7 @@ def _murmur3_words(df: DataFrame, key: str) -> DataFrame:
     df = df.withColumn("__k", mul64(F.col("__k"), MURMUR3_C2))
     df = df.withColumn("__h1", add64(F.col("__k").bitwiseXOR(bits(seed)), bits(seed)))
     df = df.withColumn("__h2", add64(F.col("__h1"), bits(seed)))
-    df = _fmix(df, "__h1", "__h2")
+    df = fmix64(df, "__h1", "__h2")
     df = df.withColumn("__h1", add64(F.col("__h1"), F.col("__h2")))
     return df.withColumn("__h2", add64(F.col("__h1"), F.col("__h2"))).drop("__k")
 

@@ -8,13 +8,17 @@ result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK32 = (1 << 32) - 1
 MASK62 = (1 << 62) - 1
 MASK64 = (1 << 64) - 1
 
+# Fixed values of the 64-bit finalizer.
+FMIX_C1 = 0xFF51AFD7ED558CCD
+FMIX_C2 = 0xC4CEB9FE1A85EC53
+
 
 def bits(value: int) -> Column:
     """The low 64 bits of ``value`` as a BIGINT literal."""
@@ -74,3 +78,16 @@ def mul64(a: Column, k: int, *, narrow: bool = False) -> Column:
         if k_low >> 31:
             high = high + F.shiftleft(a_high.bitwiseAND(bits(1)), 31)
     return F.shiftleft(high, 32).bitwiseOR(low32(low))
+
+
+def fmix64(df: DataFrame, *names: str) -> DataFrame:
+    """Apply the 64-bit finalizer to columns in place, one projection per step."""
+
+    def each(fn):
+        return df.withColumns({n: fn(F.col(n)) for n in names})
+
+    df = each(lambda x: xorshift(x, 33))
+    df = each(lambda x: mul64(x, FMIX_C1))
+    df = each(lambda x: xorshift(x, 33))
+    df = each(lambda x: mul64(x, FMIX_C2))
+    return each(lambda x: xorshift(x, 33))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.hashes import get_hash
 from ..operators.estimate import estimate_registers
@@ -27,14 +28,17 @@ def estimate_extent(
 def estimate_runs(
     lines: DataFrame, p: int = 16, hash: str = "murmur3_64_h1", padding: str = "drop", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Estimate every finished run of a line stream cut by ``last``: ``(by..., run_id, estimate, ...)``."""
+    """Estimate every finished run of a line stream cut by ``last``: ``(by..., run_id, estimate)``."""
     group = [*by, "run_id"]
     numbered = run_ids(lines, by=by)
-    finished = numbered.where("last").select(*group)
-    keys = unpack_lines(numbered, group, padding)
+    keys = unpack_lines(numbered, [*group, "last"], padding)
     registers = build_registers(keys, "key", p, hash, group)
     estimates = estimate_registers(registers, p, get_hash(hash).width, group)
-    return estimates.join(finished, group, "left_semi")
+    # One row per run on both sides: the union keeps finished runs without any valid key.
+    ends = numbered.where("last").select(*group, F.lit(0.0).alias("estimate"), F.lit(True).alias("finished"))
+    both = estimates.select(*group, "estimate", F.lit(False).alias("finished")).unionByName(ends)
+    runs = both.groupBy(*group).agg(F.max("estimate").alias("estimate"), F.max("finished").alias("finished"))
+    return runs.where("finished").drop("finished")
 
 
 def tee_windows(

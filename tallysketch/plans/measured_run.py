@@ -44,7 +44,7 @@ def measured_run(
     """Sketch the keys 0..n-1 and report ``(hash, p, partitions, keys, exact, estimate, error_pct, bound_pct,
     out_of_range, collection_s, total_s, mb_per_s)``.
 
-    Collection is the register build alone; the total adds the estimate.
+    Collection is the register build alone; the total is a job that goes on to the estimate.
     """
     check_p(p)
     spec = get_hash(hash)
@@ -53,14 +53,13 @@ def measured_run(
     keys = naturals(spark, n, partitions=partitions)
     begin = time.perf_counter()
     counters = run_counters(keys, "key", p, spec.name)
-    collected = time.perf_counter()
-    registers = build_registers(keys, "key", p, spec)
-    estimate = estimate_registers(registers, p, spec.width).first()["estimate"]
-    total = (collected - begin) + (time.perf_counter() - collected)
-    collection = collected - begin
+    collection = time.perf_counter() - begin
+    begin = time.perf_counter()
+    estimate = estimate_registers(build_registers(keys, "key", p, spec), p, spec.width).first()["estimate"]
+    total = time.perf_counter() - begin
     row = [(
-        hash, p, keys.rdd.getNumPartitions() if partitions is None else partitions, counters.consumed, n,
-        estimate, collection, total, KEY_BYTES * n / collection / 1e6,
+        hash, p, partitions or spark.sparkContext.defaultParallelism, counters.consumed, n, estimate, collection, total,
+        KEY_BYTES * n / collection / 1e6,
     )]
     frame = spark.createDataFrame(
         row, "hash STRING, p INT, partitions INT, keys BIGINT, exact BIGINT, estimate DOUBLE, collection_s DOUBLE,"
