@@ -1,9 +1,12 @@
-"""Running aggregates over an ordered table without an unpartitioned window.
+"""Running aggregates over an ordered table without an unpartitioned window over its rows.
 
-Rows are cut into blocks of ``2**bits`` consecutive order values.  Each block is aggregated once, block totals are cut
-into blocks again, and every row adds the total of the earlier blocks to a running value inside its own block.  With
-unique order values no window over rows ever holds more than ``2**bits`` of them, however large or skewed the groups
-are; the topmost window holds one row per ``2**(bits * (levels - 1))`` rows of a group.
+Rows are cut into blocks of ``2**bits`` consecutive order values.  Each block is aggregated once, the block totals are
+accumulated, and every row adds the total of the earlier blocks to a running value inside its own block.  With unique
+order values no window over rows ever holds more than ``2**bits`` of them, however large or skewed the groups are.
+
+The window over block totals holds one row per block of a group: with order values that are dense, as in a numbered
+stream, one per 65,536 rows.  For sparse values ``levels`` cuts the totals into blocks again, each level dividing their
+number by ``2**bits``, at the price of one more join.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
-LEVELS = 2
+LEVELS = 1
 
 
 def _combine(kind: str, column: Column | str) -> Column:

@@ -51,7 +51,7 @@ def attach_group_value(
     rows is not sent to one task.
     """
     if not by:
-        # A global aggregate is exactly one value, whatever the input size.
+        # A single row, whatever the input size.
         return rows.withColumn(column, values.select(column).scalar())
     slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__slice")
     names = [f"__group{i}" for i in range(len(by))]

@@ -217,10 +217,11 @@ def cumulative_sql(p, by):
 
 
 @query(q.with_(*registers_sql("events", "user_id", by="day", p=10, rows=MILESTONES), *cumulative_sql(10, "day"),
-               select=f"SELECT day, {ESTIMATE}, zeros FROM est"))
+               select=f"SELECT CAST(day AS VARCHAR) AS day, {ESTIMATE}, zeros FROM est"))
 def w4_cumulative_by_day(spark, folder):
     events = read_table(spark, folder, "events").withColumn("day", F.to_date("ts"))
-    return cumulative_estimates(events, "user_id", "day", 10).select("day", rounded("estimate").alias("estimate"), "zeros")
+    estimates = cumulative_estimates(events, "user_id", "day", 10)
+    return estimates.select(F.col("day").cast("string").alias("day"), rounded("estimate").alias("estimate"), "zeros")
 
 
 FIRST = 1000

@@ -86,7 +86,7 @@ def ordered_stream(spark, frame, order):
 @query(tee_result_sql(SESSION_SIZE, "session_id"))
 def t3_count_windows(spark, folder):
     """Windows of a fixed number of keys per session, closing on an exact hit."""
-    window = run_windows(spark, folder, size=SESSION_SIZE, close="exact", tee=False)
+    window = run_windows(spark, folder, size=SESSION_SIZE, close="exact")
     return window.results(spark).withColumn("estimate", rounded("estimate"))
 
 
@@ -122,14 +122,14 @@ def walked_sql(walk):
 @query(walked_sql(WALK))
 def t3_windows_at_least(spark, folder):
     """Windows that close at the first packet reaching the size."""
-    window = run_windows(spark, folder, size=AT_LEAST, p=12, hash="murmur3_32", tee=False)
+    window = run_windows(spark, folder, size=AT_LEAST, p=12, hash="murmur3_32")
     return window.results(spark).withColumn("estimate", rounded("estimate"))
 
 
 @query(walked_sql(MARKED))
 def t4_marker_windows(spark, folder):
     """Windows that close at marked packets."""
-    window = run_windows(spark, folder, close="last", p=12, hash="murmur3_32", tee=False)
+    window = run_windows(spark, folder, close="last", p=12, hash="murmur3_32")
     return window.results(spark).withColumn("estimate", rounded("estimate"))
 
 
@@ -147,7 +147,7 @@ def t5_reset_at_close(spark, folder):
 @query(tee_result_sql(GLOBAL_SIZE, ""))
 def t6_one_window_series(spark, folder):
     """Session ids ignored: one series of windows over all packets."""
-    window = run_windows(spark, folder, size=GLOBAL_SIZE, close="exact", by=(), tee=False)
+    window = run_windows(spark, folder, size=GLOBAL_SIZE, close="exact", by=())
     return window.results(spark).withColumn("estimate", rounded("estimate"))
 
 

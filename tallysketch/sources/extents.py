@@ -88,7 +88,9 @@ class ExtentReader(DataSourceReader):
     def partitions(self) -> list[Span]:
         return plan_spans(_pieces(self.path), self.offset, self.length, self.chunk)
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Span | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an empty range is planned as one partition without a span
+            return
         system, _ = _file_system(self.path)
         with system.open_input_file(partition.file) as file:
             done = 0
@@ -123,8 +125,9 @@ class ExtentWriter(DataSourceArrowWriter):
         name = f"part-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}{SUFFIX}"
         with system.open_output_stream(f"{root}/_{name}.pending") as out:
             for batch in iterator:
-                keys = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
-                if len(keys) and (batch.column(batch.schema.get_field_index("key")).null_count or keys.min() < 0 or keys.max() >> 32):
+                column = batch.column(batch.schema.get_field_index("key"))
+                keys = column.fill_null(-1).to_numpy(zero_copy_only=False)
+                if len(keys) and (keys.min() < 0 or keys.max() >> 32):
                     raise ValueError("keys must be non-NULL and inside 0..2^32-1")
                 out.write(keys.astype("<u4").tobytes())
         return WrittenFile(name)

@@ -103,8 +103,8 @@ class PacketWindows:
     set.  ``by`` gives each session its own windows; empty, one window series spans all packets.  ``seq`` must be
     non-negative and grow from batch to batch within a group.
 
-    ``folder`` receives, per ``batch_id``: ``result`` (one row per closed window, placed behind its payload),
-    ``payload`` (every packet and its offset in its window, when ``tee`` is on), ``counts`` and ``open`` (the state).
+    ``folder`` receives, per ``batch_id``: ``packets`` (every packet with its window and its offset there), ``result``
+    (one row per closed window, placed right behind its payload), ``registers``, and the state ``counts`` and ``open``.
     """
 
     folder: str
@@ -113,7 +113,6 @@ class PacketWindows:
     by: tuple[str, ...] = ("session_id",)
     p: int = 16
     hash: str = "murmur3_64_h1"
-    tee: bool = True
     bits: int = field(default=BLOCK_BITS)
 
     def __post_init__(self) -> None:
@@ -129,10 +128,13 @@ class PacketWindows:
         return start(writer, f"{self.folder}/checkpoint", available_now)
 
     def results(self, spark: SparkSession) -> DataFrame:
+        """``(by..., window_id, offset, length, estimate)`` of every window closed so far."""
         return spark.read.parquet(f"{self.folder}/result").drop("batch_id")
 
     def payloads(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/payload").drop("batch_id")
+        """``(by..., window_id, seq, offset, length, payload)`` of every packet so far."""
+        packets = spark.read.parquet(f"{self.folder}/packets").where(F.col("seq") != CARRIED_SEQ)
+        return packets.select(*self.by, "window_id", "seq", "offset", "length", "payload")
 
     def _assign(self, rows: DataFrame) -> DataFrame:
         if self.close == "exact":
@@ -159,10 +161,14 @@ class PacketWindows:
             spark.read.schema(registers).parquet(f"{self.folder}/open/{before}"),
         )
 
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        """Store a step of this batch and go on from the stored table: the plans stay small and nothing runs twice."""
+        write_batch(df, f"{self.folder}/{name}", batch_id)
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.folder}/{name}/batch_id={batch_id}")
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        by = list(self.by)
-        counts, open_registers = self._carried(spark, batch.schema, batch_id)
+        by, group = list(self.by), [*self.by, "window_id"]
+        counts, open_registers = self._carried(batch.sparkSession, batch.schema, batch_id)
         marker = F.col("last") if self.close == "last" else F.lit(False)
         packets = batch.where(is_not_empty(F.col("length"))).select(
             *by, F.col("seq").cast("bigint").alias("seq"), F.col("length").cast("bigint").alias("length"),
@@ -173,56 +179,36 @@ class PacketWindows:
             *by, F.lit(CARRIED_SEQ).cast("bigint").alias("seq"), F.col("bytes").alias("length"), "tuples",
             F.lit(False).alias("last"), F.lit(None).cast("array<bigint>").alias("payload"),
         )
-        windowed = self._assign(packets.unionByName(carried)).persist()
-        try:
-            self._write(windowed, counts, open_registers, batch_id)
-        finally:
-            windowed.unpersist()
-
-    def _write(self, windowed: DataFrame, counts: DataFrame, open_registers: DataFrame, batch_id: int) -> None:
-        spark = windowed.sparkSession
-        by = list(self.by)
-        group = [*by, "window_id"]
+        windowed = self._assign(packets.unionByName(carried))
+        windowed = self._write(self._numbered(payload_offsets(windowed, by, self.bits), counts), "packets", batch_id)
 
         keys = windowed.select(*group, "window_closed", F.explode("payload").alias("key"))
         fresh = build_registers(keys, "key", self.p, self.hash, [*group, "window_closed"])
-        # An open window is always the first window of the next batch.  Whether it closed there is only known to the
-        # windowed rows, so its registers join them through the carried packet.
-        first = windowed.where(F.col("seq") == CARRIED_SEQ).select(*group, "window_closed")
-        if not by:
-            first = first.agg(F.max("window_closed").alias("window_closed"))
-        old = attach_group_value(open_registers, first, by, "window_closed", "bucket").withColumn(
-            "window_id", F.lit(1).cast("bigint")
-        )
-        write_batch(
-            merge_registers(fresh, old, by=[*group, "window_closed"]), f"{self.folder}/registers", batch_id
-        )
-        registers = spark.read.parquet(f"{self.folder}/registers/batch_id={batch_id}")
+        # The window left open by the previous batch is the one its carried packet is in.
+        resumed = windowed.where(F.col("seq") == CARRIED_SEQ).select(*group, "window_closed")
+        state = F.struct("window_id", "window_closed").alias("state")
+        old = attach_group_value(open_registers, resumed.select(*by, state), by, "state", "bucket")
+        old = old.select(*by, "state.window_id", "state.window_closed", "bucket", "rank")
+        merged = merge_registers(fresh, old, by=[*group, "window_closed"])
+        registers = self._write(merged, "registers", batch_id)
+        self._write(registers.where("NOT window_closed").select(*by, "bucket", "rank"), "open", batch_id)
 
         estimates = estimate_registers(registers.where("window_closed"), self.p, get_hash(self.hash).width, group)
-        closed = window_results(windowed, estimates, by)
-        write_batch(self._numbered(closed, counts), f"{self.folder}/result", batch_id)
-        if self.tee:
-            placed = payload_offsets(windowed, by, self.bits).where(F.col("seq") != CARRIED_SEQ)
-            columns = [*group, "seq", "offset", "length", "payload"]
-            write_batch(self._numbered(placed.select(*columns), counts), f"{self.folder}/payload", batch_id)
-
-        write_batch(registers.where(~F.col("window_closed")).select(*by, "bucket", "rank"), f"{self.folder}/open", batch_id)
-        still_open = F.when(~F.col("window_closed"), F.lit(1)).otherwise(F.lit(0))
+        self._write(window_results(windowed, estimates, by), "result", batch_id)
+
+        still_open = F.when(F.col("window_closed"), F.lit(0)).otherwise(F.lit(1))
+        zero = F.lit(0).cast("bigint")
         moved = windowed.select(
             *by, F.col("closes").cast("bigint").alias("windows"), (F.col("tuples") * still_open).alias("tuples"),
             (F.col("length") * still_open).alias("bytes"),
         )
-        zero = F.lit(0).cast("bigint")
         known = counts.select(*by, "windows", zero.alias("tuples"), zero.alias("bytes"))
         totals = [F.coalesce(F.sum(c), zero).alias(c) for c in ("windows", "tuples", "bytes")]
-        write_batch(moved.unionByName(known).groupBy(*by).agg(*totals), f"{self.folder}/counts", batch_id)
+        self._write(moved.unionByName(known).groupBy(*by).agg(*totals), "counts", batch_id)
 
-    def _numbered(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
+    def _numbered(self, windowed: DataFrame, counts: DataFrame) -> DataFrame:
         """Turn window numbers of this batch into numbers of the whole stream."""
-        if not self.by:
-            counts = counts.agg(F.sum("windows").alias("windows"))
-        spread = "seq" if "seq" in rows.columns else "window_id"
-        earlier = attach_group_value(rows, counts, self.by, "windows", spread)
-        number = F.col("window_id") + F.coalesce("windows", F.lit(0))
-        return earlier.withColumn("window_id", number).drop("windows")
+        known = counts.select(*self.by, F.col("windows").alias("__windows"))
+        earlier = attach_group_value(windowed, known, self.by, "__windows")
+        number = F.col("window_id") + F.coalesce("__windows", F.lit(0))
+        return earlier.withColumn("window_id", number).drop("__windows")

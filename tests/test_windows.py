@@ -103,9 +103,9 @@ def stream_result(spark, rows, batches, window):
     [("exact", 6, ["session_id"]), ("at_least", 9, ["session_id"]), ("last", 0, ["session_id"]), ("exact", 4, []), ("at_least", 7, [])],
 )
 def test_stream_windows_match_the_state_machine(spark, close, size, by):
-    rows = make_packets(size + 1, 90, 2, [4, 8, 12, 0, 6] if close != "exact" else [4, 4, 8, 0, 2])
+    rows = make_packets(size + 1, 80, 2, [4, 8, 12, 0, 6] if close != "exact" else [4, 4, 8, 0, 2])
     window = PacketWindows(new_folder(spark, "windows"), size, close, tuple(by), 8, "murmur3_32", bits=3)
-    results, payloads = stream_result(spark, rows, 3, window)
+    results, payloads = stream_result(spark, rows, 2, window)
     expected, closed = walk(rows, size, close, bool(by))
     group = F.col("session_id") if by else F.lit(None).cast("int")
     placed = payloads.select(group, "window_id", "seq", "offset").collect()
