@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .u64 import FMIX_C1, FMIX_C2, add64, bits, fmix64, low32, mul64, rotl64
+from .u64 import add64, bits, fmix64, low32, mul64, rotl64, step
 
 # Fixed values of the hash definitions.
 MURMUR3_C1 = 0x87C37B91114253D5
@@ -45,86 +45,77 @@ class HashFunction:
     u32_keys: bool = True
 
 
-def u32_key(key: Column) -> Column:
-    """A key column as BIGINT, raising on values outside 0..2**32-1.  NULLs must have been filtered out."""
-    value = key.cast("bigint")
-    checked = F.when(F.shiftrightunsigned(value, 32) == 0, value).otherwise(
-        F.raise_error(F.concat(F.lit("key outside 0..2^32-1: "), value.cast("string"))).cast("bigint")
-    )
+def u32_key(key: str) -> str:
+    """A key as BIGINT, raising on values outside 0..2**32-1.  NULLs must have been filtered out."""
+    value = f"CAST({key} AS BIGINT)"
+    error = f"raise_error(concat('key outside 0..2^32-1: ', CAST({key} AS STRING)))"
     # The zero is never used; it tells the code generator that the result cannot be NULL.
-    return F.coalesce(checked, bits(0))
+    return f"coalesce(CASE WHEN shiftrightunsigned({value}, 32) = 0 THEN {value} ELSE CAST({error} AS BIGINT) END, 0L)"
 
 
-def reinterpret_int(key: Column) -> Column:
-    """The INT with the same 32 bits as an unsigned key."""
-    return F.shiftright(F.shiftleft(key, 32), 32).cast("int")
-
-
-def murmur3_32(key: Column) -> Column:
-    """Spark's own ``hash`` is Murmur3 x86-32 with seed 42 over the four key bytes."""
-    return low32(F.hash(reinterpret_int(key)).cast("bigint"))
+def murmur3_32(key: str) -> str:
+    """Spark's own ``hash`` is Murmur3 x86-32 with seed 42 over the four key bytes, read as a signed INT."""
+    return low32(f"CAST(hash(CAST(shiftright(shiftleft({key}, 32), 32) AS INT)) AS BIGINT)")
 
 
 def _murmur3_words(df: DataFrame, key: str) -> DataFrame:
     """Add ``__h1`` and ``__h2``, the two words of Murmur3 x64-128 over the four key bytes."""
-    seed = MURMUR3_SEED ^ KEY_LENGTH
-    df = df.withColumn("__k", mul64(F.col(key), MURMUR3_C1, narrow=True))
-    df = df.withColumn("__k", rotl64(F.col("__k"), 31))
-    df = df.withColumn("__k", mul64(F.col("__k"), MURMUR3_C2))
-    df = df.withColumn("__h1", add64(F.col("__k").bitwiseXOR(bits(seed)), bits(seed)))
-    df = df.withColumn("__h2", add64(F.col("__h1"), bits(seed)))
+    seed = bits(MURMUR3_SEED ^ KEY_LENGTH)
+    df = step(df, __h1=mul64(key, MURMUR3_C1, narrow=True))
+    df = step(df, __h1=mul64(rotl64("__h1", 31), MURMUR3_C2))
+    df = step(df, __h1=add64(f"(__h1 ^ {seed})", seed))
+    df = step(df, __h2=add64("__h1", seed))
     df = fmix64(df, "__h1", "__h2")
-    df = df.withColumn("__h1", add64(F.col("__h1"), F.col("__h2")))
-    return df.withColumn("__h2", add64(F.col("__h1"), F.col("__h2"))).drop("__k")
+    df = step(df, __h1=add64("__h1", "__h2"))
+    return step(df, __h2=add64("__h1", "__h2"))
 
 
 def _attach_murmur3_h2(df: DataFrame, key: str, out: str) -> DataFrame:
-    return _murmur3_words(df, key).withColumn(out, F.col("__h2")).drop("__h1", "__h2")
+    return step(_murmur3_words(df, key), **{out: "__h2"}).drop("__h1", "__h2")
 
 
 def _attach_murmur3_h1(df: DataFrame, key: str, out: str) -> DataFrame:
-    return _murmur3_words(df, key).withColumn(out, F.col("__h1")).drop("__h1", "__h2")
+    return step(_murmur3_words(df, key), **{out: "__h1"}).drop("__h1", "__h2")
 
 
 def _attach_murmur3_128(df: DataFrame, key: str, out: str) -> DataFrame:
-    words = F.struct(F.col("__h2").alias("hi"), F.col("__h1").alias("lo"))
-    return _murmur3_words(df, key).withColumn(out, words).drop("__h1", "__h2")
+    words = "named_struct('hi', __h2, 'lo', __h1)"
+    return step(_murmur3_words(df, key), **{out: words}).drop("__h1", "__h2")
 
 
-def _sip_half_round(df: DataFrame, left: tuple[str, str, int], right: tuple[str, str, int]) -> DataFrame:
-    """Two independent add-rotate-xor steps ``(x, y, r)``: ``x += y; y = rotl(y, r) ^ x``."""
-    pairs = (left, right)
-    df = df.withColumns({x: add64(F.col(x), F.col(y)) for x, y, _ in pairs})
-    return df.withColumns({y: rotl64(F.col(y), r).bitwiseXOR(F.col(x)) for x, y, r in pairs})
+def _sip_round(df: DataFrame) -> DataFrame:
+    """Two pairs of independent steps ``x += y; y = rotl(y, r) ^ x``, the pairs joined by half-word swaps."""
 
+    def pair(x: str, y: str, r: int) -> tuple[str, str]:
+        total = add64(x, y)
+        return total, f"({rotl64(y, r)} ^ {total})"
 
-def _sip_round(df: DataFrame) -> DataFrame:
-    df = _sip_half_round(df, ("__v0", "__v1", 13), ("__v2", "__v3", 16))
-    df = df.withColumn("__v0", rotl64(F.col("__v0"), 32))
-    df = _sip_half_round(df, ("__v0", "__v3", 21), ("__v2", "__v1", 17))
-    return df.withColumn("__v2", rotl64(F.col("__v2"), 32))
+    (v0, v1), (v2, v3) = pair("__v0", "__v1", 13), pair("__v2", "__v3", 16)
+    df = step(df, __v0=v0, __v1=v1, __v2=v2, __v3=v3)
+    (v0, v3), (v2, v1) = pair(rotl64("__v0", 32), "__v3", 21), pair("__v2", "__v1", 17)
+    return step(df, __v0=v0, __v1=v1, __v2=rotl64(v2, 32), __v3=v3)
 
 
 def _attach_sip(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Six add-rotate-xor rounds.  Planning the long chain costs about a second; at run time it stays in the JVM."""
-    message = F.col(key).bitwiseOR(bits(SIP_LENGTH_WORD))
-    df = df.withColumn("__b", message).withColumns(
-        {"__v0": bits(SIP_V0), "__v1": bits(SIP_V1), "__v2": bits(SIP_V2), "__v3": bits(SIP_V3).bitwiseXOR(message)}
-    )
+    """Six add-rotate-xor rounds between two mixes of the message word."""
+    message = f"({key} | {bits(SIP_LENGTH_WORD)})"
+    df = step(df, __v0=bits(SIP_V0), __v1=bits(SIP_V1), __v2=bits(SIP_V2), __v3=f"({bits(SIP_V3)} ^ {message})")
     for _ in range(2):
         df = _sip_round(df)
-    df = df.withColumns(
-        {"__v0": F.col("__v0").bitwiseXOR(F.col("__b")), "__v2": F.col("__v2").bitwiseXOR(bits(SIP_FINAL))}
-    )
+    df = step(df, __v0=f"(__v0 ^ {message})", __v2=f"(__v2 ^ {bits(SIP_FINAL)})")
     for _ in range(4):
         df = _sip_round(df)
-    return df.withColumn(out, F.col("__v0").bitwiseXOR(F.col("__v2"))).drop("__b", "__v0", "__v1", "__v2", "__v3")
+    return step(df, **{out: "__v0 ^ __v2"}).drop("__v0", "__v1", "__v2", "__v3")
 
 
 def _by_column(fn: Callable[[Column], Column]) -> Attach:
     return lambda df, key, out: df.withColumn(out, fn(F.col(key)))
 
 
+def _by_text(fn: Callable[[str], str]) -> Attach:
+    return lambda df, key, out: step(df, **{out: fn(key)})
+
+
 _REGISTRY: dict[str, HashFunction] = {}
 _ALIASES = {"sip": "sip_variant", "murmur3_32avx": "murmur3_32", "murmur3_64avx": "murmur3_64"}
 
@@ -172,13 +163,13 @@ def hash_name(hash_id_column: Column) -> Column:
     return F.coalesce(F.get(names, hash_id_column), F.lit(UNDEFINED_NAME))
 
 
-register_hash("ident", 32, lambda key: key)
-register_hash("murmur3_32", 32, murmur3_32)
+register_hash("ident", 32, attach=_by_text(lambda key: key))
+register_hash("murmur3_32", 32, attach=_by_text(murmur3_32))
 register_hash("murmur3_64", 64, attach=_attach_murmur3_h2)
 register_hash("murmur3_64_h1", 64, attach=_attach_murmur3_h1)
 register_hash("murmur3_128", 128, attach=_attach_murmur3_128)
 register_hash("sip_variant", 64, attach=_attach_sip)
-register_hash("xxhash64", 64, F.xxhash64, u32_keys=False)
+register_hash("xxhash64", 64, attach=_by_text(lambda key: f"xxhash64({key})"), u32_keys=False)
 
 
 def hash_keys(df: DataFrame, key: str, hash: str | HashFunction, out: str = "hash") -> DataFrame:
@@ -187,4 +178,4 @@ def hash_keys(df: DataFrame, key: str, hash: str | HashFunction, out: str = "has
     df = df.where(F.col(key).isNotNull())
     if not spec.u32_keys:
         return spec.attach(df, key, out)
-    return spec.attach(df.withColumn("__key", u32_key(F.col(key))), "__key", out).drop("__key")
+    return spec.attach(step(df.withColumn("__key", F.col(key)), __key=u32_key("__key")), "__key", out).drop("__key")

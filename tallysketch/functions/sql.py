@@ -6,46 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.estimate import ALPHA_CORRECTION, ALPHA_NUMERATOR, SMALL_RANGE_FACTOR
 from ..operators.sketch import Sketch
-from .hashes import FMIX_C1, FMIX_C2, KEY_LENGTH, MURMUR3_C1, MURMUR3_C2, MURMUR3_SEED
-from .u64 import MASK32, MASK62
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+from .hashes import KEY_LENGTH, MURMUR3_C1, MURMUR3_C2, MURMUR3_SEED, murmur3_32, u32_key
+from .u64 import FMIX_C1, FMIX_C2, add64, bits, mul64, rotl64, xorshift
 
 
 def _definitions() -> list[tuple[str, str, str]]:
-    seed = MURMUR3_SEED ^ KEY_LENGTH
-    low_sum = f"(a & {MASK62}L) + (b & {MASK62}L)"
-    top_sum = f"shiftrightunsigned(a, 62) + shiftrightunsigned(b, 62) + shiftrightunsigned({low_sum}, 62)"
-    low, high = f"(a & {MASK32}L)", "shiftrightunsigned(a, 32)"
-    k0, k1 = "(k & 65535L)", "(shiftrightunsigned(k, 16) & 65535L)"
-    k2, k3 = "(shiftrightunsigned(k, 32) & 65535L)", "shiftrightunsigned(k, 48)"
-    upper = (
-        f"({low} * {k2} & {MASK32}L) + ({low} * {k3} & 65535L) * 65536L"
-        f" + ({high} * {k0} & {MASK32}L) + ({high} * {k1} & 65535L) * 65536L"
-    )
-    words = f"tally_fmix64(h1), tally_fmix64(tally_add64(h1, {seed}L))"
-    mixed = f"tally_mul64(tally_rotl64(tally_mul64(tally_u32(key), {_signed(MURMUR3_C1)}L), 31), {_signed(MURMUR3_C2)}L)"
-    state = f"tally_add64({mixed} ^ {seed}L, {seed}L)"
+    seed = bits(MURMUR3_SEED ^ KEY_LENGTH)
+    words = f"tally_fmix64(h1), tally_fmix64(tally_add64(h1, {seed}))"
+    mixed = mul64(rotl64("k", 31), MURMUR3_C2)
+    state = f"tally_add64(tally_scramble({mul64('tally_u32(key)', MURMUR3_C1, narrow=True)}) ^ {seed}, {seed})"
     return [
-        ("tally_u32(key BIGINT)", "BIGINT",
-         f"CASE WHEN key IS NULL OR shiftrightunsigned(key, 32) = 0 THEN key"
-         f" ELSE CAST(raise_error('key outside 0..2^32-1') AS BIGINT) END"),
-        ("tally_add64(a BIGINT, b BIGINT)", "BIGINT", f"shiftleft({top_sum}, 62) | (({low_sum}) & {MASK62}L)"),
-        ("tally_mul64(a BIGINT, k BIGINT)", "BIGINT",
-         f"tally_add64(tally_add64({low} * {k0}, shiftleft({low} * {k1}, 16)), shiftleft({upper}, 32))"),
-        ("tally_rotl64(a BIGINT, r INT)", "BIGINT", "shiftleft(a, r) | shiftrightunsigned(a, 64 - r)"),
-        ("tally_xorshift33(a BIGINT)", "BIGINT", "a ^ shiftrightunsigned(a, 33)"),
-        ("tally_fmix64(a BIGINT)", "BIGINT",
-         f"tally_xorshift33(tally_mul64(tally_xorshift33(tally_mul64(tally_xorshift33(a), {_signed(FMIX_C1)}L)),"
-         f" {_signed(FMIX_C2)}L))"),
+        ("tally_u32(key BIGINT)", "BIGINT", f"CASE WHEN key IS NOT NULL THEN {u32_key('key')} END"),
+        ("tally_add64(a BIGINT, b BIGINT)", "BIGINT", add64("a", "b")),
+        ("tally_scramble(k BIGINT)", "BIGINT", mixed),
+        ("tally_fmix_first(a BIGINT)", "BIGINT", mul64(xorshift("a", 33), FMIX_C1)),
+        ("tally_fmix_second(a BIGINT)", "BIGINT", mul64(xorshift("a", 33), FMIX_C2)),
+        ("tally_fmix_third(a BIGINT)", "BIGINT", xorshift("a", 33)),
+        ("tally_fmix64(a BIGINT)", "BIGINT", "tally_fmix_third(tally_fmix_second(tally_fmix_first(a)))"),
         ("tally_mix_first(h1 BIGINT)", "BIGINT", f"tally_add64({words})"),
         ("tally_mix_second(h1 BIGINT)", "BIGINT",
-         f"tally_add64(tally_mix_first(h1), tally_fmix64(tally_add64(h1, {seed}L)))"),
-        ("tally_murmur3_32(key BIGINT)", "BIGINT",
-         f"CASE WHEN key IS NOT NULL THEN"
-         f" hash(CAST(shiftright(shiftleft(tally_u32(key), 32), 32) AS INT)) & {MASK32}L END"),
+         f"tally_add64(tally_mix_first(h1), tally_fmix64(tally_add64(h1, {seed})))"),
+        ("tally_murmur3_32(key BIGINT)", "BIGINT", f"CASE WHEN key IS NOT NULL THEN {murmur3_32('tally_u32(key)')} END"),
         ("tally_murmur3_64(key BIGINT)", "BIGINT", f"tally_mix_second({state})"),
         ("tally_murmur3_64_h1(key BIGINT)", "BIGINT", f"tally_mix_first({state})"),
         ("tally_bucket(h BIGINT, width INT, p INT)", "INT", "CAST(shiftrightunsigned(h, width - p) AS INT)"),

@@ -1,14 +1,14 @@
-"""Wrapping unsigned 64-bit arithmetic on BIGINT columns.
+"""Wrapping unsigned 64-bit arithmetic on BIGINT columns, as SQL expression text for ``expr`` and ``selectExpr``.
 
-Spark has no unsigned type and, with ANSI mode on, ``+`` and ``*`` raise on overflow.  These helpers keep every partial
-result inside the signed range, so they are exact and stay inside whole-stage code generation.  Callers that chain
-several steps should give each step its own projection (see ``hashes.py``): an argument may appear many times in the
-result.
+Spark has no unsigned type and, with ANSI mode on, ``+`` and ``*`` raise on overflow.  These expressions keep every
+partial result inside the signed range, so they are exact and stay inside whole-stage code generation.  Callers that
+chain several steps should give each its own projection (see ``hashes.py``): an argument may appear many times in the
+result.  Text rather than ``Column`` objects, because building long expressions one call at a time is slow.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK32 = (1 << 32) - 1
@@ -20,74 +20,73 @@ FMIX_C1 = 0xFF51AFD7ED558CCD
 FMIX_C2 = 0xC4CEB9FE1A85EC53
 
 
-def bits(value: int) -> Column:
+def bits(value: int) -> str:
     """The low 64 bits of ``value`` as a BIGINT literal."""
     value &= MASK64
-    return F.lit(value - (1 << 64) if value >> 63 else value).cast("bigint")
+    return f"({value - (1 << 64) if value >> 63 else value}L)"
 
 
-def low32(a: Column) -> Column:
-    return a.bitwiseAND(bits(MASK32))
+def low32(a: str) -> str:
+    return f"({a} & {bits(MASK32)})"
 
 
-def high32(a: Column) -> Column:
-    return F.shiftrightunsigned(a, 32)
+def high32(a: str) -> str:
+    return f"shiftrightunsigned({a}, 32)"
 
 
-def rotl64(a: Column, r: int) -> Column:
-    return F.shiftleft(a, r).bitwiseOR(F.shiftrightunsigned(a, 64 - r))
+def rotl64(a: str, r: int) -> str:
+    return f"(shiftleft({a}, {r}) | shiftrightunsigned({a}, {64 - r}))"
 
 
-def rotl32(a: Column, r: int) -> Column:
+def rotl32(a: str, r: int) -> str:
     """Rotate a 32-bit value held zero-extended in a BIGINT."""
-    return low32(F.shiftleft(a, r)).bitwiseOR(F.shiftrightunsigned(a, 32 - r))
+    return f"({low32(f'shiftleft({a}, {r})')} | shiftrightunsigned({a}, {32 - r}))"
 
 
-def xorshift(a: Column, r: int) -> Column:
-    return a.bitwiseXOR(F.shiftrightunsigned(a, r))
+def xorshift(a: str, r: int) -> str:
+    return f"({a} ^ shiftrightunsigned({a}, {r}))"
 
 
-def add64(a: Column, b: Column) -> Column:
+def add64(a: str, b: str) -> str:
     """``(a + b) mod 2**64``: add the low 62 bits, then carry into the top two."""
-    low = a.bitwiseAND(bits(MASK62)) + b.bitwiseAND(bits(MASK62))
-    top = F.shiftrightunsigned(a, 62) + F.shiftrightunsigned(b, 62) + F.shiftrightunsigned(low, 62)
-    return F.shiftleft(top, 62).bitwiseOR(low.bitwiseAND(bits(MASK62)))
+    low = f"(({a} & {bits(MASK62)}) + ({b} & {bits(MASK62)}))"
+    top = " + ".join(f"shiftrightunsigned({x}, 62)" for x in (a, b, low))
+    return f"(shiftleft({top}, 62) | ({low} & {bits(MASK62)}))"
 
 
-def mul64(a: Column, k: int, *, narrow: bool = False) -> Column:
+def mul64(a: str, k: int, *, narrow: bool = False) -> str:
     """``(a * k) mod 2**64`` for a constant ``k``; ``narrow`` promises ``0 <= a < 2**32``.
 
     A 32-bit half times a 31-bit constant fits 63 bits, so each half of ``k`` is used without its top bit and that bit
     is added back as a shift.
     """
     k_low, k_high = k & MASK32, (k >> 32) & MASK32
+    short_low, short_high = bits(k_low & 0x7FFFFFFF), bits(k_high & 0x7FFFFFFF)
     a_low = a if narrow else low32(a)
-    top_of_low = F.shiftleft(a_low.bitwiseAND(bits(1)), 31)
+    top_of_low = f"shiftleft({a_low} & 1L, 31)"
 
-    product = a_low * bits(k_low & 0x7FFFFFFF)
-    low, high = low32(product), high32(product)
+    low, high = low32(f"({a_low} * {short_low})"), [high32(f"({a_low} * {short_low})")]
     if k_low >> 31:
-        low = low + top_of_low
-        high = high + F.shiftrightunsigned(a_low, 1) + high32(low)
-    high = high + low32(a_low * bits(k_high & 0x7FFFFFFF))
+        low = f"({low} + {top_of_low})"
+        high += [f"shiftrightunsigned({a_low}, 1)", high32(low)]
+    high.append(low32(f"({a_low} * {short_high})"))
     if k_high >> 31:
-        high = high + top_of_low
+        high.append(top_of_low)
     if not narrow:
         a_high = high32(a)
-        high = high + low32(a_high * bits(k_low & 0x7FFFFFFF))
+        high.append(low32(f"({a_high} * {short_low})"))
         if k_low >> 31:
-            high = high + F.shiftleft(a_high.bitwiseAND(bits(1)), 31)
-    return F.shiftleft(high, 32).bitwiseOR(low32(low))
+            high.append(f"shiftleft({a_high} & 1L, 31)")
+    return f"(shiftleft({' + '.join(high)}, 32) | {low32(low)})"
 
 
-def fmix64(df: DataFrame, *names: str) -> DataFrame:
-    """Apply the 64-bit finalizer to columns in place, one projection per step."""
+def step(df: DataFrame, **columns: str) -> DataFrame:
+    """One projection that adds or replaces columns by expression text."""
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
 
-    def each(fn):
-        return df.withColumns({n: fn(F.col(n)) for n in names})
 
-    df = each(lambda x: xorshift(x, 33))
-    df = each(lambda x: mul64(x, FMIX_C1))
-    df = each(lambda x: xorshift(x, 33))
-    df = each(lambda x: mul64(x, FMIX_C2))
-    return each(lambda x: xorshift(x, 33))
+def fmix64(df: DataFrame, *names: str) -> DataFrame:
+    """Apply the 64-bit finalizer to columns in place, one projection per multiplication."""
+    for k in (FMIX_C1, FMIX_C2):
+        df = step(df, **{n: mul64(xorshift(n, 33), k) for n in names})
+    return step(df, **{n: xorshift(n, 33) for n in names})

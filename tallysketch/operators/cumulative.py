@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import HashFunction, get_hash
@@ -28,14 +28,13 @@ def checkpoints(limit: int = LIMIT, first: int = FIRST_CHECKPOINT, growth: float
     return series
 
 
-def first_checkpoint(position: Column, series: Sequence[int]) -> Column:
+def first_checkpoint(position: str, series: Sequence[int]) -> str:
     """Smallest checkpoint above a 0-based position, NULL past the last one (a balanced tree of comparisons)."""
     if len(series) == 1:
-        return F.when(position < F.lit(series[0]), F.lit(series[0]).cast("bigint"))
+        return f"CASE WHEN {position} < {series[0]}L THEN {series[0]}L END"
     half = len(series) // 2
-    return F.when(position < F.lit(series[half - 1]), first_checkpoint(position, series[:half])).otherwise(
-        first_checkpoint(position, series[half:])
-    )
+    below, above = first_checkpoint(position, series[:half]), first_checkpoint(position, series[half:])
+    return f"CASE WHEN {position} < {series[half - 1]}L THEN {below} ELSE {above} END"
 
 
 def cumulative_estimates(
@@ -53,11 +52,8 @@ def cumulative_estimates(
     before = F.coalesce(F.max("rank").over(earlier), F.lit(0).cast("tinyint"))
     grown = registers.withColumn("__before", before).withColumn("__now", F.greatest("rank", "__before"))
     steps = grown.groupBy(*by, checkpoint).agg(
-        F.sum((F.col("__before") == 0).cast("bigint")).alias("__nonempty"),
-        *[
-            F.sum(rank_word(F.col("__now"), i) - rank_word(F.col("__before"), i)).alias(f"__word{i}")
-            for i in range(words)
-        ],
+        F.expr("count_if(__before = 0) AS __nonempty"),
+        *[F.expr(f"sum({rank_word('__now', i)} - {rank_word('__before', i)}) AS __word{i}") for i in range(words)],
     )
     so_far = Window.partitionBy(*by).orderBy(checkpoint).rowsBetween(Window.unboundedPreceding, 0)
     sums = steps.select(

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.u64 import step
 from .registers import MIN_P, register_count
 
 # Fixed values of the estimator.
@@ -33,60 +34,54 @@ def words_for(width: int | None) -> int:
     return WORDS if width is None else -(-(width - MIN_P + 1) // WORD_BITS)
 
 
-def rank_word(rank: Column, word: int) -> Column:
+def rank_word(rank: str, word: int) -> str:
     """The share of one register in word ``word`` of the harmonic sum (0 for an empty register)."""
     low, high = WORD_BITS * word, WORD_BITS * (word + 1)
-    r = rank.cast("int")
-    unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(high) - r)
-    return F.when((r > low) & (r <= high), unit).otherwise(F.lit(0).cast("bigint"))
+    return f"(CASE WHEN {rank} > {low} AND {rank} <= {high} THEN shiftleft(1L, {high} - {rank}) ELSE 0L END)"
 
 
-def harmonic_sum(zeros: Column, words: Sequence[Column]) -> Column:
-    total = zeros.cast("double")
-    for i, word in enumerate(words):
-        total = total + word.cast("double") * F.lit(2.0 ** -(WORD_BITS * (i + 1)))
-    return total
+def harmonic_sum(zeros: str, words: Sequence[str]) -> str:
+    terms = [f"CAST({zeros} AS DOUBLE)"]
+    terms += [f"CAST({word} AS DOUBLE) * {2.0 ** -(WORD_BITS * (i + 1))!r}D" for i, word in enumerate(words)]
+    return f"({' + '.join(terms)})"
 
 
-def raw_estimate(harmonic: Column, p: int) -> Column:
+def raw_estimate(harmonic: str, p: int) -> str:
     m = register_count(p)
-    return F.lit(alpha(p) * m * m) / harmonic
+    return f"({alpha(p) * m * m!r}D / {harmonic})"
 
 
-def linear_count(zeros: Column, p: int) -> Column:
+def linear_count(zeros: str, p: int) -> str:
     m = float(register_count(p))
-    return F.lit(m) * F.ln(F.lit(m) / zeros.cast("double"))
+    return f"({m!r}D * ln({m!r}D / nullif({zeros}, 0)))"
 
 
-def refine(raw: Column, zeros: Column, p: int, large_range: str = "none") -> Column:
+def refine(raw: str, zeros: str, p: int, large_range: str = "none") -> str:
     """Small-range correction, and with ``large_range='hw32'`` the 32-bit large-range one."""
     if large_range not in ("none", "hw32"):
         raise ValueError(f"large_range must be 'none' or 'hw32', got {large_range!r}")
-    small = raw <= F.lit(SMALL_RANGE_FACTOR * register_count(p))
-    # nullif keeps the division defined on rows that take another branch.
-    result = F.when(small & (zeros > 0), linear_count(F.nullif(zeros, F.lit(0)), p))
+    limit = f"{SMALL_RANGE_FACTOR * register_count(p)!r}D"
+    branches = f"WHEN {raw} <= {limit} AND {zeros} > 0 THEN {linear_count(zeros, p)}"
     if large_range == "hw32":
-        folded = F.lit(-TWO_POWER_32) * F.ln(F.lit(1.0) - raw / F.lit(TWO_POWER_32))
-        result = result.when(~small & (raw > F.lit(LARGE_RANGE_START)), folded)
-    return result.otherwise(raw)
+        folded = f"-{TWO_POWER_32!r}D * ln(1.0D - {raw} / {TWO_POWER_32!r}D)"
+        branches += f" WHEN {raw} > {limit} AND {raw} > {LARGE_RANGE_START!r}D THEN {folded}"
+    return f"(CASE {branches} ELSE {raw} END)"
 
 
 def finish(sums: DataFrame, p: int, words: int, by: Sequence[str] = (), large_range: str = "none") -> DataFrame:
     """Finish rows ``(by..., nonempty, word0..)`` into ``(by..., estimate, zeros, harmonic, raw)``."""
-    zeros = F.lit(register_count(p)).cast("bigint") - F.col("nonempty")
-    counted = sums.select(*by, zeros.alias("zeros"), *[F.col(f"word{i}") for i in range(words)])
-    summed = counted.withColumn("harmonic", harmonic_sum(F.col("zeros"), [F.col(f"word{i}") for i in range(words)]))
-    with_raw = summed.withColumn("raw", raw_estimate(F.col("harmonic"), p))
-    return with_raw.select(
-        *by, refine(F.col("raw"), F.col("zeros"), p, large_range).alias("estimate"), "zeros", "harmonic", "raw"
+    names = [f"word{i}" for i in range(words)]
+    with_zeros = step(sums, zeros=f"{register_count(p)}L - nonempty")
+    summed = step(with_zeros, harmonic=harmonic_sum("zeros", names))
+    raw = step(summed, raw=raw_estimate("harmonic", p))
+    return raw.select(
+        *by, F.expr(refine("raw", "zeros", p, large_range)).alias("estimate"), "zeros", "harmonic", "raw"
     )
 
 
-def register_sums(words: int, rank: str = "rank") -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("nonempty"),
-        *[F.coalesce(F.sum(rank_word(F.col(rank), i)), F.lit(0)).alias(f"word{i}") for i in range(words)],
-    ]
+def register_sums(words: int) -> list[Column]:
+    sums = [f"coalesce(sum({rank_word('rank', i)}), 0L) AS word{i}" for i in range(words)]
+    return [F.expr(text) for text in ["count(1) AS nonempty", *sums]]
 
 
 def estimate_registers(

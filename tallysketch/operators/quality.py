@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import error_bound_percent, error_percent
 from ..functions.hashes import HashFunction, get_hash
+from ..functions.u64 import step
 from .estimate import finish, register_sums, words_for
 from .registers import ranks, smallest_hashes
 
@@ -19,13 +20,9 @@ def exact_distinct(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame
 
 def with_error(df: DataFrame, p: int, exact: str = "exact", estimate: str = "estimate") -> DataFrame:
     """Add ``error_pct``, ``bound_pct`` (one standard error) and ``out_of_range``."""
-    bound = F.lit(error_bound_percent(p))
-    error = error_percent(F.col(estimate), F.nullif(F.col(exact).cast("double"), F.lit(0.0)))
-    return (
-        df.withColumn("error_pct", error)
-        .withColumn("bound_pct", bound)
-        .withColumn("out_of_range", F.coalesce(F.abs("error_pct") > bound, F.lit(False)))
-    )
+    bound = f"{error_bound_percent(p)!r}D"
+    with_error_pct = step(df, error_pct=error_percent(estimate, f"nullif({exact}, 0)"), bound_pct=bound)
+    return step(with_error_pct, out_of_range="coalesce(abs(error_pct) > bound_pct, false)")
 
 
 def error_report(

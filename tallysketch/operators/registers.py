@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import bit_length, bucket_of, rest_of
+from ..functions.bits import bit_length, bucket_of, rank_of, rest_of
 from ..functions.hashes import HashFunction, get_hash, hash_keys
-from ..functions.u64 import bits
+from ..functions.u64 import bits, step
 
 MIN_P, MAX_P = 4, 16
 
@@ -37,18 +37,17 @@ def _smallest(spec: HashFunction, p: int) -> list[Column]:
     if spec.width < 128:
         return [F.min("__hash").alias("__min")]
     # The low word decides only where the high word's remaining bits are all zero; flip its sign bit to order unsigned.
-    rest = rest_of(F.col("__hash.hi"), 64, p)
-    low = F.col("__hash.lo").bitwiseXOR(bits(1 << 63))
-    return [F.min(rest).alias("__min"), F.min(F.when(rest == 0, low)).alias("__min_low")]
+    rest = rest_of("__hash.hi", 64, p)
+    low = f"CASE WHEN {rest} = 0 THEN __hash.lo ^ {bits(1 << 63)} END"
+    return [F.expr(f"min({rest})").alias("__min"), F.expr(f"min({low})").alias("__min_low")]
 
 
 def _rank(spec: HashFunction, p: int) -> Column:
     if spec.width < 128:
-        rest_bits = spec.width - p
-        return (F.lit(rest_bits + 1) - bit_length(rest_of(F.col("__min"), spec.width, p))).cast("tinyint")
-    from_high = F.lit(64 - p + 1) - bit_length(F.col("__min"))
-    from_low = F.lit(128 - p + 1) - bit_length(F.col("__min_low").bitwiseXOR(bits(1 << 63)))
-    return F.when(F.col("__min") == 0, from_low).otherwise(from_high).cast("tinyint")
+        return F.expr(rank_of("__min", spec.width, p)).alias("rank")
+    from_high = f"{64 - p + 1} - {bit_length('__min')}"
+    from_low = f"{128 - p + 1} - {bit_length(f'(__min_low ^ {bits(1 << 63)})')}"
+    return F.expr(f"CAST(CASE WHEN __min = 0 THEN {from_low} ELSE {from_high} END AS TINYINT)").alias("rank")
 
 
 def smallest_hashes(
@@ -58,10 +57,9 @@ def smallest_hashes(
     """The aggregation half of a register build (also the stateful half of a stream); ``extra`` adds aggregates."""
     check_p(p)
     spec = get_hash(hash)
-    narrow = df.select(*[F.col(c) for c in by], F.col(key).alias("__k"))
-    hashed = hash_keys(narrow, "__k", spec, "__hash").drop("__k")
-    word = F.col("__hash") if spec.width < 128 else F.col("__hash.hi")
-    bucketed = hashed.withColumn("bucket", bucket_of(word, min(spec.width, 64), p))
+    hashed = hash_keys(df.select(*by, F.col(key).alias("__k")), "__k", spec, "__hash")
+    word = "__hash" if spec.width < 128 else "__hash.hi"
+    bucketed = step(hashed, bucket=bucket_of(word, min(spec.width, 64), p))
     return bucketed.groupBy(*by, "bucket").agg(*_smallest(spec, p), *extra)
 
 
@@ -69,7 +67,7 @@ def ranks(
     smallest: DataFrame, p: int, hash: str | HashFunction, by: Sequence[str] = (), extra: Sequence[str] = ()
 ) -> DataFrame:
     """Turn the smallest hash of each bucket into its rank."""
-    return smallest.select(*by, "bucket", _rank(get_hash(hash), p).alias("rank"), *extra)
+    return smallest.select(*by, "bucket", _rank(get_hash(hash), p), *extra)
 
 
 def build_registers(

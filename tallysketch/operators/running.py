@@ -13,43 +13,41 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
 LEVELS = 1
 
 
-def _combine(kind: str, column: Column | str) -> Column:
-    return F.sum(column) if kind == "sum" else F.max(column)
+def _combine(kind: str, column: str, out: str) -> Column:
+    return F.expr(f"{kind}({column}) AS {out}")
 
 
-def _plus(kind: str, a: Column, b: Column) -> Column:
-    return a + b if kind == "sum" else F.greatest(a, b)
+def _plus(kind: str, *terms: str) -> str:
+    return f"({' + '.join(terms)})" if kind == "sum" else f"greatest({', '.join(terms)})"
 
 
-def _before(kind: str, value: str, keys: Sequence[str], order: str, start: int) -> Column:
+def _before(kind: str, value: str, keys: str, order: str, start: int) -> str:
     """Aggregate of the rows strictly before the current one in its window."""
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(_combine(kind, value).over(window), F.lit(start).cast("bigint"))
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"coalesce({kind}({value}) OVER (PARTITION BY {keys} ORDER BY {order} {frame}), {start}L)"
 
 
 def _earlier_totals(blocks: DataFrame, kind: str, n: int, bits: int, levels: int, start: int) -> DataFrame:
     """For block totals ``(__group, __block, __total0..)``: the aggregate of all earlier blocks as ``__carry0..``."""
     if levels == 1:
-        before = [_before(kind, f"__total{i}", ["__group"], "__block", start).alias(f"__carry{i}") for i in range(n)]
-        return blocks.select("__group", "__block", *before)
-    coarse = F.shiftright("__block", bits)
-    above = blocks.groupBy("__group", coarse.alias("__block")).agg(
-        *[_combine(kind, f"__total{i}").alias(f"__total{i}") for i in range(n)]
+        before = [f"{_before(kind, f'__total{i}', '__group', '__block', start)} AS __carry{i}" for i in range(n)]
+        return blocks.selectExpr("__group", "__block", *before)
+    tagged = blocks.selectExpr("*", f"shiftright(__block, {bits}) AS __coarse")
+    above = tagged.groupBy("__group", F.col("__coarse").alias("__block")).agg(
+        *[_combine(kind, f"__total{i}", f"__total{i}") for i in range(n)]
     )
     carried = _earlier_totals(above, kind, n, bits, levels - 1, start).withColumnRenamed("__block", "__coarse")
-    keys = ["__group", "__coarse"]
-    inside = blocks.withColumn("__coarse", coarse).withColumns(
-        {f"__inside{i}": _before(kind, f"__total{i}", keys, "__block", start) for i in range(n)}
-    )
-    sums = [_plus(kind, F.col(f"__carry{i}"), F.col(f"__inside{i}")).alias(f"__carry{i}") for i in range(n)]
-    return inside.join(carried, keys).select("__group", "__block", *sums)
+    before = [f"{_before(kind, f'__total{i}', '__group, __coarse', '__block', start)} AS __inside{i}" for i in range(n)]
+    joined = tagged.selectExpr("__group", "__coarse", "__block", *before).join(carried, ["__group", "__coarse"])
+    sums = [f"{_plus(kind, f'__carry{i}', f'__inside{i}')} AS __carry{i}" for i in range(n)]
+    return joined.selectExpr("__group", "__block", *sums)
 
 
 def running(
@@ -64,26 +62,22 @@ def running(
     if kind not in ("sum", "max"):
         raise ValueError(f"kind must be 'sum' or 'max', got {kind!r}")
     n = len(values)
-    filled = {
-        f"__value{i}": F.coalesce(v.cast("bigint"), F.lit(start).cast("bigint")) for i, v in enumerate(values.values())
-    }
+    none = F.lit(start).cast("bigint")
+    filled = {f"__value{i}": F.coalesce(v.cast("bigint"), none) for i, v in enumerate(values.values())}
     # One struct key: two NULL group values inside it compare equal, so no group is lost in the join.
     group = F.struct(*by) if by else F.lit(0)
-    position = F.col(order).cast("bigint")
-    checked = F.when(position.isNull(), F.raise_error(F.lit(f"{order} must not be NULL")).cast("bigint")).otherwise(position)
-    # A block that cannot be NULL needs no filter before the joins, so both readers of the totals share one exchange.
-    block = F.coalesce(F.shiftright(checked, bits), F.lit(0).cast("bigint"))
-    tagged = df.withColumns({"__group": group, "__block": block, **filled})
-
-    totals = tagged.groupBy("__group", "__block").agg(
-        *[_combine(kind, f"__value{i}").alias(f"__total{i}") for i in range(n)]
-    )
+    # A block that cannot be NULL needs no filter before the joins, so the readers of the totals share one exchange.
+    missing = f"CAST(raise_error('{order} must not be NULL') AS BIGINT)"
+    block = f"coalesce(shiftright(coalesce(CAST(`{order}` AS BIGINT), {missing}), {bits}), 0L)"
+    tagged = df.withColumns({"__group": group, "__block": F.expr(block), **filled})
+
+    totals = tagged.groupBy("__group", "__block").agg(*[_combine(kind, f"__value{i}", f"__total{i}") for i in range(n)])
     carry = _earlier_totals(totals, kind, n, bits, levels, start)
 
-    keys = ["__group", "__block"]
-    inside = tagged.withColumns({f"__inside{i}": _before(kind, f"__value{i}", keys, order, start) for i in range(n)})
+    before = [f"{_before(kind, f'__value{i}', '__group, __block', f'`{order}`', start)} AS __inside{i}" for i in range(n)]
+    joined = tagged.selectExpr("*", *before).join(carry, ["__group", "__block"])
     results = []
     for i, name in enumerate(values):
-        result = _plus(kind, F.col(f"__carry{i}"), F.col(f"__inside{i}"))
-        results.append((_plus(kind, result, F.col(f"__value{i}")) if inclusive else result).alias(name))
-    return inside.join(carry, keys).select(*[c for c in df.columns if c not in values], *results)
+        terms = [f"__carry{i}", f"__inside{i}"] + ([f"__value{i}"] if inclusive else [])
+        results.append(F.expr(_plus(kind, *terms)).alias(name))
+    return joined.select(*[c for c in df.columns if c not in values], *results)

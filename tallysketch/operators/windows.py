@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import is_not_empty, tuples_in_packet
 from ..functions.hashes import HashFunction, get_hash
+from ..functions.u64 import step
 from .estimate import estimate_registers
 from .registers import build_registers
 from .running import BLOCK_BITS, running
@@ -19,8 +20,8 @@ RESULT_BYTES = 4
 
 def packet_tuples(packets: DataFrame) -> DataFrame:
     """Non-empty packets with a ``tuples`` column: whole keys per packet, unless the input brings its own."""
-    used = packets.where(is_not_empty(F.col("length")))
-    return used if "tuples" in used.columns else used.withColumn("tuples", tuples_in_packet(F.col("length")))
+    used = packets.where(is_not_empty("length"))
+    return used if "tuples" in used.columns else step(used, tuples=tuples_in_packet("length"))
 
 
 def running_tuples(packets: DataFrame, by: Sequence[str] = (), out: str = "running", bits: int = BLOCK_BITS) -> DataFrame:
@@ -74,17 +75,13 @@ def count_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: i
     if size < 1:
         raise ValueError(f"size must be positive, got {size}")
     counted = running_tuples(packets, by, "running", bits)
-    n = F.lit(size).cast("bigint")
-    ends_here = (F.col("tuples") > 0) & (F.col("running") % n == 0)
-    number = F.call_function("div", F.col("running"), n)
-    closing = counted.where(ends_here).select(*by, number.alias("__number"))
+    ends_here = f"(tuples > 0 AND running % {size} = 0)"
+    closing = counted.where(ends_here).select(*by, F.expr(f"running div {size} AS __number"))
     rows = attach_group_value(counted, _closed_windows(closing, by, bits), by, "__closed")
-    series = F.coalesce(F.col("__closed"), F.lit(0).cast("bigint"))
-    closes = ends_here & (number <= series)
-    window_id = F.least(number, series) + 1 - closes.cast("bigint")
-    return rows.select(
-        *counted.columns, window_id.alias("window_id"), closes.alias("closes"), (window_id <= series).alias("window_closed")
-    )
+    series, number = "coalesce(__closed, 0L)", f"running div {size}"
+    rows = step(rows, closes=f"{ends_here} AND {number} <= {series}")
+    rows = step(rows, window_id=f"least({number}, {series}) + 1 - CAST(closes AS BIGINT)")
+    return step(rows, window_closed=f"window_id <= {series}").drop("__closed")
 
 
 def marked_windows(packets: DataFrame, by: Sequence[str] = (), last: str = "last", bits: int = BLOCK_BITS) -> DataFrame:
@@ -94,10 +91,8 @@ def marked_windows(packets: DataFrame, by: Sequence[str] = (), last: str = "last
     ends = used.groupBy(*by).agg(F.coalesce(F.sum(F.col(last).cast("bigint")), F.lit(0)).alias("__closed"))
     rows = attach_group_value(numbered, ends, by, "__closed")
     return rows.select(
-        *used.columns,
-        (F.col("__earlier") + 1).alias("window_id"),
-        F.col(last).alias("closes"),
-        (F.col("__earlier") < F.col("__closed")).alias("window_closed"),
+        *used.columns, F.expr("__earlier + 1 AS window_id"), F.col(last).alias("closes"),
+        F.expr("__earlier < __closed AS window_closed"),
     )
 
 

@@ -32,7 +32,7 @@ def error_curve(
     if not series:
         raise ValueError(f"no checkpoint below {limit}")
     drawn = uniform(spark, series[-1], seed) if random else naturals(spark, series[-1]).withColumn("draw", F.col("key"))
-    keys = drawn.select("key", first_checkpoint(F.col("draw"), series).alias("checkpoint"))
+    keys = drawn.select("key", F.expr(first_checkpoint("draw", series)).alias("checkpoint"))
 
     if random and truth == "exact":
         known = cumulative_exact(keys, "key", "checkpoint")
@@ -49,8 +49,7 @@ def error_curve(
         F.max("exact").alias("cardinality"),
         *[F.max(F.when(F.col("hash") == name, F.col("estimate"))).alias(name) for name in hashes],
     )
-    exact = F.col("cardinality").cast("double")
     return lined.select(
         "cardinality", F.col("checkpoint").alias("draws"), F.lit(error_bound_percent(p)).alias("expected"),
-        *[error_percent(F.col(name), exact).alias(name) for name in hashes],
+        *[F.expr(error_percent(f"`{name}`", "cardinality")).alias(name) for name in hashes],
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as b
 from ..functions import u64
-from ..functions.hashes import FMIX_C1, MURMUR3_C2, get_hash, hash_keys, hash_name, register_hash
+from ..functions.hashes import MURMUR3_C2, get_hash, hash_keys, hash_name, register_hash
 from ..operators.estimate import linear_count, refine
 from ..operators.quality import error_report
 from ..operators.registers import MAX_P, MIN_P, build_registers, rank_histogram, zero_count
@@ -81,7 +81,7 @@ SELECT key, {q.signed(q.rotate('x', 31))} AS r64,
   CAST(((key * 32768) % {q.TWO32}) | (key // 131072) AS BIGINT) AS r32 FROM x""")
 def f1_rotate(spark, folder):
     x = wide_keys(spark, folder)
-    return x.select("key", u64.rotl64(F.col("x"), 31).alias("r64"), u64.rotl32(F.col("key"), 15).alias("r32"))
+    return x.select("key", F.expr(u64.rotl64("x", 31)).alias("r64"), F.expr(u64.rotl32("key", 15)).alias("r32"))
 
 
 @query(q.with_(
@@ -98,12 +98,12 @@ def f2_fmix64(spark, folder):
 
 
 @query(f"""WITH x AS (SELECT o_orderkey AS key, {WIDE_KEY} AS x FROM orders),
-y AS (SELECT key, (x * {q.wide(MURMUR3_C2)}) % {q.WORD} AS c, (x * {q.wide(FMIX_C1)}) % {q.WORD} AS d FROM x)
+y AS (SELECT key, (x * {q.wide(MURMUR3_C2)}) % {q.WORD} AS c, (x * {q.wide(u64.FMIX_C1)}) % {q.WORD} AS d FROM x)
 SELECT key, {q.signed('c')} AS product, {q.signed(f'((c + d) % {q.WORD})')} AS total FROM y""")
 def f3_wrapping_arithmetic(spark, folder):
     x = wide_keys(spark, folder)
-    x = x.withColumn("product", u64.mul64(F.col("x"), MURMUR3_C2)).withColumn("other", u64.mul64(F.col("x"), FMIX_C1))
-    return x.select("key", "product", u64.add64(F.col("product"), F.col("other")).alias("total"))
+    x = u64.step(x, product=u64.mul64("x", MURMUR3_C2), other=u64.mul64("x", u64.FMIX_C1))
+    return x.select("key", "product", F.expr(u64.add64("product", "other")).alias("total"))
 
 
 def key_parts(hash_, width, p, fn, name):
@@ -111,7 +111,7 @@ def key_parts(hash_, width, p, fn, name):
 
     def run(spark, folder):
         keys = scan_keys(spark, folder, "lineitem", "l_partkey").distinct()
-        return hash_keys(keys, "key", hash_).select("key", fn(F.col("hash"), width, p).alias(name))
+        return hash_keys(keys, "key", hash_).select("key", F.expr(fn("hash", width, p)).alias(name))
 
     return run
 
@@ -122,9 +122,9 @@ def part_sql(ctes, value, name):
 
 query(part_sql(M32, q.bucket("h", 32, 14), "bucket"), "f4_bucket")(key_parts("murmur3_32", 32, 14, b.bucket_of, "bucket"))
 query(part_sql(M32, f"CAST({q.leading_zeros('h', 32, 14)} AS INTEGER)", "zeros"), "f5_leading_zeros")(
-    key_parts("murmur3_32", 32, 14, lambda *a: b.leading_zeros(*a).cast("int"), "zeros"))
+    key_parts("murmur3_32", 32, 14, b.leading_zeros, "zeros"))
 query(part_sql(WORDS, f"CAST({q.leading_zeros('h2', 64, 4)} AS INTEGER)", "zeros"), "f6_leading_zeros_wide")(
-    key_parts("MURMUR3_64AVX", 64, 4, lambda *a: b.leading_zeros(*a).cast("int"), "zeros"))
+    key_parts("MURMUR3_64AVX", 64, 4, b.leading_zeros, "zeros"))
 query(part_sql(WORDS, q.rank("h1", 64, 16), "rank"), "f7_rank")(key_parts("murmur3_64_h1", 64, 16, b.rank_of, "rank"))
 
 
@@ -137,7 +137,7 @@ def m32_registers_sql(table, column, p=14, by=""):
                select="SELECT rank, count(*) AS registers, power(2.0e0, -rank) AS share FROM regs GROUP BY rank"))
 def f8_inverse_power(spark, folder):
     registers = build_registers(scan_keys(spark, folder, "lineitem", "l_orderkey"), "key")
-    return rank_histogram(registers).withColumn("share", b.inverse_power(F.col("rank")))
+    return rank_histogram(registers).withColumn("share", F.expr(b.inverse_power("rank")))
 
 
 @query(q.with_(*m32_registers_sql("lineitem", "l_suppkey", by="l_returnflag"),
@@ -146,7 +146,7 @@ def f8_inverse_power(spark, folder):
 def f9_linear_count(spark, folder):
     lines = read_table(spark, folder, "lineitem")
     zeros = zero_count(build_registers(lines, "l_suppkey", by=["l_returnflag"]), 14, ["l_returnflag"])
-    return zeros.select("l_returnflag", F.col("zeros").cast("bigint").alias("zeros"), rounded(linear_count(F.col("zeros"), 14)).alias("counted"))
+    return zeros.select("l_returnflag", F.col("zeros").cast("bigint").alias("zeros"), rounded(F.expr(linear_count("zeros", 14))).alias("counted"))
 
 
 @query(f"""WITH {LINES_SQL}, per AS (SELECT seq, count(*) AS n FROM lines GROUP BY seq)
@@ -158,8 +158,8 @@ def f10_lane_valid(spark, folder):
 @query(f"""WITH {LINES_SQL}, per AS (SELECT seq, 4 * count(*) AS n FROM lines GROUP BY seq)
 SELECT seq, CAST(n AS INTEGER) AS bytes, CAST(power(2::HUGEINT, n) - 1 AS BIGINT) AS keep FROM per""")
 def f11_mask_length(spark, folder):
-    lines = event_lines(spark, folder).select("seq", b.keep_to_length(F.col("keep")).alias("bytes"))
-    return lines.withColumn("keep", b.length_to_keep(F.col("bytes").cast("bigint")))
+    lines = event_lines(spark, folder).select("seq", F.expr(b.keep_to_length("keep")).alias("bytes"))
+    return lines.withColumn("keep", F.expr(b.length_to_keep("bytes")))
 
 
 # Packet lengths taken from the conversations: bytes of text, so any remainder modulo four occurs, zero included.
@@ -173,12 +173,12 @@ def text_packets(spark, folder):
 
 @query(f"WITH t AS ({TURNS_SQL}) SELECT * FROM t WHERE length <> 0")
 def f12_nonempty_packets(spark, folder):
-    return text_packets(spark, folder).where(b.is_not_empty(F.col("length")))
+    return text_packets(spark, folder).where(b.is_not_empty("length"))
 
 
 @query(f"WITH t AS ({TURNS_SQL}) SELECT *, length // 4 AS tuples FROM t")
 def f13_packet_tuples(spark, folder):
-    return text_packets(spark, folder).withColumn("tuples", b.tuples_in_packet(F.col("length")))
+    return text_packets(spark, folder).withColumn("tuples", F.expr(b.tuples_in_packet("length")))
 
 
 @query(f"SELECT p_partkey, p_size, p_size BETWEEN {MIN_P} AND {MAX_P} AS valid FROM part")
@@ -222,13 +222,16 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN raw <= 40960 AND zeros > 0 THEN
 def a8_large_range(spark, folder):
     """The corrections as scalar functions over raw values of every size."""
     lines = read_table(spark, folder, "lineitem")
-    raw = F.col("l_extendedprice") * F.pow(F.lit(10.0), F.col("l_linenumber") - 3)
-    refined = refine(raw, F.col("l_orderkey") % 3, 14, "hw32")
+    lines = u64.step(lines, raw="l_extendedprice * power(10.0D, l_linenumber - 3)", zeros="l_orderkey % 3")
+    refined = F.expr(refine("raw", "zeros", 14, "hw32"))
     return lines.select("l_orderkey", "l_linenumber", rounded(refined, 2).alias("refined"))
 
 
 FOLD_MULTIPLIER = 2654435761
-register_hash("multiplicative", 32, lambda key: u64.low32(u64.mul64(key, FOLD_MULTIPLIER, narrow=True)))
+register_hash(
+    "multiplicative", 32,
+    attach=lambda df, key, out: u64.step(df, **{out: u64.low32(u64.mul64(key, FOLD_MULTIPLIER, narrow=True))}),
+)
 FOLDED = f"hashed AS (SELECT key, (key::UBIGINT * {FOLD_MULTIPLIER}::UBIGINT) % {q.TWO32}::UBIGINT AS h FROM k)"
 
 

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.u64 import low32
+from ..functions.u64 import bits, low32
 
 # Ship the functions used inside tasks by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +27,7 @@ def naturals(spark: SparkSession, n: int, start: int = 0, partitions: int | None
 def uniform(spark: SparkSession, n: int, seed: int = DEFAULT_SEED, partitions: int | None = None) -> DataFrame:
     """``n`` seeded draws ``(draw, key)``, uniform over 0..2**32-1, the same for any number of partitions."""
     draws = spark.range(0, n, 1, partitions).withColumnRenamed("id", "draw")
-    return draws.select("draw", low32(F.xxhash64("draw", F.lit(seed).cast("bigint"))).alias("key"))
+    return draws.select("draw", F.expr(low32(f"xxhash64(draw, {bits(seed)})")).alias("key"))
 
 
 def from_generator(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import KEY_BYTES, keys_in_line, lane_is_valid, length_to_keep
+from ..functions.u64 import step
 
 LINE_SCHEMA = "seq BIGINT, lanes ARRAY<BIGINT>, keep BIGINT, last BOOLEAN"
 
@@ -26,7 +27,7 @@ def pack_lines(keys: DataFrame, order: str, key: str, width: int, lanes: int = 1
     return grouped.select(
         "seq",
         F.concat(F.transform("items", lambda x: x["k"]), padding).alias("lanes"),
-        length_to_keep((F.size("items") * KEY_BYTES).cast("bigint")).alias("keep"),
+        F.expr(length_to_keep(f"size(items) * {KEY_BYTES}")).alias("keep"),
     )
 
 
@@ -38,16 +39,14 @@ def unpack_lines(lines: DataFrame, carry: Sequence[str] = ("seq", "last"), paddi
     if padding not in ("drop", "as_zero"):
         raise ValueError(f"padding must be 'drop' or 'as_zero', got {padding!r}")
     exploded = lines.select(*carry, "keep", F.posexplode("lanes").alias("lane", "__key"))
-    valid = lane_is_valid(F.col("keep"), F.col("lane")) & F.col("__key").isNotNull()
-    rows = exploded.select(*carry, "lane", "__key", valid.alias("valid"))
+    rows = step(exploded, valid=f"{lane_is_valid('keep', 'lane')} AND __key IS NOT NULL")
     if padding == "drop":
         return rows.where("valid").select(*carry, "lane", F.col("__key").alias("key"), "valid")
-    key = F.when(F.col("valid"), F.col("__key")).otherwise(F.lit(0).cast("bigint"))
-    return rows.select(*carry, "lane", key.alias("key"), "valid")
+    return rows.select(*carry, "lane", F.expr("CASE WHEN valid THEN __key ELSE 0L END AS key"), "valid")
 
 
 def count_lane_keys(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Keys carried by the lines according to their masks, without unpacking them."""
     return lines.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(keys_in_line(F.col("keep"))), F.lit(0)).alias("keys")
+        F.expr("count(1) AS lines"), F.expr(f"coalesce(sum({keys_in_line('keep')}), 0L) AS keys")
     )

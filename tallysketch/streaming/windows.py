@@ -170,9 +170,9 @@ class PacketWindows:
         by, group = list(self.by), [*self.by, "window_id"]
         counts, open_registers = self._carried(batch.sparkSession, batch.schema, batch_id)
         marker = F.col("last") if self.close == "last" else F.lit(False)
-        packets = batch.where(is_not_empty(F.col("length"))).select(
+        packets = batch.where(is_not_empty("length")).select(
             *by, F.col("seq").cast("bigint").alias("seq"), F.col("length").cast("bigint").alias("length"),
-            tuples_in_packet(F.col("length")).alias("tuples"), marker.alias("last"),
+            F.expr(tuples_in_packet("length")).alias("tuples"), marker.alias("last"),
             F.col("payload").cast("array<bigint>").alias("payload"),
         )
         carried = counts.where("bytes > 0").select(

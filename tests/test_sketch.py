@@ -121,10 +121,10 @@ def test_wide_ranks_span_both_words(spark):
 def test_large_range_correction(spark):
     frame = spark.createDataFrame([(1e6, 0), (2e8, 0), (2e8, 3), (100.0, 5), (100.0, 0)], "raw DOUBLE, zeros BIGINT")
     m = 16384
-    got = [r[0] for r in frame.select(refine(F.col("raw"), F.col("zeros"), 14, "hw32")).collect()]
+    got = [r[0] for r in frame.select(F.expr(refine("raw", "zeros", 14, "hw32"))).collect()]
     big = -(2.0**32) * math.log(1 - 2e8 / 2**32)
     assert got == pytest.approx([1e6, big, big, m * math.log(m / 5), 100.0])
-    assert frame.select(refine(F.col("raw"), F.col("zeros"), 14)).collect()[1][0] == 2e8
+    assert frame.select(F.expr(refine("raw", "zeros", 14))).collect()[1][0] == 2e8
 
 
 def test_errors_stay_within_three_sigma(spark):
