@@ -69,8 +69,8 @@ def count_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: i
 
     A window closes at the packet whose running count reaches its end exactly, and only after all earlier windows have
     closed; a packet belongs wholly to one window.  Once a window overshoots, it stays open for good.  ``by`` gives each
-    group its own windows; without it one window series spans all packets.  The closing rule that ends a window at the
-    first packet past ``size`` depends on every earlier packet, so it is offered as a stream operator only.
+    group its own windows; without it one window series spans all packets.  For windows that close
+    at the first packet reaching ``size`` see ``reach.reaching_windows``.
     """
     if size < 1:
         raise ValueError(f"size must be positive, got {size}")

@@ -217,14 +217,14 @@ def f17_out_of_range(spark, folder):
 @query("""WITH x AS (
   SELECT l_orderkey, l_linenumber, l_extendedprice * power(10.0e0, l_linenumber - 3) AS raw, l_orderkey % 3 AS zeros
   FROM lineitem)
-SELECT l_orderkey, l_linenumber, round(CASE WHEN raw <= 40960 AND zeros > 0 THEN 16384 * ln(16384.0e0 / zeros)
-  WHEN raw > 143165576.6e0 THEN -4294967296.0e0 * ln(1 - raw / 4294967296.0e0) ELSE raw END, 2) AS refined FROM x""")
+SELECT l_orderkey, l_linenumber, round(ln(CASE WHEN raw <= 40960 AND zeros > 0 THEN 16384 * ln(16384.0e0 / zeros)
+  WHEN raw > 143165576.6e0 THEN -4294967296.0e0 * ln(1 - raw / 4294967296.0e0) ELSE raw END), 9) AS log_refined FROM x""")
 def a8_large_range(spark, folder):
     """The corrections as scalar functions over raw values of every size."""
     lines = read_table(spark, folder, "lineitem")
     lines = u64.step(lines, raw="l_extendedprice * power(10.0D, l_linenumber - 3)", zeros="l_orderkey % 3")
     refined = F.expr(refine("raw", "zeros", 14, "hw32"))
-    return lines.select("l_orderkey", "l_linenumber", rounded(refined, 2).alias("refined"))
+    return lines.select("l_orderkey", "l_linenumber", rounded(F.ln(refined), 9).alias("log_refined"))
 
 
 FOLD_MULTIPLIER = 2654435761

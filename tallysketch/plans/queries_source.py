@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.reach import reaching_windows
 from ..operators.routing import merge_by_origin, merge_fair, merge_priority, split_packets
 from ..operators.running import running
 from ..operators.windows import count_windows, estimate_windows, payload_offsets, run_ids, running_tuples
@@ -332,3 +333,20 @@ def x6_extent_to_result(spark, folder):
     results = new_folder(spark, "result")
     estimate_extent(spark, path, results, offset=0, length=4 * n)
     return spark.read.parquet(results).select("run_id", rounded("estimate").alias("estimate"))
+
+
+AT_LEAST = 3 * KEYS_PER_PACKET - 5
+WALK = f"""ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS nth FROM packets),
+walk AS (SELECT session_id, nth, seq, length, tuples AS held, CAST(1 AS BIGINT) AS window_id FROM ordered WHERE nth = 1
+  UNION ALL SELECT o.session_id, o.nth, o.seq, o.length, CASE WHEN held >= {AT_LEAST} THEN o.tuples ELSE held + o.tuples END,
+    window_id + CAST(held >= {AT_LEAST} AS BIGINT)
+  FROM walk JOIN ordered o ON o.session_id = walk.session_id AND o.nth = walk.nth + 1)"""
+
+
+@query(q.with_(
+    PACKETS_SQL, WALK, select=f"SELECT session_id, seq, window_id, held >= {AT_LEAST} AS closes FROM walk", recursive=True,
+))
+def w3_reaching_windows(spark, folder):
+    """Windows that close at the first packet reaching the size, cut in small blocks so that their summaries matter."""
+    windowed = reaching_windows(event_packets(spark, folder), AT_LEAST, ["session_id"], bits=6)
+    return windowed.select("session_id", "seq", "window_id", "closes")

@@ -16,7 +16,7 @@ from . import sqltext as q
 from .catalog import KEYS_PER_PACKET, PACKETS_SQL, event_packets, query, rounded
 from .queries_sketch import ESTIMATE, REGISTERS, registers_sql
 from .queries_source import (
-    GLOBAL_SIZE, SESSION_SIZE, exploded, tee_payload_sql, tee_result_sql, window_estimates_sql,
+    AT_LEAST, GLOBAL_SIZE, SESSION_SIZE, exploded, tee_payload_sql, tee_result_sql, WALK, window_estimates_sql,
 )
 
 BATCHES = 4
@@ -28,13 +28,18 @@ def event_stream(spark, folder):
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
-def chunked_stream(spark, frame, order):
-    """A table as a stream of several micro-batches in ``order``."""
+def run_in_chunks(spark, frame, order, run):
+    """Append a table to an inbox in ``BATCHES`` ranges of ``order`` and run the stream to its end after each.
+
+    Every run is a new query on the checkpoint of the one before.
+    """
     inbox = new_folder(spark, "inbox")
-    frame.repartitionByRange(BATCHES, order).sortWithinPartitions(order).write.parquet(inbox)
-    # Files of one write are read oldest first, which need not be their order; one directory per chunk would be no
-    # different, so the reader takes them by name.
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    bounds = frame.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    step = (bounds.high - bounds.low) // BATCHES + 1
+    for i in range(BATCHES):
+        low = bounds.low + i * step
+        frame.where(F.col(order).between(low, low + step - 1)).write.mode("append").parquet(inbox)
+        run(spark.readStream.schema(frame.schema).parquet(inbox)).awaitTermination()
 
 
 @query(q.with_(*registers_sql("events", "user_id", p=12), select=REGISTERS))
@@ -49,8 +54,8 @@ def t1_stream_registers(spark, folder):
 def t1_stream_registers_by_type(spark, folder):
     """Several micro-batches; each writes only the registers that changed."""
     out = new_folder(spark, "registers")
-    events = chunked_stream(spark, read_table(spark, folder, "events").select("event_id", "event_type", "user_id"), "event_id")
-    keep_registers(events, out, "user_id", 12, by=["event_type"]).awaitTermination()
+    events = read_table(spark, folder, "events").select("event_id", "event_type", "user_id")
+    run_in_chunks(spark, events, "event_id", lambda s: keep_registers(s, out, "user_id", 12, by=["event_type"]))
     return read_kept_registers(spark, out, ["event_type"])
 
 
@@ -58,31 +63,19 @@ def t1_stream_registers_by_type(spark, folder):
 def t2_running_estimate(spark, folder):
     """The estimate after the last micro-batch of several."""
     out = new_folder(spark, "estimates")
-    events = chunked_stream(spark, read_table(spark, folder, "events").select("event_id", "user_id"), "event_id")
-    keep_estimates(events, out, "user_id").awaitTermination()
+    events = read_table(spark, folder, "events").select("event_id", "user_id")
+    run_in_chunks(spark, events, "event_id", lambda s: keep_estimates(s, out, "user_id"))
     last = spark.read.parquet(f"{out}/estimates").agg(F.max_by("estimate", "batch_id").alias("estimate"))
     return last.select(rounded("estimate").alias("estimate"))
 
 
 def run_windows(spark, folder, **options):
-    """The event packets in a stream of four micro-batches through counted windows."""
-    packets = event_packets(spark, folder)
+    """The event packets in a stream of several micro-batches through counted windows."""
     window = PacketWindows(new_folder(spark, "windows"), **options)
-    window.start(ordered_stream(spark, packets, "seq")).awaitTermination()
+    run_in_chunks(spark, event_packets(spark, folder), "seq", window.start)
     return window
 
 
-def ordered_stream(spark, frame, order):
-    """Like ``chunked_stream`` with the chunks arriving in order: each is written before the next."""
-    inbox = new_folder(spark, "inbox")
-    bounds = frame.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    step = (bounds.high - bounds.low) // BATCHES + 1
-    for i in range(BATCHES):
-        low = bounds.low + i * step
-        frame.where(F.col(order).between(low, low + step - 1)).coalesce(1).write.mode("append").parquet(inbox)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-
-
 @query(tee_result_sql(SESSION_SIZE, "session_id"))
 def t3_count_windows(spark, folder):
     """Windows of a fixed number of keys per session, closing on an exact hit."""
@@ -90,13 +83,7 @@ def t3_count_windows(spark, folder):
     return window.results(spark).withColumn("estimate", rounded("estimate"))
 
 
-AT_LEAST = 3 * KEYS_PER_PACKET - 5
-WALK = f"""ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS nth FROM packets),
-walk AS (SELECT session_id, nth, seq, length, tuples AS held, CAST(1 AS BIGINT) AS window_id FROM ordered WHERE nth = 1
-  UNION ALL SELECT o.session_id, o.nth, o.seq, o.length, CASE WHEN held >= {AT_LEAST} THEN o.tuples ELSE held + o.tuples END,
-    window_id + CAST(held >= {AT_LEAST} AS BIGINT)
-  FROM walk JOIN ordered o ON o.session_id = walk.session_id AND o.nth = walk.nth + 1),
-closed AS (SELECT session_id, window_id, CAST(sum(length) AS BIGINT) AS "offset", max(held) AS held FROM walk
+CLOSED = f"""closed AS (SELECT session_id, window_id, CAST(sum(length) AS BIGINT) AS "offset" FROM walk
   GROUP BY session_id, window_id HAVING max(held) >= {AT_LEAST})"""
 MARKED = """marked AS (SELECT *, 1 + CAST(coalesce(sum(CAST(last AS INTEGER)) OVER (PARTITION BY session_id ORDER BY seq
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS window_id FROM packets),
@@ -119,7 +106,7 @@ def walked_sql(walk):
     )
 
 
-@query(walked_sql(WALK))
+@query(walked_sql(f"{WALK},\n{CLOSED}"))
 def t3_windows_at_least(spark, folder):
     """Windows that close at the first packet reaching the size."""
     window = run_windows(spark, folder, size=AT_LEAST, p=12, hash="murmur3_32")

@@ -8,13 +8,8 @@ the same predecessor and overwrites its own output.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,76 +19,17 @@ from ..functions.bits import is_not_empty, tuples_in_packet
 from ..functions.hashes import get_hash
 from ..operators.estimate import estimate_registers
 from ..operators.registers import build_registers, check_p, merge_registers
+from ..operators.reach import reaching_windows
 from ..operators.running import BLOCK_BITS
-from ..operators.windows import (
-    attach_group_value,
-    count_windows,
-    marked_windows,
-    packet_tuples,
-    payload_offsets,
-    window_results,
-)
+from ..operators.windows import attach_group_value, count_windows, marked_windows, payload_offsets, window_results
 from ..sources.sinks import write_batch
 from .registers import start
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 CLOSE_RULES = ("at_least", "exact", "last")
 # The state of an open window enters the next batch as one packet in front of all others.
 CARRIED_SEQ = -1
 
 
-def close_at_least(tuples: np.ndarray, size: int, count: int) -> tuple[np.ndarray, int]:
-    """Positions of the packets that bring the count since the last close to ``size`` or more, and what remains.
-
-    ``count`` keys are already in the open window.  One binary search per closed window.
-    """
-    totals = np.cumsum(tuples) + count
-    closing, base = [], 0
-    while True:
-        at = int(np.searchsorted(totals, base + size))
-        if at >= len(totals):
-            break
-        closing.append(at)
-        base = int(totals[at])
-    left = (int(totals[-1]) if len(totals) else count) - base
-    return np.asarray(closing, dtype=np.int64), left
-
-
-def _at_least_windows(packets: DataFrame, size: int, by: Sequence[str]) -> DataFrame:
-    """Like ``count_windows`` for the rule "first packet that reaches ``size``".
-
-    Each close depends on the one before, so the packets of one group are walked in order; only their sequence numbers
-    and key counts of one micro-batch take that path.
-    """
-    used = packet_tuples(packets)
-    group = list(by) or ["__all"]
-    narrow = used if by else used.withColumn("__all", F.lit(0))
-    narrow = narrow.select(*group, "seq", "tuples")
-    schema = T.StructType([
-        *narrow.select(*group, "seq").schema.fields,
-        T.StructField("window_id", T.LongType()), T.StructField("closes", T.BooleanType()),
-        T.StructField("window_closed", T.BooleanType()),
-    ])
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable", ignore_index=True)
-        closing, _ = close_at_least(rows["tuples"].to_numpy(), size, 0)
-        position = np.arange(len(rows))
-        earlier = np.searchsorted(closing, position)
-        return rows[[*group, "seq"]].assign(
-            window_id=earlier + 1, closes=np.isin(position, closing), window_closed=earlier < len(closing)
-        )
-
-    assigned = narrow.groupBy(*group).applyInPandas(assign, schema)
-    names = [f"__group{i}" for i in range(len(by))]
-    renamed = assigned.withColumnsRenamed({"seq": "__seq", **dict(zip(by, names))})
-    condition = F.col("seq") == F.col("__seq")
-    for c, n in zip(by, names):
-        condition = condition & F.col(c).eqNullSafe(F.col(n))
-    return used.join(renamed, condition).select(*used.columns, "window_id", "closes", "window_closed")
-
-
 @dataclass(frozen=True)
 class PacketWindows:
     """Distinct keys per window of ``size`` keys over packets ``(seq, length, payload, by...)``.
@@ -113,7 +49,7 @@ class PacketWindows:
     by: tuple[str, ...] = ("session_id",)
     p: int = 16
     hash: str = "murmur3_64_h1"
-    bits: int = field(default=BLOCK_BITS)
+    bits: int = BLOCK_BITS
 
     def __post_init__(self) -> None:
         check_p(self.p)
@@ -141,7 +77,7 @@ class PacketWindows:
             return count_windows(rows, self.size, self.by, self.bits)
         if self.close == "last":
             return marked_windows(rows, self.by, bits=self.bits)
-        return _at_least_windows(rows, self.size, self.by)
+        return reaching_windows(rows, self.size, self.by, self.bits)
 
     def _carried(self, spark: SparkSession, schema: T.StructType, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """Counts and open registers the previous batch left."""

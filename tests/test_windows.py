@@ -3,9 +3,11 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallysketch.operators.reach import closing_packets, reaching_windows, summarise
 from tallysketch.operators.registers import build_registers
 from tallysketch.operators.windows import count_windows, estimate_windows, marked_windows, payload_offsets, run_ids
 from tallysketch.operators.estimate import estimate_registers
@@ -58,6 +60,36 @@ def test_count_windows_matches_the_state_machine(spark, by, size, lengths):
     assert sorted((tuple(r) for r in got), key=str) == expected
 
 
+@pytest.mark.parametrize("by,bits", [(["session_id"], 2), ([], 3), (["session_id"], 16)])
+@pytest.mark.parametrize("size,lengths", [(12, [4, 8, 16, 0, 3]), (1, [4, 2]), (100, [40, 4, 7])])
+def test_reaching_windows_match_the_state_machine(spark, by, bits, size, lengths):
+    rows = make_packets(size, 150, 3, lengths)
+    windowed = reaching_windows(spark.createDataFrame(rows, SCHEMA), size, by, bits)
+    group = F.col("session_id") if by else F.lit(None)
+    expected, closed = walk(rows, size, "at_least", bool(by))
+    got = sorted((tuple(r) for r in windowed.select(group, "window_id", "seq", "closes", "window_closed").collect()), key=str)
+    assert got == [(g, w, s, c, (g, w) in closed) for g, w, s, _, c in expected]
+
+
+def test_block_summaries():
+    rng = np.random.default_rng(2)
+    for size in (1, 3, 10, 50):
+        for _ in range(40):
+            tuples = rng.integers(0, 6, rng.integers(1, 30))
+            reach, closes, left, total = summarise(tuples, size)
+            for held in range(size):
+                closing = closing_packets(tuples, size, held)
+                count, state = 0, held
+                for t in tuples:
+                    state += int(t)
+                    if state >= size:
+                        count, state = count + 1, 0
+                assert len(closing) == count
+                at = int(np.searchsorted(reach, size - held))
+                got = (closes[at], left[at]) if at < len(reach) else (0, held + total)
+                assert got == (count, state)
+
+
 def test_marked_windows_and_run_ids(spark):
     rows = make_packets(5, 120, 3, [4, 8])
     frame = spark.createDataFrame(rows, SCHEMA)
@@ -73,9 +105,11 @@ def test_marked_windows_and_run_ids(spark):
 
 def test_null_sessions_are_kept(spark):
     rows = [(i, None if i % 2 else 7, 4, 0, 0, False, [i], False) for i in range(20)]
-    windowed = count_windows(spark.createDataFrame(rows, SCHEMA), 5, ["session_id"], bits=1)
-    assert windowed.count() == 20
-    assert windowed.where("closes").groupBy("session_id").count().orderBy("session_id").collect() == [(None, 2), (7, 2)]
+    for assign in (count_windows, reaching_windows):
+        windowed = assign(spark.createDataFrame(rows, SCHEMA), 5, ["session_id"], bits=1)
+        assert windowed.count() == 20
+        closes = windowed.where("closes").groupBy("session_id").count().orderBy("session_id")
+        assert closes.collect() == [(None, 2), (7, 2)]
 
 
 def test_window_estimates_equal_direct_sketches(spark):
