@@ -10,10 +10,11 @@ one summary per block.
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ from .windows import packet_tuples
 # Ship the functions used inside tasks by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+OUTPUT_ROWS = 10000
+_SQL_TYPES = {
+    pa.string(): "STRING", pa.int64(): "BIGINT", pa.bool_(): "BOOLEAN", pa.list_(pa.int64()): "ARRAY<BIGINT>",
+}
+
 
 def closing_packets(tuples: np.ndarray, size: int, held: int) -> np.ndarray:
     """Positions of the packets that bring the keys since the last close to ``size``; one binary search per window."""
@@ -55,38 +61,89 @@ def summarise(tuples: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return reach[:first], count[:first], (total - reach[final[:n]])[:first], total
 
 
-def _summary(rows: pd.DataFrame, size: int) -> pd.DataFrame:
-    rows = rows.sort_values("seq", kind="stable")
-    reach, closes, left, total = summarise(rows["tuples"].to_numpy(), size)
-    head = rows.iloc[:1][["__group", "__block"]].reset_index(drop=True)
-    return head.assign(reach=[reach], closes=[closes], left=[left], total=total)
-
-
-def _entries(blocks: pd.DataFrame, size: int) -> pd.DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], values: Sequence[str]):
+    """Consecutive rows with equal keys in a sorted partition: ``(key, [value array...])``, one run in memory at a time."""
+    current, parts = None, []
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        labels = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        arrays = [batch.column(batch.schema.get_field_index(v)).to_numpy(zero_copy_only=False) for v in values]
+        change = np.zeros(rows, bool)
+        for label in labels:
+            change[1:] |= pc.not_equal(label.slice(1), label.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        edges = [0, *np.flatnonzero(change).tolist(), rows]
+        for low, high in zip(edges, edges[1:]):
+            key = tuple(label[low].as_py() for label in labels)
+            if key != current and parts:
+                yield current, [np.concatenate(p) for p in zip(*parts)]
+                parts = []
+            current = key
+            parts.append([a[low:high] for a in arrays])
+    if parts:
+        yield current, [np.concatenate(p) for p in zip(*parts)]
+
+
+def _batches(tables: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pack many small column sets into record batches."""
+    held, rows = [], 0
+    for table in tables:
+        held.append(pa.RecordBatch.from_arrays([pa.array(table[f.name], f.type) for f in schema], schema=schema))
+        rows += held[-1].num_rows
+        if rows >= OUTPUT_ROWS or len(held) >= OUTPUT_ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _summaries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
+    for (group, block), (tuples,) in _runs(batches, ["__group", "__block"], ["tuples"]):
+        reach, closes, left, total = summarise(tuples, size)
+        yield {
+            "__group": [group], "__block": [block], "reach": [reach], "closes": [closes], "left": [left], "total": [total]
+        }
+
+
+def _entries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
     """Keys held and windows closed before each block, and the windows closed in the whole group."""
-    blocks = blocks.sort_values("__block")
-    held, closed, out = 0, 0, []
-    for group, block, reach, closes, left, total in blocks[
-        ["__group", "__block", "reach", "closes", "left", "total"]
-    ].itertuples(index=False, name=None):
-        out.append((group, block, held, closed))
-        at = int(np.searchsorted(reach, size - held))
-        if at < len(reach):
-            closed += int(closes[at])
-            held = int(left[at])
-        else:
-            held += int(total)
-    return pd.DataFrame(out, columns=["__group", "__block", "__held", "__earlier"]).assign(__closed=closed)
-
-
-def _cut(rows: pd.DataFrame, size: int) -> pd.DataFrame:
-    rows = rows.sort_values("seq", kind="stable", ignore_index=True)
-    closing = closing_packets(rows["tuples"].to_numpy(), size, int(rows["__held"].iloc[0]))
-    position = np.arange(len(rows))
-    window = np.searchsorted(closing, position) + rows["__earlier"] + 1
-    return rows[["__group", "seq"]].assign(
-        window_id=window, closes=np.isin(position, closing), window_closed=window <= rows["__closed"]
-    )
+    columns = ["__block", "reach", "closes", "left", "total"]
+    for (group,), (blocks, reaches, counts, lefts, totals) in _runs(batches, ["__group"], columns):
+        held, closed, before = 0, 0, []
+        for reach, closes, left, total in zip(reaches, counts, lefts, totals):
+            before.append((held, closed))
+            at = int(np.searchsorted(reach, size - held))
+            if at < len(reach):
+                closed, held = closed + int(closes[at]), int(left[at])
+            else:
+                held += int(total)
+        yield {
+            "__group": [group] * len(blocks), "__block": blocks, "__held": [h for h, _ in before],
+            "__earlier": [c for _, c in before], "__closed": [closed] * len(blocks),
+        }
+
+
+def _cuts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
+    columns = ["seq", "tuples", "__held", "__earlier", "__closed"]
+    for (group, _), (seq, tuples, held, earlier, closed) in _runs(batches, ["__group", "__block"], columns):
+        closing = closing_packets(tuples, size, int(held[0]))
+        position = np.arange(len(seq))
+        window = np.searchsorted(closing, position) + earlier + 1
+        closes = np.zeros(len(seq), bool)
+        closes[closing] = True
+        yield {
+            "__group": [group] * len(seq), "seq": seq, "window_id": window, "closes": closes,
+            "window_closed": window <= closed,
+        }
+
+
+def _over_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, size: int, fields: list) -> DataFrame:
+    """Run ``fn`` over partitions that hold whole key groups in order."""
+    arrow = pa.schema(fields)
+    ddl = ", ".join(f"{f.name} {_SQL_TYPES[f.type]}" for f in arrow)
+    placed = df.repartition(*keys).sortWithinPartitions(*order)
+    return placed.mapInArrow(lambda batches: _batches(fn(batches, size), arrow), ddl)
 
 
 def reaching_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:
@@ -99,17 +156,19 @@ def reaching_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits
     narrow = used.select(
         group.alias("__group"), F.expr(f"shiftright(seq, {bits}) AS __block"), F.col("seq").cast("bigint"), "tuples"
     )
-    blocks = narrow.groupBy("__group", "__block").applyInPandas(
-        lambda rows: _summary(rows, size),
-        "__group STRING, __block BIGINT, reach ARRAY<BIGINT>, closes ARRAY<BIGINT>, left ARRAY<BIGINT>, total BIGINT",
+    block, whole, list_type = ["__group", "__block"], ["__group"], pa.list_(pa.int64())
+    label, number = ("__group", pa.string()), pa.int64()
+    blocks = _over_sorted(
+        narrow, block, [*block, "seq"], _summaries, size,
+        [label, ("__block", number), ("reach", list_type), ("closes", list_type), ("left", list_type), ("total", number)],
     )
-    entries = blocks.groupBy("__group").applyInPandas(
-        lambda rows: _entries(rows, size),
-        "__group STRING, __block BIGINT, __held BIGINT, __earlier BIGINT, __closed BIGINT",
+    entries = _over_sorted(
+        blocks, whole, block, _entries, size,
+        [label, ("__block", number), ("__held", number), ("__earlier", number), ("__closed", number)],
     )
-    assigned = narrow.join(entries, ["__group", "__block"]).groupBy("__group", "__block").applyInPandas(
-        lambda rows: _cut(rows, size),
-        "__group STRING, seq BIGINT, window_id BIGINT, closes BOOLEAN, window_closed BOOLEAN",
+    assigned = _over_sorted(
+        narrow.join(entries, block), block, [*block, "seq"], _cuts, size,
+        [label, ("seq", number), ("window_id", number), ("closes", pa.bool_()), ("window_closed", pa.bool_())],
     )
     return used.withColumn("__group", group).join(assigned, ["__group", "seq"]).select(
         *used.columns, "window_id", "closes", "window_closed"
