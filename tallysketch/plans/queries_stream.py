@@ -149,7 +149,7 @@ def event_windows_sql(length, slide):
     """Windows of whole hours that the watermark has passed at the end of the input."""
     copies = length // slide
     rows = f"""timed AS MATERIALIZED (SELECT w.start AS window_start, w.start + {length} * 3600 AS window_end, key FROM (
-      SELECT (CAST(epoch(ts) AS BIGINT) // ({slide} * 3600) - i) * ({slide} * 3600) AS start, user_id AS key
+      SELECT (CAST(floor(epoch(ts)) AS BIGINT) // ({slide} * 3600) - i) * ({slide} * 3600) AS start, user_id AS key
       FROM events, range({copies}) AS r(i)) w)"""
     group = "window_start, window_end"
     return q.with_(
