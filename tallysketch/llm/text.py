@@ -7,7 +7,6 @@ texts count as empty. Words are runs of bytes other than space and 0x09 to 0x0D,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,19 +95,22 @@ def word_bounds(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size + 1, _BASE, np.uint64)
-    up[0] = 1
-    down = np.full(size + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-    down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse; the longest made so far are kept."""
+    if len(_held[0]) < size:
+        for place, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            powers = np.full(size + size // 4 + 65536, np.uint64(base))
+            powers[0] = 1
+            _held[place] = np.cumprod(powers)
+    return _held
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans of a sequence of 64-bit codes; equal spans have equal hashes wherever they stand."""
-    size = 1 << max(16, int(len(codes)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * up[:len(codes)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts])
