@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language, minhash, neighbours, packing, quality, suffix_dedup, toxicity  # noqa: F401
+from . import byte_bpe, exact_dedup, language, language_model, minhash, neighbours, packing, quality, suffix_dedup, toxicity  # noqa: F401
 from .catalog import QUERIES, SQL  # noqa: F401
