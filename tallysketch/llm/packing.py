@@ -27,7 +27,8 @@ from .text import slices
 REMEMBERED = 700_000
 LONGEST = 64
 SLICE = 4 << 20
-BLOCK = 100_000
+#: Pieces of one length that are numbered in one group.
+BLOCK = 1024
 
 Pattern = dict[int, int]
 
@@ -245,8 +246,11 @@ def pack(
     fixed, left = dominating(counts, capacity)
     found = places(fixed + best_fit(left, capacity))
 
-    blocks = 1 + sum(counts.values()) // BLOCK
-    dealt = pieces.withColumn("__block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    # One row for each length: no more than the capacity.
+    ways = spark.createDataFrame([(length, 1 + n // BLOCK) for length, n in counts.items()], "length long, __ways long")
+    dealt = pieces.join(F.broadcast(ways), "length").withColumn(
+        "__block", F.pmod(F.xxhash64("doc_id", "piece"), F.col("__ways"))
+    )
     before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("length", "__block").count().select(
         "length", "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"),
