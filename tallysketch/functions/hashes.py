@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .u64 import add64, bits, fmix64, low32, mul64, rotl64, step
 
@@ -122,13 +123,18 @@ _ALIASES = {"sip": "sip_variant", "murmur3_32avx": "murmur3_32", "murmur3_64avx"
 
 def register_hash(
     name: str, width: int, fn: Callable[[Column], Column] | None = None, *, attach: Attach | None = None,
-    u32_keys: bool = True,
+    u32_keys: bool = True, replace: bool = False,
 ) -> HashFunction:
-    """Add a hash under ``name``.  ``fn`` maps the key column to the hash column; ``attach`` is the multi-step form."""
+    """Add a hash under ``name``.  ``fn`` maps the key column to the hash column; ``attach`` is the multi-step form.
+
+    A name that is taken raises unless ``replace`` is set: stored sketches are merged by the name of their hash.
+    """
     if width not in (32, 64, 128):
         raise ValueError(f"hash width must be 32, 64 or 128, got {width}")
     if (fn is None) == (attach is None):
         raise ValueError("give exactly one of fn and attach")
+    if not replace and (name.lower() in _REGISTRY or name.lower() in _ALIASES):
+        raise ValueError(f"hash {name!r} is registered already")
     spec = HashFunction(name.lower(), width, attach or _by_column(fn), u32_keys)
     _REGISTRY[spec.name] = spec
     return spec
@@ -172,10 +178,26 @@ register_hash("sip_variant", 64, attach=_attach_sip)
 register_hash("xxhash64", 64, attach=_by_text(lambda key: f"xxhash64({key})"), u32_keys=False)
 
 
-def hash_keys(df: DataFrame, key: str, hash: str | HashFunction, out: str = "hash") -> DataFrame:
-    """Drop NULL keys, check the key range where the hash needs it, and add the hash as ``out``."""
+def check_key_type(df: DataFrame, key: str) -> None:
+    """Raise unless the column holds whole numbers: a cast would fold different fractions into one key."""
+    kind = df.schema[key].dataType
+    whole = isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and kind.scale == 0
+    if not whole and not isinstance(kind, T.NullType):
+        raise TypeError(f"key column {key!r} must hold whole numbers, not {kind.simpleString()}; hash other types with xxhash64")
+
+
+def hash_keys(
+    df: DataFrame, key: str, hash: str | HashFunction, out: str = "hash", keep_nulls: bool = False
+) -> DataFrame:
+    """Check the keys' type and range where the hash needs it, and add the hash as ``out``.
+
+    Rows with a NULL key are dropped, or with ``keep_nulls`` kept with an undefined hash.
+    """
     spec = get_hash(hash)
-    df = df.where(F.col(key).isNotNull())
+    if not keep_nulls:
+        df = df.where(F.col(key).isNotNull())
     if not spec.u32_keys:
         return spec.attach(df, key, out)
-    return spec.attach(step(df.withColumn("__key", F.col(key)), __key=u32_key("__key")), "__key", out).drop("__key")
+    check_key_type(df, key)
+    filled = df.withColumn("__key", F.coalesce(F.col(key), F.lit(0)) if keep_nulls else F.col(key))
+    return spec.attach(step(filled, __key=u32_key("__key")), "__key", out).drop("__key")

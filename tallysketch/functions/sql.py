@@ -49,8 +49,9 @@ _REFINE = (
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Create the session's ``tally_*`` SQL functions and return their names.
 
-    An approximate distinct count in SQL: take ``max(tally_rank(h, W, p))`` per ``tally_bucket(h, W, p)``, then
-    ``tally_estimate(count(*), sum(power(2, -rank)), p)`` over those registers.
+    An approximate distinct count in SQL: take ``min(h)`` per ``tally_bucket(h, W, p)`` (within a bucket the smallest
+    hash has the largest rank, so nothing but the hash is computed per row), its ``tally_rank(min(h), W, p)``, count the
+    registers of each rank, and give ``tally_estimate(sum(n), sum(n * power(2, -rank)), p)`` over those counts.
     """
     definitions = _definitions()
     for signature, returns, body in [*definitions[:-1], _REFINE, definitions[-1]]:

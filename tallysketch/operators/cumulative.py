@@ -46,13 +46,19 @@ def cumulative_estimates(
     A register contributes to the running sums only where it grows, so nothing is spread over a checkpoint-by-bucket
     grid.  The last window holds one row per checkpoint and group.
     """
-    words = words_for(get_hash(hash).width)
     registers = build_registers(df, key, p, hash, [*by, checkpoint])
+    return cumulative_from_registers(registers, checkpoint, p, words_for(get_hash(hash).width), by)
+
+
+def cumulative_from_registers(
+    registers: DataFrame, checkpoint: str, p: int, words: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """The same from registers ``(by..., checkpoint, bucket, rank)``."""
     earlier = Window.partitionBy(*by, "bucket").orderBy(checkpoint).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.max("rank").over(earlier), F.lit(0).cast("tinyint"))
     grown = registers.withColumn("__before", before).withColumn("__now", F.greatest("rank", "__before"))
     steps = grown.groupBy(*by, checkpoint).agg(
-        F.expr("count_if(__before = 0) AS __nonempty"),
+        F.expr("count_if(__before = 0 AND __now > 0) AS __nonempty"),
         *[F.expr(f"sum({rank_word('__now', i)} - {rank_word('__before', i)}) AS __word{i}") for i in range(words)],
     )
     so_far = Window.partitionBy(*by).orderBy(checkpoint).rowsBetween(Window.unboundedPreceding, 0)

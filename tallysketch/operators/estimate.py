@@ -17,6 +17,7 @@ ALPHA_CORRECTION = 1.079
 SMALL_RANGE_FACTOR = 2.5
 LARGE_RANGE_START = 143165576.6
 TWO_POWER_32 = 4294967296.0
+HW32_WIDTH = 36
 
 # The harmonic sum is kept as integers: word i counts ranks 31*i+1 .. 31*(i+1) in units of 2**-(31*(i+1)).  Integer sums
 # do not depend on the order rows arrive in, so the same registers always give the same double.
@@ -57,13 +58,17 @@ def linear_count(zeros: str, p: int) -> str:
 
 
 def refine(raw: str, zeros: str, p: int, large_range: str = "none") -> str:
-    """Small-range correction, and with ``large_range='hw32'`` the 32-bit large-range one."""
+    """Small-range correction, and with ``large_range='hw32'`` the 32-bit large-range one.
+
+    A raw value of 2**32 and more says that every 32-bit hash has been seen: the corrected estimate is infinite.
+    """
     if large_range not in ("none", "hw32"):
         raise ValueError(f"large_range must be 'none' or 'hw32', got {large_range!r}")
     limit = f"{SMALL_RANGE_FACTOR * register_count(p)!r}D"
     branches = f"WHEN {raw} <= {limit} AND {zeros} > 0 THEN {linear_count(zeros, p)}"
     if large_range == "hw32":
         folded = f"-{TWO_POWER_32!r}D * ln(1.0D - {raw} / {TWO_POWER_32!r}D)"
+        branches += f" WHEN {raw} >= {TWO_POWER_32!r}D THEN CAST('Infinity' AS DOUBLE)"
         branches += f" WHEN {raw} > {limit} AND {raw} > {LARGE_RANGE_START!r}D THEN {folded}"
     return f"(CASE {branches} ELSE {raw} END)"
 
@@ -81,13 +86,18 @@ def finish(sums: DataFrame, p: int, words: int, by: Sequence[str] = (), large_ra
 
 def register_sums(words: int) -> list[Column]:
     sums = [f"coalesce(sum({rank_word('rank', i)}), 0L) AS word{i}" for i in range(words)]
-    return [F.expr(text) for text in ["count(1) AS nonempty", *sums]]
+    return [F.expr(text) for text in ["count_if(rank > 0) AS nonempty", *sums]]
 
 
 def estimate_registers(
     registers: DataFrame, p: int, width: int | None = None, by: Sequence[str] = (), large_range: str = "none"
 ) -> DataFrame:
-    """Distinct-count estimate per group: ``(by..., estimate, zeros, harmonic, raw)``; no input rows give 0.0."""
+    """Distinct-count estimate per group: ``(by..., estimate, zeros, harmonic, raw)``; no input rows give 0.0.
+
+    ``large_range='hw32'`` is for sketches of 32-bit hashes, and needs the ``width`` to be given.
+    """
+    if large_range == "hw32" and (width is None or width >= HW32_WIDTH):
+        raise ValueError(f"large_range='hw32' needs a hash of fewer than {HW32_WIDTH} bits, got {width}")
     words = words_for(width)
     sums = registers.groupBy(*by).agg(*register_sums(words))
     return finish(sums, p, words, by, large_range)

@@ -11,7 +11,7 @@ from ..functions.bits import error_bound_percent, error_percent
 from ..functions.hashes import HashFunction, get_hash
 from ..functions.u64 import step
 from .estimate import finish, register_sums, words_for
-from .registers import ranks, smallest_hashes
+from .registers import check_groups, ranks, smallest_hashes
 
 
 def exact_distinct(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -33,8 +33,8 @@ def error_report(
     The exact count and the sketch share the deduplicating shuffle: every bucket carries its number of distinct keys.
     """
     words = words_for(get_hash(hash).width)
-    distinct = df.select(*by, F.col(key).alias("__exact_key")).where(F.col("__exact_key").isNotNull()).distinct()
-    counted = smallest_hashes(distinct, "__exact_key", p, hash, by, [F.count(F.lit(1)).alias("__keys")])
+    distinct = df.select(*check_groups(by), F.col(key).alias("__exact_key")).distinct()
+    counted = smallest_hashes(distinct, "__exact_key", p, hash, by, [F.count("bucket").alias("__keys")])
     ranked = ranks(counted, p, hash, by, ["__keys"])
     sums = ranked.groupBy(*by).agg(F.coalesce(F.sum("__keys"), F.lit(0)).alias("exact"), *register_sums(words))
     report = finish(sums, p, words, [*by, "exact"]).select(*by, "exact", "estimate")

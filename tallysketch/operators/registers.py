@@ -1,6 +1,7 @@
 """Register tables: the sketch as an ordinary DataFrame ``(group..., bucket INT, rank TINYINT)``.
 
-Only registers with rank >= 1 have a row; an absent bucket is an empty register.
+Only registers with rank >= 1 have a row; an absent bucket is an empty register.  A group that has rows without a key
+also has a row with NULL as bucket and rank 0, so that a group without any key keeps its place (and its estimate, 0).
 """
 
 from __future__ import annotations
@@ -16,6 +17,25 @@ from ..functions.hashes import HashFunction, get_hash, hash_keys
 from ..functions.u64 import bits, step
 
 MIN_P, MAX_P = 4, 16
+# Columns the operators add: groups can't be called so.
+RESERVED = frozenset(
+    ["bucket", "rank", "p", "hash", "estimate", "zeros", "harmonic", "raw", "nonempty", "registers", "exact", "batch_id"]
+)
+
+
+def check_groups(by: Sequence[str]) -> tuple[str, ...]:
+    """Raise on group columns that would be overwritten: names the operators use, case apart."""
+    taken = [c for c in by if c.lower() in RESERVED or c.startswith("__") or c.lower().startswith("word")
+             and c[4:].isdigit()]
+    if taken:
+        raise ValueError(f"rename the group columns {', '.join(taken)}: these names are used by the sketch itself")
+    return tuple(by)
+
+
+def valid_p(p: str | Column) -> Column:
+    """Whether a column holds a usable number of bucket bits."""
+    column = F.col(p) if isinstance(p, str) else p
+    return F.coalesce(column.between(MIN_P, MAX_P), F.lit(False))
 
 
 def check_p(p: int) -> int:
@@ -44,10 +64,11 @@ def _smallest(spec: HashFunction, p: int) -> list[Column]:
 
 def _rank(spec: HashFunction, p: int) -> Column:
     if spec.width < 128:
-        return F.expr(rank_of("__min", spec.width, p)).alias("rank")
+        return F.expr(f"CASE WHEN bucket IS NULL THEN 0Y ELSE {rank_of('__min', spec.width, p)} END").alias("rank")
     from_high = f"{64 - p + 1} - {bit_length('__min')}"
     from_low = f"{128 - p + 1} - {bit_length(f'(__min_low ^ {bits(1 << 63)})')}"
-    return F.expr(f"CAST(CASE WHEN __min = 0 THEN {from_low} ELSE {from_high} END AS TINYINT)").alias("rank")
+    found = f"CASE WHEN bucket IS NULL THEN 0 WHEN __min = 0 THEN {from_low} ELSE {from_high} END"
+    return F.expr(f"CAST({found} AS TINYINT)").alias("rank")
 
 
 def smallest_hashes(
@@ -57,9 +78,11 @@ def smallest_hashes(
     """The aggregation half of a register build (also the stateful half of a stream); ``extra`` adds aggregates."""
     check_p(p)
     spec = get_hash(hash)
-    hashed = hash_keys(df.select(*by, F.col(key).alias("__k")), "__k", spec, "__hash")
+    # Without groups there is nothing to keep for NULL keys.
+    hashed = hash_keys(df.select(*by, F.col(key).alias("__k")), "__k", spec, "__hash", keep_nulls=bool(by))
     word = "__hash" if spec.width < 128 else "__hash.hi"
-    bucketed = step(hashed, bucket=bucket_of(word, min(spec.width, 64), p))
+    bucket = bucket_of(word, min(spec.width, 64), p)
+    bucketed = step(hashed, bucket=f"CASE WHEN __k IS NOT NULL THEN {bucket} END" if by else bucket)
     return bucketed.groupBy(*by, "bucket").agg(*_smallest(spec, p), *extra)
 
 
@@ -79,6 +102,7 @@ def build_registers(
     Every task pre-aggregates, so it sends at most ``2**p`` rows per group, and the shuffle key includes the bucket, so
     even a single huge group spreads over the cluster.  ``padding='as_zero'`` counts a NULL key as key 0.
     """
+    check_groups(by)
     if padding not in ("drop", "as_zero"):
         raise ValueError(f"padding must be 'drop' or 'as_zero', got {padding!r}")
     if padding == "as_zero":
@@ -94,12 +118,12 @@ def merge_registers(*tables: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def rank_histogram(registers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return registers.groupBy(*by, "rank").agg(F.count(F.lit(1)).alias("registers"))
+    return registers.where("rank > 0").groupBy(*by, "rank").agg(F.count(F.lit(1)).alias("registers"))
 
 
 def zero_count(registers: DataFrame, p: int, by: Sequence[str] = ()) -> DataFrame:
     """Empty registers per group."""
-    return registers.groupBy(*by).agg((F.lit(register_count(p)) - F.count(F.lit(1))).alias("zeros"))
+    return registers.groupBy(*by).agg((F.lit(register_count(p)) - F.expr("count_if(rank > 0)")).alias("zeros"))
 
 
 def dense_registers(registers: DataFrame, p: int, by: Sequence[str] = ()) -> DataFrame:
@@ -114,5 +138,5 @@ def dense_registers(registers: DataFrame, p: int, by: Sequence[str] = ()) -> Dat
     keys = [*by, "bucket"]
     # max() over the union fills the gaps without joining, so NULL group values need no special care.
     empty = grid.select(*keys, F.lit(0).cast("tinyint").alias("rank"))
-    filled = empty.unionByName(registers.select(*keys, "rank")).groupBy(*keys).agg(F.max("rank").alias("rank"))
+    filled = empty.unionByName(registers.where("rank > 0").select(*keys, "rank")).groupBy(*keys).agg(F.max("rank").alias("rank"))
     return filled.orderBy(*keys)

@@ -51,6 +51,10 @@ def merge_by_origin(
 def split_packets(
     lines: DataFrame, destinations: DataFrame, bits: int = BLOCK_BITS
 ) -> tuple[DataFrame, DataFrame]:
-    """Route the n-th packet of ``lines`` by the n-th flag of ``destinations (packet, dest)``."""
-    routed = run_ids(lines, out="packet", bits=bits).join(destinations, "packet")
-    return routed.where("dest = 0"), routed.where("dest <> 0")
+    """Route the n-th packet of ``lines`` by the n-th flag of ``destinations (packet, dest)``: 0 and 1.
+
+    Every packet goes somewhere: one without a flag, or with a NULL flag, to the first output.
+    """
+    routed = run_ids(lines, out="packet", bits=bits).join(destinations, "packet", "left")
+    second = F.coalesce(F.col("dest") != 0, F.lit(False))
+    return routed.where(~second), routed.where(second)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashes import HashFunction, get_hash
 from .estimate import estimate_registers
-from .registers import build_registers, check_p, dense_registers, merge_registers, rank_histogram, zero_count
+from .registers import build_registers, check_groups, check_p, dense_registers, merge_registers, rank_histogram, zero_count
+
+# Parts of a saved sketch: what it is, its registers, and the folder columns there.
+ABOUT, REGISTERS, FOLDER = "about", "registers", "folder_"
 
 
 @dataclass(frozen=True)
@@ -24,6 +29,7 @@ class Sketch:
 
     def __post_init__(self) -> None:
         check_p(self.p)
+        check_groups(self.by)
         get_hash(self.hash)
 
     @classmethod
@@ -75,17 +81,44 @@ class Sketch:
         )
 
     def save(self, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
-        """Write the register table as Parquet, partitioned by any of its group columns."""
-        self.table().write.mode(mode).partitionBy(*partition_by).parquet(path)
+        """Write the sketch: Parquet files of registers, and a one-row table that says what they are.
+
+        ``partition_by`` names group columns whose values also become folder names, to read single groups quickly.  The
+        values themselves stay in the files: folder names can't tell NULL from an empty text or ``'007'`` from 7.
+        """
+        missing = set(partition_by) - set(self.by)
+        if missing:
+            raise ValueError(f"not grouped by {sorted(missing)}")
+        spark = self.registers.sparkSession
+        kept = self.registers.select(*self.by, "bucket", "rank")
+        about = [(self.p, self.hash, kept.schema.json(), list(partition_by))]
+        schema = "p INT, hash STRING, schema STRING, folders ARRAY<STRING>"
+        folders = {f"{FOLDER}{i}": F.concat(F.lit("="), F.col(c).cast("string")) for i, c in enumerate(partition_by)}
+        if mode == "append" and _exists(spark, f"{path}/{ABOUT}"):
+            if spark.read.parquet(f"{path}/{ABOUT}").collect() != spark.createDataFrame(about, schema).collect():
+                raise ValueError(f"{path} holds sketches of another kind")
+        else:
+            spark.createDataFrame(about, schema).coalesce(1).write.mode(mode).parquet(f"{path}/{ABOUT}")
+        kept.withColumns(folders).write.mode(mode).partitionBy(*folders).parquet(f"{path}/{REGISTERS}")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, by: Sequence[str] = ()) -> Sketch:
-        """Reload a saved sketch; ``by`` names its group columns.  One stored table holds one (p, hash) pair."""
-        stored = spark.read.parquet(path)
-        kinds = stored.select("p", "hash").distinct().take(2)
-        if len(kinds) != 1:
-            raise ValueError(f"{path} holds {'no registers' if not kinds else 'sketches of different kinds'}")
-        return cls(stored.select(*by, "bucket", "rank"), kinds[0]["p"], kinds[0]["hash"], tuple(by))
+    def load(cls, spark: SparkSession, path: str, by: Sequence[str] | None = None) -> Sketch:
+        """Reload a saved sketch; ``by`` names the group columns to keep, all by default.
+
+        Registers appended by several saves are merged.
+        """
+        about = spark.read.parquet(f"{path}/{ABOUT}").first()
+        schema = T.StructType.fromJson(json.loads(about["schema"]))
+        groups = [f.name for f in schema if f.name not in ("bucket", "rank")]
+        folders = [T.StructField(f"{FOLDER}{i}", T.StringType()) for i in range(len(about["folders"]))]
+        stored = spark.read.schema(T.StructType([*schema.fields, *folders])).parquet(f"{path}/{REGISTERS}")
+        whole = cls(stored.select(*groups, "bucket", "rank"), about["p"], about["hash"], tuple(groups))
+        return whole.roll_up(groups if by is None else by)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
 def approx_distinct(

@@ -41,10 +41,6 @@ def rounded(column: str | Column, places: int = 6) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, places)
 
 
-def row_total(spark: SparkSession, folder: str, table: str) -> int:
-    return read_table(spark, folder, table).count()
-
-
 # Lines and packets are cut from the events table in event order: user ids are the keys.
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import KEY_BYTES
 from ..functions.hashes import get_hash
 from ..operators.estimate import estimate_registers
-from ..operators.quality import with_error
+from ..operators.quality import exact_distinct, with_error
 from ..operators.registers import build_registers, check_p
 from ..sources.generators import naturals
 
@@ -41,25 +41,31 @@ def run_counters(df: DataFrame, key: str, p: int = 14, hash: str = "murmur3_32")
 def measured_run(
     spark: SparkSession, hash: str, n: int, p: int = 16, partitions: int | None = None
 ) -> DataFrame:
-    """Sketch the keys 0..n-1 and report ``(hash, p, partitions, keys, exact, estimate, error_pct, bound_pct,
+    """``measure`` over the generated keys 0..n-1."""
+    check_p(p)
+    if n < 1:
+        raise ValueError(f"n must be positive, got {n}")
+    return measure(naturals(spark, n, partitions=partitions), "key", hash, p)
+
+
+def measure(df: DataFrame, key: str, hash: str, p: int = 16) -> DataFrame:
+    """Sketch a key column and report ``(hash, p, partitions, keys, exact, estimate, error_pct, bound_pct,
     out_of_range, collection_s, total_s, mb_per_s)``.
 
     Collection is the register build alone; the total is a job that goes on to the estimate.
     """
     check_p(p)
     spec = get_hash(hash)
-    if n < 1:
-        raise ValueError(f"n must be positive, got {n}")
-    keys = naturals(spark, n, partitions=partitions)
+    spark = df.sparkSession
     begin = time.perf_counter()
-    counters = run_counters(keys, "key", p, spec.name)
+    counters = run_counters(df, key, p, spec.name)
     collection = time.perf_counter() - begin
     begin = time.perf_counter()
-    estimate = estimate_registers(build_registers(keys, "key", p, spec), p, spec.width).first()["estimate"]
+    estimate = estimate_registers(build_registers(df, key, p, spec), p, spec.width).first()["estimate"]
     total = time.perf_counter() - begin
     row = [(
-        hash, p, partitions or spark.sparkContext.defaultParallelism, counters.consumed, n, estimate, collection, total,
-        KEY_BYTES * n / collection / 1e6,
+        hash, p, df.rdd.getNumPartitions(), counters.consumed, exact_distinct(df, key).first()["exact"], estimate,
+        collection, total, KEY_BYTES * counters.consumed / collection / 1e6,
     )]
     frame = spark.createDataFrame(
         row, "hash STRING, p INT, partitions INT, keys BIGINT, exact BIGINT, estimate DOUBLE, collection_s DOUBLE,"

@@ -9,7 +9,7 @@ from ..functions import u64
 from ..functions.hashes import MURMUR3_C2, get_hash, hash_keys, hash_name, register_hash
 from ..operators.estimate import linear_count, refine
 from ..operators.quality import error_report
-from ..operators.registers import MAX_P, MIN_P, build_registers, rank_histogram, zero_count
+from ..operators.registers import MAX_P, MIN_P, build_registers, rank_histogram, valid_p, zero_count
 from ..sources.lines import unpack_lines
 from ..sources.tables import read_table, scan_keys
 from . import sqltext as q
@@ -184,7 +184,7 @@ def f13_packet_tuples(spark, folder):
 @query(f"SELECT p_partkey, p_size, p_size BETWEEN {MIN_P} AND {MAX_P} AS valid FROM part")
 def f14_parameter_range(spark, folder):
     return read_table(spark, folder, "part").select(
-        "p_partkey", "p_size", F.col("p_size").between(MIN_P, MAX_P).alias("valid"))
+        "p_partkey", "p_size", valid_p("p_size").alias("valid"))
 
 
 REPORT = [
@@ -229,7 +229,7 @@ def a8_large_range(spark, folder):
 
 FOLD_MULTIPLIER = 2654435761
 register_hash(
-    "multiplicative", 32,
+    "multiplicative", 32, replace=True,
     attach=lambda df, key, out: u64.step(df, **{out: u64.low32(u64.mul64(key, FOLD_MULTIPLIER, narrow=True))}),
 )
 FOLDED = f"hashed AS (SELECT key, (key::UBIGINT * {FOLD_MULTIPLIER}::UBIGINT) % {q.TWO32}::UBIGINT AS h FROM k)"

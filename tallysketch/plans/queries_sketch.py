@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.sql import register_sql_functions, register_view
-from ..operators.cumulative import cumulative_estimates
+from ..operators.cumulative import checkpoints, cumulative_estimates
 from ..operators.estimate import estimate_registers
 from ..operators.quality import error_report, exact_distinct
 from ..operators.registers import build_registers, dense_registers, merge_registers, rank_histogram, zero_count
 from ..operators.sketch import Sketch, approx_distinct
-from ..sources.generators import naturals
+from ..sources.generators import uniform_over
 from ..sources.sinks import write_error_table, write_result
 from ..sources.tables import read_table, scan_keys
 from ..storage import new_folder
 from . import sqltext as q
-from .catalog import query, rounded, row_total
-from .error_curve import error_curve
-from .measured_run import measured_run, run_counters
+from .catalog import query, rounded
+from .error_curve import curve_over
+from .measured_run import measure, run_counters
 
 M32 = q.murmur3_32()
 WORDS = q.murmur3_words()
@@ -85,7 +85,8 @@ add_estimate("a7_linear_counting_p16", "lineitem", "l_orderkey", "murmur3_64_h1"
 def a2_merge_halves(spark, folder):
     """Odd and even line numbers sketched apart, then merged."""
     lines = read_table(spark, folder, "lineitem")
-    halves = [Sketch.build(lines.where(F.col("l_linenumber") % 2 == i), "l_orderkey") for i in (0, 1)]
+    odd = F.coalesce(F.col("l_linenumber") % 2 == 1, F.lit(False))
+    halves = [Sketch.build(lines.where(half), "l_orderkey") for half in (~odd, odd)]
     return halves[0].merge(halves[1]).registers
 
 
@@ -159,6 +160,47 @@ def a16_saved_rollup_by_type(spark, folder):
     return saved.roll_up(["event_type"]).estimate().select("event_type", rounded("estimate").alias("estimate"))
 
 
+TEXT_GROUPS = """CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '' WHEN event_id % 5 = 2 THEN '007'
+ WHEN event_id % 5 = 3 THEN '7' ELSE event_type END"""
+
+
+@query(q.with_(*registers_sql("events", "user_id", by="place", rows=f"(SELECT {TEXT_GROUPS} AS place, user_id AS key FROM events)"),
+               q.estimate("regs", 14, "place"), select=f"SELECT place, {ESTIMATE} FROM est"))
+def a16_saved_text_groups(spark, folder):
+    """Groups that folder names alone would confuse, stored partitioned and reloaded: NULL, empty, '007' and '7'."""
+    path = new_folder(spark, "places")
+    events = read_table(spark, folder, "events").withColumn("place", F.expr(TEXT_GROUPS))
+    Sketch.build(events, "user_id", by=["place"]).save(path, partition_by=["place"])
+    return Sketch.load(spark, path).estimate().select("place", rounded("estimate").alias("estimate"))
+
+
+FEW_KEYS = "CASE WHEN event_type = 'error' THEN NULL ELSE user_id END"
+
+
+@query(q.with_(*registers_sql("events", "user_id", by="event_type",
+                              rows="(SELECT event_type, user_id AS key FROM events WHERE event_type <> 'error')"),
+               q.estimate("regs", 14, "event_type"),
+               select="""SELECT event_type, count(DISTINCT CASE WHEN event_type <> 'error' THEN user_id END) AS exact,
+  coalesce(round(any_value(estimate), 6), 0) AS estimate FROM events LEFT JOIN est USING (event_type) GROUP BY event_type"""))
+def a15_groups_without_keys(spark, folder):
+    """A group whose keys are all NULL stays, with an estimate of 0."""
+    events = read_table(spark, folder, "events").withColumn("key", F.expr(FEW_KEYS))
+    return error_report(events, "key", by=["event_type"]).select(
+        "event_type", "exact", rounded("estimate").alias("estimate"))
+
+
+@query("SELECT 14 AS p, 'murmur3_32' AS hash, 0.0e0 AS estimate, count(user_id) AS keys FROM events WHERE event_id < 0")
+def x1_empty_sketch(spark, folder):
+    """The sketch of no rows, stored and reloaded."""
+    path = new_folder(spark, "empty")
+    events = read_table(spark, folder, "events").where("event_id < 0")
+    Sketch.build(events, "user_id", by=["event_type"]).save(path, partition_by=["event_type"])
+    saved = Sketch.load(spark, path, by=[])
+    keys = events.agg(F.count("user_id").alias("keys"))
+    return saved.estimate().select(
+        F.lit(saved.p).alias("p"), F.lit(saved.hash).alias("hash"), "estimate", keys.scalar().alias("keys"))
+
+
 @query(q.with_(*registers_sql("events", "user_id", rows=DAILY), q.estimate("regs", 14), select=f"SELECT {ESTIMATE} FROM est"))
 def a16_rollup_daily_to_total(spark, folder):
     return daily_sketch(spark, folder).roll_up().estimate().select(rounded("estimate").alias("estimate"))
@@ -192,13 +234,17 @@ def a9_error_report(spark, folder):
                          rounded("bound_pct").alias("bound_pct"), "out_of_range")
 
 
-@query()
+@query("""SELECT l_returnflag, count(DISTINCT l_orderkey) AS exact, true AS builtin_within_three_errors,
+true AS datasketch_within_three_errors FROM lineitem GROUP BY 1""")
 def a10_builtin_counts(spark, folder):
-    """Spark's own sketches, for comparison: another hash and another formula."""
-    return read_table(spark, folder, "lineitem").agg(
+    """Spark's own sketches, for comparison: another hash and another formula, held to three standard errors."""
+    counts = read_table(spark, folder, "lineitem").groupBy("l_returnflag").agg(
+        F.countDistinct("l_orderkey").alias("exact"),
         F.approx_count_distinct("l_orderkey", 0.008125).alias("builtin"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", 14)).alias("datasketch"),
     )
+    near = {f"{c}_within_three_errors": F.abs(F.col(c) / F.col("exact") - 1) <= 3 * 0.008125 for c in ("builtin", "datasketch")}
+    return counts.select("l_returnflag", "exact", *[column.alias(name) for name, column in near.items()])
 
 
 # Cumulative estimates.
@@ -227,16 +273,14 @@ def w4_cumulative_by_day(spark, folder):
 FIRST = 1000
 
 
-def curve_sql(hashes, p=12, draws=None):
-    """Error curve over one generated key per line item; the last checkpoint below the row count ends it."""
+def curve_sql(hashes, drawn, p=12):
+    """Error curve over ``drawn (draw, key)``, one row per order; the last checkpoint below the row count ends it."""
     points = f"""points AS MATERIALIZED (
   WITH RECURSIVE c(n) AS (SELECT {FIRST}::BIGINT UNION ALL
     SELECT CAST(floor(1.15478197e0 * n) AS BIGINT) FROM c
-    WHERE CAST(floor(1.15478197e0 * n) AS BIGINT) < (SELECT count(*) FROM lineitem))
-  SELECT n FROM c WHERE n < (SELECT count(*) FROM lineitem))"""
-    numbers = "numbers AS MATERIALIZED (SELECT row_number() OVER () - 1 AS draw FROM lineitem)"
-    ctes = [points, numbers, draws or "drawn AS MATERIALIZED (SELECT draw, draw AS key FROM numbers)",
-            "k AS MATERIALIZED (SELECT DISTINCT key FROM drawn WHERE draw < (SELECT max(n) FROM points))"]
+    WHERE CAST(floor(1.15478197e0 * n) AS BIGINT) < (SELECT count(*) FROM orders))
+  SELECT n FROM c WHERE n < (SELECT count(*) FROM orders))"""
+    ctes = [points, drawn, "k AS MATERIALIZED (SELECT DISTINCT key FROM drawn WHERE draw < (SELECT max(n) FROM points))"]
     columns = []
     done = set()
     for i, (label, name) in enumerate(hashes):
@@ -256,7 +300,7 @@ def curve_sql(hashes, p=12, draws=None):
 
 
 CURVE = [("MURMUR3_32", "murmur3_32"), ("MURMUR3_64", "murmur3_64"), ("SIP", "sip_variant")]
-CURVE_CTES, CURVE_COLUMNS = curve_sql(CURVE)
+CURVE_CTES, CURVE_COLUMNS = curve_sql(CURVE, "drawn AS MATERIALIZED (SELECT o_orderkey AS draw, o_orderkey AS key FROM orders)")
 CURVE_SQL = q.with_(
     *CURVE_CTES, "truth AS (SELECT n, n AS cardinality FROM points)",
     select=f"SELECT cardinality, n AS draws, 1.625e0 AS expected, {', '.join(CURVE_COLUMNS)} FROM truth"
@@ -264,9 +308,14 @@ CURVE_SQL = q.with_(
 )
 
 
+def order_series(spark, folder):
+    return checkpoints(read_table(spark, folder, "orders").count(), FIRST)
+
+
 def curve(spark, folder):
-    """As many generated keys as there are line items."""
-    report = error_curve(spark, [label for label, _ in CURVE], row_total(spark, folder, "lineitem"), 12, first=FIRST)
+    """The orders' numbers 0, 1, 2, ... as keys in that order."""
+    drawn = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("draw"), F.col("o_orderkey").alias("key"))
+    report = curve_over(drawn, order_series(spark, folder), [label for label, _ in CURVE], 12, "draws")
     return report.select("cardinality", "draws", "expected", *[rounded(label).alias(label) for label, _ in CURVE])
 
 
@@ -284,9 +333,8 @@ def k3_error_table(spark, folder):
     return spark.read.csv(path, schema=schema, sep="\t", header=True)
 
 
-UNIFORM = f"""{q.xxhash64('mixed', '(SELECT draw AS key FROM numbers)', ('key', '42'))},
-drawn AS MATERIALIZED (SELECT key AS draw, CAST(h % {q.wide(q.TWO32)} AS BIGINT) AS key FROM mixed)"""
-RANDOM_CTES, RANDOM_COLUMNS = curve_sql(CURVE[:1], draws=UNIFORM)
+RANDOM_CTES, RANDOM_COLUMNS = curve_sql(CURVE[:1], f"""{q.xxhash64('mixed', '(SELECT o_orderkey AS key FROM orders)', ('key', '42'))},
+drawn AS MATERIALIZED (SELECT key AS draw, CAST(h % {q.wide(q.TWO32)} AS BIGINT) AS key FROM mixed)""")
 
 
 @query(q.with_(
@@ -294,18 +342,18 @@ RANDOM_CTES, RANDOM_COLUMNS = curve_sql(CURVE[:1], draws=UNIFORM)
     select=f"SELECT cardinality, n AS draws, 1.625e0 AS expected, {RANDOM_COLUMNS[0]} FROM truth JOIN est0 USING (n)",
 ))
 def x5_random_error_curve(spark, folder):
-    """Seeded uniform draws against the exact number of different ones."""
-    limit = row_total(spark, folder, "lineitem")
-    report = error_curve(spark, ["MURMUR3_32"], limit, 12, random=True, first=FIRST)
+    """A seeded uniform draw per order against the exact number of different ones."""
+    drawn = uniform_over(read_table(spark, folder, "orders"), "o_orderkey")
+    report = curve_over(drawn, order_series(spark, folder), ["MURMUR3_32"], 12)
     return report.select("cardinality", "draws", "expected", rounded("MURMUR3_32").alias("MURMUR3_32"))
 
 
-NUMBERS = "numbers AS MATERIALIZED (SELECT row_number() OVER () - 1 AS key FROM lineitem)"
 RUN_SQL = q.with_(
-    NUMBERS, q.distinct_keys("numbers", "key"), M32, q.registers("numbers", 32, 16), q.estimate("regs", 16),
-    select="""SELECT 'MURMUR3_32' AS hash, 16 AS p, n AS keys, n AS exact, round(estimate, 6) AS estimate,
-  round(100.0e0 * (estimate / n - 1), 6) AS error_pct, 0.40625e0 AS bound_pct,
-  abs(100.0e0 * (estimate / n - 1)) > 0.40625e0 AS out_of_range FROM est, (SELECT count(*) AS n FROM lineitem)""",
+    *registers_sql("lineitem", "l_orderkey", p=16), q.estimate("regs", 16),
+    select="""SELECT 'MURMUR3_32' AS hash, 16 AS p, keys, exact, round(estimate, 6) AS estimate,
+  round(100.0e0 * (estimate / exact - 1), 6) AS error_pct, 0.40625e0 AS bound_pct,
+  abs(100.0e0 * (estimate / exact - 1)) > 0.40625e0 AS out_of_range
+  FROM est, (SELECT count(l_orderkey) AS keys, count(DISTINCT l_orderkey) AS exact FROM lineitem)""",
 )
 
 
@@ -316,27 +364,31 @@ def report_columns(report):
 
 @query(RUN_SQL)
 def k4_run_report(spark, folder):
-    return report_columns(measured_run(spark, "MURMUR3_32", row_total(spark, folder, "lineitem"), 16))
+    return report_columns(measure(scan_keys(spark, folder, "lineitem", "l_orderkey"), "key", "MURMUR3_32"))
 
 
 @query(RUN_SQL)
 def x4_measured_run(spark, folder):
     """The same run cut into another number of partitions."""
-    return report_columns(measured_run(spark, "MURMUR3_32", row_total(spark, folder, "lineitem"), 16, partitions=5))
+    keys = scan_keys(spark, folder, "lineitem", "l_orderkey").repartition(5)
+    return report_columns(measure(keys, "key", "MURMUR3_32"))
 
 
-@query()
+@query("""SELECT 'MURMUR3_64' AS hash, count(o_custkey) AS keys, true AS timed, true AS speed_is_keys_by_time FROM orders""")
 def a14_throughput(spark, folder):
-    """Keys per run and its speed; times differ from run to run."""
-    report = measured_run(spark, "MURMUR3_64", row_total(spark, folder, "lineitem"), 16)
-    return report.select("hash", "keys", "collection_s", "total_s", "mb_per_s")
+    """Keys per run and its speed; times differ from run to run, so only what must hold of them is reported."""
+    report = measure(scan_keys(spark, folder, "orders", "o_custkey"), "key", "MURMUR3_64")
+    speed = F.abs(F.col("mb_per_s") * F.col("collection_s") * 1e6 / (4 * F.col("keys")) - 1) < 1e-9
+    return report.select(
+        "hash", "keys", ((F.col("collection_s") > 0) & (F.col("total_s") > 0)).alias("timed"),
+        speed.alias("speed_is_keys_by_time"),
+    )
 
 
-@query(q.with_(NUMBERS, q.distinct_keys("numbers", "key"), M32, q.registers("numbers", 32, 14), q.estimate("regs", 14),
-               select=f"SELECT {ESTIMATE}, zeros FROM est"))
+@query(q.with_(*registers_sql("events", "event_id"), q.estimate("regs", 14), select=f"SELECT {ESTIMATE}, zeros FROM est"))
 def s5_filled_input(spark, folder):
-    """The keys 0..n-1, n the number of line items."""
-    keys = naturals(spark, row_total(spark, folder, "lineitem"))
+    """The events' numbers 0..n-1."""
+    keys = scan_keys(spark, folder, "events", "event_id")
     return approx_distinct(keys, "key").select(rounded("estimate").alias("estimate"), "zeros")
 
 
@@ -391,15 +443,13 @@ def x1_sketch_table(spark, folder):
 
 @query(q.with_(*registers_sql("lineitem", "l_suppkey", "murmur3_64"), q.estimate("regs", 14), select=f"SELECT {ESTIMATE} FROM est"))
 def x2_build_merge_estimate(spark, folder):
-    """Three parts of the table sketched apart and merged in a chain."""
+    """Three parts of the table sketched apart and merged."""
     lines = read_table(spark, folder, "lineitem")
     is_open = F.col("l_linestatus").eqNullSafe("O")
-    early = F.col("l_shipdate") < "1998-01-01"
+    early = F.coalesce(F.col("l_shipdate") < "1998-01-01", F.lit(False))
     parts = [lines.where(is_open & early), lines.where(is_open & ~early), lines.where(~is_open)]
     first, *others = [Sketch.build(part, "l_suppkey", 14, "murmur3_64") for part in parts]
-    for other in others:
-        first = first.merge(other)
-    return first.estimate().select(rounded("estimate").alias("estimate"))
+    return first.merge(*others).estimate().select(rounded("estimate").alias("estimate"))
 
 
 @query(q.with_(*GROUP_SQL, select=f"SELECT l_returnflag, {ESTIMATE} FROM est"))
@@ -409,9 +459,11 @@ def x7_sql_functions(spark, folder):
     read_table(spark, folder, "lineitem").createOrReplaceTempView("tally_lines")
     return spark.sql("""
         WITH hashed AS (SELECT l_returnflag, tally_murmur3_32(l_orderkey) AS h FROM tally_lines),
-        registers AS (SELECT l_returnflag, tally_bucket(h, 32, 14) AS bucket, max(tally_rank(h, 32, 14)) AS rank
+        registers AS (SELECT l_returnflag, tally_bucket(h, 32, 14) AS bucket, min(h) AS smallest
                       FROM hashed WHERE h IS NOT NULL GROUP BY ALL),
-        sums AS (SELECT l_returnflag, count(*) AS n, sum(power(2D, -rank)) AS s FROM registers GROUP BY l_returnflag)
+        ranks AS (SELECT l_returnflag, tally_rank(smallest, 32, 14) AS rank FROM registers),
+        counts AS (SELECT l_returnflag, rank, count(*) AS n FROM ranks GROUP BY ALL),
+        sums AS (SELECT l_returnflag, sum(n) AS n, sum(n * power(2D, -rank)) AS s FROM counts GROUP BY l_returnflag)
         SELECT l_returnflag, round(tally_estimate(n, s, 14), 6) AS estimate FROM sums""")
 
 

@@ -9,18 +9,17 @@ from ..operators.routing import merge_by_origin, merge_fair, merge_priority, spl
 from ..operators.running import running
 from ..operators.windows import count_windows, estimate_windows, payload_offsets, run_ids, running_tuples
 from ..sources.extents import read_extent, write_extent
-from ..sources.generators import from_generator, naturals, uniform
+from ..sources.generators import generated_over, uniform_over
 from ..sources.lines import count_lane_keys, unpack_lines
 from ..sources.packets import read_packets
 from ..sources.tables import read_table, scan_keys
 from ..storage import new_folder
 from . import sqltext as q
 from .catalog import (
-    KEYS_PER_PACKET, LINES_SQL, LINES_PER_RUN, PACKETS_SQL, event_lines, event_packets, query, rounded, row_total,
+    KEYS_PER_PACKET, LINES_SQL, LINES_PER_RUN, PACKETS_SQL, event_lines, event_packets, query, rounded,
 )
 from .flows import estimate_extent, estimate_runs, tee_windows
 
-NUMBERS = "numbers AS MATERIALIZED (SELECT row_number() OVER () - 1 AS draw FROM lineitem)"
 WORDS = q.murmur3_words()
 
 
@@ -29,25 +28,27 @@ def s1_scan_keys(spark, folder):
     return scan_keys(spark, folder, "lineitem", "l_orderkey")
 
 
-@query(f"WITH {NUMBERS} SELECT CAST((draw * 2654435761) % 4294967296 AS BIGINT) AS key FROM numbers")
+@query("SELECT CAST((l_orderkey * 2654435761) % 4294967296 AS BIGINT) AS key FROM lineitem")
 def s2_generated_keys(spark, folder):
-    """A user generator pulled once per line item."""
-    return from_generator(spark, row_total(spark, folder, "lineitem"), lambda i: (i * 2654435761) % 4294967296)
+    """A user generator pulled once per line item, at the position its order has."""
+    lines = read_table(spark, folder, "lineitem")
+    return generated_over(lines, "l_orderkey", lambda i: (i * 2654435761) % 4294967296)
 
 
-@query(f"WITH {NUMBERS} SELECT draw AS key, CAST(2 AS BIGINT) AS passes FROM numbers")
+@query("SELECT event_id AS key, CAST(2 AS BIGINT) AS passes FROM events")
 def s3_naturals_reset(spark, folder):
-    """The sequence read twice: every reading starts over."""
-    keys = naturals(spark, row_total(spark, folder, "lineitem"))
+    """The events' numbers 0, 1, 2, ... read twice: every reading starts over."""
+    keys = scan_keys(spark, folder, "events", "event_id")
     return keys.unionByName(keys).groupBy("key").agg(F.count(F.lit(1)).alias("passes"))
 
 
 @query(q.with_(
-    NUMBERS, q.xxhash64("mixed", "(SELECT draw AS key FROM numbers)", ("key", "42")),
+    q.xxhash64("mixed", "(SELECT event_id AS key FROM events)", ("key", "42")),
     select=f"SELECT CAST(key AS BIGINT) AS draw, CAST(h % {q.wide(q.TWO32)} AS BIGINT) AS key FROM mixed",
 ))
 def s4_uniform_keys(spark, folder):
-    return uniform(spark, row_total(spark, folder, "lineitem"))
+    """One seeded draw per event."""
+    return uniform_over(read_table(spark, folder, "events"), "event_id")
 
 
 def stored_extent(spark, folder):
@@ -55,7 +56,7 @@ def stored_extent(spark, folder):
     path = new_folder(spark, "extent")
     keys = read_table(spark, folder, "events").select("event_id", F.col("user_id").alias("key"))
     write_extent(keys.orderBy("event_id"), path)
-    return path, row_total(spark, folder, "events")
+    return path, read_table(spark, folder, "events").count()
 
 
 @query("""WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, user_id AS key, count(*) OVER () AS n FROM events)
@@ -303,7 +304,7 @@ def u3_fair_packet_merge(spark, folder):
 
 
 @query(f"""WITH {PACKET_TURNS} SELECT CASE WHEN event_type = 'error' THEN 'second' ELSE 'first' END AS output, turn AS packet, seq, key
-FROM items JOIN events ON event_id = turn WHERE source = 0""")
+FROM items LEFT JOIN events ON event_id = turn WHERE source = 0""")
 def u4_packet_split(spark, folder):
     """Orders as packets, routed by the type of the event with the packet's number."""
     lines, _ = two_line_inputs(spark, folder)

@@ -38,7 +38,8 @@ def run_in_chunks(spark, frame, order, run):
     step = (bounds.high - bounds.low) // BATCHES + 1
     for i in range(BATCHES):
         low = bounds.low + i * step
-        frame.where(F.col(order).between(low, low + step - 1)).write.mode("append").parquet(inbox)
+        part = F.col(order).between(low, low + step - 1)
+        frame.where(part | F.col(order).isNull() if i == 0 else part).write.mode("append").parquet(inbox)
         run(spark.readStream.schema(frame.schema).parquet(inbox)).awaitTermination()
 
 
