@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import query, read
-from .text import slices
+from .text import Remembered, slices
 
 WORD_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks remembered by a worker, and the longest that is remembered.
@@ -95,8 +94,8 @@ class ByteBpe:
             for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
         }
         self.cut = regex.compile(pattern)
-        self.alone: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[int, ...]] = {}
+        self.alone = Remembered(REMEMBERED // 8, LONGEST)
+        self.spaced = Remembered(REMEMBERED, LONGEST)
 
     def merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of pre-tokens, all merged through one queue: merges in one never touch another."""
@@ -175,20 +174,13 @@ class ByteBpe:
             [*firsts[words[0]], *chain.from_iterable(map(rests.__getitem__, words[1:]))] for words in chunks
         ]
 
-    def _learned(self, chunks: list[list[str]], before: str, known: dict[str, tuple[int, ...]]) -> dict:
+    def _learned(self, chunks: list[list[str]], before: str, known: Remembered) -> dict[str, tuple[int, ...]]:
         """Ids of every chunk that stands in ``chunks``, each read with ``before`` in front of it."""
-        needed = set().union(*chunks)
-        new = list(needed.difference(known))
+        new = known.missing(set().union(*chunks))
         cut = [self.cut.findall(before + chunk) for chunk in new]
         pieces = list(set().union(*cut))
         ids = dict(zip(pieces, self.merged([piece.encode() for piece in pieces])))
-        found = {chunk: tuple(chain.from_iterable(map(ids.__getitem__, parts))) for chunk, parts in zip(new, cut)}
-        fitting = {chunk: ids for chunk, ids in found.items() if len(chunk) <= LONGEST}
-        if len(known) + len(fitting) > REMEMBERED:
-            found.update((chunk, known[chunk]) for chunk in needed.intersection(known))
-            known.clear()
-        known.update(fitting)
-        return known if len(fitting) == len(found) else ChainMap(found, known)
+        return known.add(new, [tuple(chain.from_iterable(map(ids.__getitem__, parts))) for parts in cut])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

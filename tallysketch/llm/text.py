@@ -119,3 +119,35 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of words; ``fold`` takes A-Z as a-z."""
     return span_hashes(BYTE_CODES[LOWER[data] if fold else data], starts, ends)
+
+
+class Remembered:
+    """A table of bounded size from words to what was made of them: what is in use stays, the rest is forgotten in turn.
+
+    Two generations: when the young one holds ``most`` entries it becomes the old one, and entries that are asked for come
+    back. Words longer than ``longest`` stay for one slice only.
+    """
+
+    def __init__(self, most: int, longest: int) -> None:
+        self.most, self.longest = most, longest
+        self.young: dict = {}
+        self.old: dict = {}
+        self.long: list = []
+
+    def missing(self, words: set) -> list:
+        """Begin a slice that needs ``words``: those that have to be made."""
+        for word in self.long:
+            self.young.pop(word, None)
+        self.long = []
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        new = words.difference(self.young)
+        back = {word: self.old[word] for word in new if word in self.old}
+        self.young.update(back)
+        return list(new.difference(back))
+
+    def add(self, words: list, made: list) -> dict:
+        """Add what was made of the missing words; the table now has all words of the slice."""
+        self.young.update(zip(words, made))
+        self.long = [word for word in words if len(word) > self.longest]
+        return self.young
