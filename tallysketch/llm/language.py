@@ -1,9 +1,8 @@
 """Language by cross-parsing: the language whose text needs the fewest phrases to spell a document.
 
 For each language a suffix automaton of a bounded sample of labelled text is built. A document is read from left to right;
-as long as what has been read since the last cut occurs in the sample, the phrase goes on, else a new one begins. Phrases
-times log2 of the sample's length over the document's length estimates the cross entropy; the smallest wins. The
-automata are completed to tables (state, symbol) -> (state, whether a phrase has ended), and many documents step through
+as long as what has been read since the last cut occurs in the sample, the phrase goes on, else a new one begins. Phrases over
+the document's length, for samples of one length, rank languages by cross entropy; the fewest win. The automata are completed to tables (state, symbol) -> (state, whether a phrase has ended), and many documents step through
 them at once. Symbols are lower-case letters; anything else is one separator. A document is read in blocks of ``BLOCK``
 symbols, each beginning a new phrase, so a very long document is many short walks.
 """
@@ -114,13 +113,16 @@ class CrossParser:
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.languages = sorted(texts)
         self.alphabet = Alphabet([text for own in texts.values() for text in own])
-        tables, self.starts, self.bits, begin = [], [], [], 0
+        tables, self.starts, begin = [], [], 0
         for language in self.languages:
             sample = np.concatenate([self.alphabet.symbols(f" {text}") for text in texts[language]])[:REFERENCE].tolist()
             moves = suffix_automaton(sample)
-            table = np.empty((len(moves), SYMBOLS), np.int32)
+            # One more state follows a symbol that the sample doesn't have: a phrase by itself.
+            alone = (begin + len(moves)) * SYMBOLS
+            table = np.empty((len(moves) + 1, SYMBOLS), np.int32)
             # Where nothing goes on, a phrase has ended (lowest bit) and the symbol begins the next one.
-            table[:] = begin * SYMBOLS + 1
+            table[:] = alone + 1
+            table[0] = alone
             for symbol, state in moves[0].items():
                 table[:, symbol] = (begin + state) * SYMBOLS + 1
             for state, own in enumerate(moves):
@@ -128,8 +130,7 @@ class CrossParser:
                     table[state, symbol] = (begin + target) * SYMBOLS
             tables.append(table)
             self.starts.append(begin * SYMBOLS)
-            self.bits.append(float(np.log2(max(2, len(sample)))))
-            begin += len(moves)
+            begin += len(moves) + 1
         self.table = np.concatenate(tables).ravel()
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -185,7 +186,7 @@ def languages(
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 if parser:
                     symbols = [parser.alphabet.symbols(t or "") for t in part.column(1).to_pylist()]
-                    costs = parser.phrases(symbols) * np.array(parser.bits)
+                    costs = parser.phrases(symbols)
                     ranked = np.sort(costs, axis=1)
                     best = np.argmin(costs, axis=1)
                     for row, own in enumerate(symbols):
