@@ -41,7 +41,7 @@ class Forest:
         self.leaves = 0
         self.roots = [self._grow(sample, np.arange(len(sample)), leaf, random) for _ in range(trees)]
         width = sample.shape[1] if len(sample) else 0
-        self.planes = np.array(self.normals, np.float64).reshape(-1, width)
+        self.planes = np.array(self.normals, np.float64).reshape(len(self.normals), width)
         self.shifts = np.array(self.offsets)
         self.links = np.array(self.children, np.int64).reshape(-1, 2)
 
