@@ -59,15 +59,19 @@ def stored_extent(spark, folder):
     return path, read_table(spark, folder, "events").count()
 
 
-@query("""WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, user_id AS key, count(*) OVER () AS n FROM events)
-SELECT CASE WHEN i < n // 2 THEN 'low' ELSE 'high' END AS part, 4 * i AS address, key FROM e""")
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, user_id AS key, count(*) OVER () AS n FROM events),
+both_writes AS (SELECT i, key, n FROM e UNION ALL SELECT n + row_number() OVER (ORDER BY o_orderkey) - 1, o_custkey, (SELECT max(n) FROM e) FROM orders, (SELECT max(n) AS n FROM e))
+SELECT CASE WHEN i < n // 2 THEN 'low' WHEN i < n THEN 'high' ELSE 'appended' END AS part, 4 * i AS address, key FROM both_writes""")
 def s6_extent_scan(spark, folder):
-    """A raw extent written and read back as two byte ranges, the lower one ending inside a key."""
+    """A raw extent written, appended to, and read back as byte ranges, the lowest one ending inside a key."""
     path, n = stored_extent(spark, folder)
+    more = read_table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    write_extent(more.orderBy("o_orderkey"), path)
     half = 4 * (n // 2)
     low = read_extent(spark, path, 0, half + 3, chunk=4096).withColumn("part", F.lit("low"))
-    high = read_extent(spark, path, half).withColumn("part", F.lit("high"))
-    return low.unionByName(high).select("part", "address", "key")
+    high = read_extent(spark, path, half, 4 * n - half).withColumn("part", F.lit("high"))
+    appended = read_extent(spark, path, 4 * n).withColumn("part", F.lit("appended"))
+    return low.unionByName(high).unionByName(appended).select("part", "address", "key")
 
 
 @query(f"WITH {LINES_SQL} SELECT seq, last, CAST(lane AS INTEGER) AS lane, key, true AS valid FROM lines")

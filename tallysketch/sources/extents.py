@@ -7,6 +7,7 @@ file per task.
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -112,17 +113,25 @@ class WrittenFile(WriterCommitMessage):
 
 
 class ExtentWriter(DataSourceArrowWriter):
-    """Each task attempt writes its own hidden file; the commit reveals the files of the attempts that counted."""
+    """Each task attempt writes its own hidden file; the commit reveals the files of the attempts that counted.
+
+    File names begin with the number of the write, so keys that are appended lie behind all that were there before, and
+    no address changes.
+    """
 
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite = path, overwrite
+        system, root = _file_system(path)
+        system.create_dir(root, recursive=True)
+        numbers = [int(n[1]) for file, _ in _pieces(path) if (n := re.search(rf"part-(\d+)-[^/]*{SUFFIX}$", file))]
+        self.token = f"{1 + max(numbers, default=-1):08d}-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFile:
         from pyspark import TaskContext
 
         system, root = _file_system(self.path)
-        system.create_dir(root, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}{SUFFIX}"
+        number, token = self.token.split("-")
+        name = f"part-{number}-{TaskContext.get().partitionId():08d}-{token}-{uuid.uuid4().hex}{SUFFIX}"
         with system.open_output_stream(f"{root}/_{name}.pending") as out:
             for batch in iterator:
                 column = batch.column(batch.schema.get_field_index("key"))
@@ -140,12 +149,20 @@ class ExtentWriter(DataSourceArrowWriter):
                 system.move(f"{root}/_{message.name}.pending", f"{root}/{message.name}")
         for file in old:
             system.delete_file(file)
+        self._clear()
 
     def abort(self, messages: list[WrittenFile]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        """Delete what attempts of this write have left that did not count."""
+        from pyarrow import fs
+
         system, root = _file_system(self.path)
-        for message in messages:
-            if message is not None:
-                system.delete_file(f"{root}/_{message.name}.pending")
+        token = self.token.split("-")[1]
+        for file in system.get_file_info(fs.FileSelector(root, recursive=False)):
+            if file.base_name.endswith(".pending") and f"-{token}-" in file.base_name:
+                system.delete_file(file.path)
 
 
 class ExtentSource(DataSource):

@@ -139,7 +139,7 @@ def test_errors_stay_within_three_sigma(spark):
 def test_error_report_by_group_and_empty(spark):
     frame = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (None, 7), (2, None)], "g INT, key BIGINT")
     got = {r.g: r.exact for r in error_report(frame, "key", by=["g"]).collect()}
-    assert got == {1: 2, None: 1}
+    assert got == {1: 2, None: 1, 2: 0}
     empty = error_report(frame.where("false"), "key").first()
     assert (empty.exact, empty.estimate, empty.out_of_range) == (0, 0.0, False)
 
@@ -181,3 +181,45 @@ def test_measured_run(spark):
     assert row.estimate == approx_distinct(naturals(spark, 1003), "key", 12).first().estimate
     with pytest.raises(ValueError):
         measured_run(spark, "MURMUR3_32", 8, 17)
+
+
+def test_groups_without_keys_stay(spark):
+    frame = spark.createDataFrame([("a", 5), ("a", None), ("b", None), (None, None)], "g STRING, key BIGINT")
+    sketch = Sketch.build(frame, "key", 8, by=["g"])
+    assert {r.g: round(r.estimate) for r in sketch.estimate().collect()} == {"a": 1, "b": 0, None: 0}
+    assert {r.g: r.zeros for r in sketch.zeros().collect()} == {"a": 255, "b": 256, None: 256}
+    assert sketch.roll_up().estimate().first().zeros == 255
+    assert sketch.dense().count() == 3 * 256
+    assert sketch.histogram().count() == 1
+
+
+def test_saved_sketches_keep_their_groups(spark, tmp_path):
+    rows = [("007", 1), ("7", 2), ("", 3), (None, 4), ("x=y/z", 5)]
+    frame = spark.createDataFrame(rows, "g STRING, key BIGINT")
+    path = str(tmp_path / "sketch")
+    Sketch.build(frame, "key", 8, by=["g"]).save(path, ["g"])
+    loaded = Sketch.load(spark, path)
+    assert {r.g: round(r.estimate) for r in loaded.estimate().collect()} == {g: 1 for g, _ in rows}
+    Sketch.build(frame.withColumn("key", F.col("key") + 10), "key", 8, by=["g"]).save(path, ["g"], "append")
+    assert {round(r.estimate) for r in Sketch.load(spark, path).estimate().collect()} == {2}
+    with pytest.raises(ValueError):
+        Sketch.build(frame, "key", 9, by=["g"]).save(path, ["g"], "append")
+
+
+def test_empty_sketches_can_be_saved(spark, tmp_path):
+    empty = spark.createDataFrame([], "g STRING, key BIGINT")
+    Sketch.build(empty, "key", 8, "murmur3_64", by=["g"]).save(str(tmp_path / "empty"), ["g"])
+    loaded = Sketch.load(spark, str(tmp_path / "empty"), [])
+    assert (loaded.p, loaded.hash, loaded.estimate().first().estimate) == (8, "murmur3_64", 0.0)
+
+
+def test_wrong_inputs_raise(spark):
+    with pytest.raises(TypeError):
+        Sketch.build(spark.createDataFrame([(1.2,)], "key DOUBLE"), "key")
+    for name in ("bucket", "Rank", "estimate", "word0"):
+        with pytest.raises(ValueError):
+            Sketch.build(spark.createDataFrame([(1, 2)], f"{name} INT, key INT"), "key", by=[name])
+    with pytest.raises(ValueError):
+        Sketch.build(spark.range(3), "id", hash="murmur3_64").estimate("hw32")
+    with pytest.raises(ValueError):
+        register_hash("murmur3_32", 32, lambda k: k)
