@@ -2,9 +2,10 @@
 
 Each close depends on the one before, but only through one number: the keys already held when a packet arrives.  So a
 block of packets is summarised, without knowing that number, by what would follow from a first close at each of its
-early packets.  The summaries of a group, one row per block, are walked in order, and with the number known at every
-block's start the blocks are cut into windows independently.  No task sees more than one block of packets, or more than
-one summary per block.
+early packets.  Summaries of neighbouring blocks are combined, ``2**FAN_BITS`` at a time, until few are left; those are
+walked, and the numbers go back down level by level.  With the number known at every block's start the blocks are cut
+into windows independently.  No task sees more than one block of packets or ``2**FAN_BITS`` summaries, and a summary
+lists no packet beyond the first ``size`` keys it covers.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .windows import packet_tuples
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT_ROWS = 10000
+FAN_BITS = 6
 _SQL_TYPES = {
     pa.string(): "STRING", pa.int64(): "BIGINT", pa.bool_(): "BOOLEAN", pa.list_(pa.int64()): "ARRAY<BIGINT>",
 }
@@ -106,27 +108,74 @@ def _summaries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
         }
 
 
+def combine(first: tuple, second: tuple, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Summary of a stretch of packets from those of its two halves."""
+    reach, closes, left, total = first
+    reach2, closes2, left2, total2 = second
+    # After a first close in the first half, the second half goes on with what that leaves.
+    at = np.searchsorted(reach2, size - left)
+    again = at < len(reach2)
+    counted, kept = closes.copy(), left + total2
+    counted[again] += closes2[at[again]]
+    kept[again] = left2[at[again]]
+    if total < size:
+        # The first close may also come in the second half, as far as it can be reached.
+        far = min(len(reach2), int(np.searchsorted(reach2, size - total)) + 1)
+        reach, counted, kept = (
+            np.concatenate([reach, total + reach2[:far]]), np.concatenate([counted, closes2[:far]]),
+            np.concatenate([kept, left2[:far]]),
+        )
+    return reach, counted, kept, total + total2
+
+
+SUMMARY = ["reach", "closes", "left", "total"]
+
+
+def _combined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
+    """Summaries of neighbouring blocks, one for each block of the next level."""
+    for (group, block), columns in _runs(batches, ["__group", "__above"], SUMMARY):
+        whole = None
+        for part in zip(*columns):
+            part = (*map(np.asarray, part[:3]), int(part[3]))
+            whole = part if whole is None else combine(whole, part, size)
+        yield {"__group": [group], "__block": [block], **{name: [value] for name, value in zip(SUMMARY, whole)}}
+
+
+def _walk(blocks: Sequence, held: int, closed: int, size: int) -> tuple[list[int], list[int], int]:
+    """Keys held and windows closed before each of a series of blocks, and the windows closed in the end."""
+    before: tuple[list[int], list[int]] = ([], [])
+    for reach, closes, left, total in blocks:
+        before[0].append(held)
+        before[1].append(closed)
+        at = int(np.searchsorted(reach, size - held))
+        if at < len(reach):
+            closed, held = closed + int(closes[at]), int(left[at])
+        else:
+            held += int(total)
+    return *before, closed
+
+
 def _entries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
-    """Keys held and windows closed before each block, and the windows closed in the whole group."""
-    columns = ["__block", "reach", "closes", "left", "total"]
-    for (group,), (blocks, reaches, counts, lefts, totals) in _runs(batches, ["__group"], columns):
-        held, closed, before = 0, 0, []
-        for reach, closes, left, total in zip(reaches, counts, lefts, totals):
-            before.append((held, closed))
-            at = int(np.searchsorted(reach, size - held))
-            if at < len(reach):
-                closed, held = closed + int(closes[at]), int(left[at])
-            else:
-                held += int(total)
-        yield {
-            "__group": [group] * len(blocks), "__block": blocks, "__held": [h for h, _ in before],
-            "__earlier": [c for _, c in before], "__closed": [closed] * len(blocks),
-        }
+    """Of the blocks of the last level: keys held and windows closed before each, and the windows closed in the group."""
+    for (group,), (blocks, *summaries) in _runs(batches, ["__group"], ["__block", *SUMMARY]):
+        held, earlier, closed = _walk(list(zip(*summaries)), 0, 0, size)
+        yield {"__group": [group] * len(blocks), "__block": blocks, "__held": held, "__earlier": earlier,
+               "__closed": [closed] * len(blocks)}
+
+
+def _descended(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
+    """The same for the blocks of a level, from what is known of the blocks above."""
+    columns = ["__block", *SUMMARY, "__held", "__earlier", "__closed"]
+    for (group, _), (blocks, *summaries, above_held, above_earlier, closed) in _runs(batches, ["__group", "__above"], columns):
+        held, earlier, _ = _walk(list(zip(*summaries)), int(above_held[0]), int(above_earlier[0]), size)
+        yield {"__group": [group] * len(blocks), "__block": blocks, "__held": held, "__earlier": earlier, "__closed": closed}
 
 
 def _cuts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
     columns = ["seq", "tuples", "__held", "__earlier", "__closed"]
     for (group, _), (seq, tuples, held, earlier, closed) in _runs(batches, ["__group", "__block"], columns):
+        if (seq[1:] == seq[:-1]).any():
+            raise ValueError("seq must be unique within a group")
         closing = closing_packets(tuples, size, int(held[0]))
         position = np.arange(len(seq))
         window = np.searchsorted(closing, position) + earlier + 1
@@ -147,25 +196,42 @@ def _over_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, s
 
 
 def reaching_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:
-    """Like ``count_windows``, with windows that close at the first packet reaching ``size`` keys."""
+    """Like ``count_windows``, with windows that close at the first packet reaching ``size`` keys.
+
+    ``seq`` must be non-NULL and unique within a group, else the query fails.
+    """
     if size < 1:
         raise ValueError(f"size must be positive, got {size}")
     used = packet_tuples(packets)
     # A text key stands for the group columns, NULLs included.
     group = F.to_json(F.struct(*by)) if by else F.lit("")
-    narrow = used.select(
-        group.alias("__group"), F.expr(f"shiftright(seq, {bits}) AS __block"), F.col("seq").cast("bigint"), "tuples"
-    )
+    seq = "coalesce(CAST(seq AS BIGINT), CAST(raise_error('seq must not be NULL') AS BIGINT))"
+    narrow = used.select(group.alias("__group"), F.expr(seq).alias("seq"), "tuples").withColumn(
+        "__block", F.expr(f"shiftright(seq, {bits})"))
     block, whole, list_type = ["__group", "__block"], ["__group"], pa.list_(pa.int64())
     label, number = ("__group", pa.string()), pa.int64()
-    blocks = _over_sorted(
-        narrow, block, [*block, "seq"], _summaries, size,
-        [label, ("__block", number), ("reach", list_type), ("closes", list_type), ("left", list_type), ("total", number)],
-    )
-    entries = _over_sorted(
-        blocks, whole, block, _entries, size,
-        [label, ("__block", number), ("__held", number), ("__earlier", number), ("__closed", number)],
-    )
+    summary = [("reach", list_type), ("closes", list_type), ("left", list_type), ("total", number)]
+    state = [("__held", number), ("__earlier", number), ("__closed", number)]
+    blocks = _over_sorted(narrow, block, [*block, "seq"], _summaries, size, [label, ("__block", number), *summary])
+
+    # Levels depend on the largest sequence number only: above the last one no group has more than a few blocks.
+    last = narrow.agg(F.max("__block")).first()[0] or 0
+    levels = [blocks]
+    while last >> FAN_BITS:
+        last >>= FAN_BITS
+        above = levels[-1].withColumn("__above", F.expr(f"shiftright(__block, {FAN_BITS})"))
+        levels.append(_over_sorted(
+            above, ["__group", "__above"], ["__group", "__above", "__block"], _combined, size,
+            [label, ("__block", number), *summary],
+        ))
+    entries = _over_sorted(levels.pop(), whole, block, _entries, size, [label, ("__block", number), *state])
+    for level in reversed(levels):
+        below = level.withColumn("__above", F.expr(f"shiftright(__block, {FAN_BITS})"))
+        known = entries.withColumnRenamed("__block", "__above")
+        entries = _over_sorted(
+            below.join(known, ["__group", "__above"]), ["__group", "__above"], ["__group", "__above", "__block"], _descended,
+            size, [label, ("__block", number), *state],
+        )
     assigned = _over_sorted(
         narrow.join(entries, block), block, [*block, "seq"], _cuts, size,
         [label, ("seq", number), ("window_id", number), ("closes", pa.bool_()), ("window_closed", pa.bool_())],

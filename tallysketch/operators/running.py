@@ -4,9 +4,8 @@ Rows are cut into blocks of ``2**bits`` consecutive order values.  Each block is
 accumulated, and every row adds the total of the earlier blocks to a running value inside its own block.  With unique
 order values no window over rows ever holds more than ``2**bits`` of them, however large or skewed the groups are.
 
-The window over block totals holds one row per block of a group: with order values that are dense, as in a numbered
-stream, one per 65,536 rows.  For sparse values ``levels`` cuts the totals into blocks again, each level dividing their
-number by ``2**bits``, at the price of one more join.
+The totals are cut into blocks again, and the totals of those: three levels of 16 bits leave at most ``2**15`` totals for
+the last window whatever the order values are, dense numbers or sparse ones such as microseconds or hashes.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
-LEVELS = 1
+LEVELS = 3
 
 
 def _combine(kind: str, column: str, out: str) -> Column:
@@ -56,8 +55,8 @@ def running(
 ) -> DataFrame:
     """Add running sums or maxima of integer ``values`` (output name -> column) along the integer column ``order``.
 
-    ``order`` must be non-NULL and unique within a ``by`` group.  NULL values count as ``start``, which is also the
-    value before the first row.
+    ``order`` must be non-NULL and unique within a ``by`` group, else the query fails.  NULL values count as ``start``,
+    which is also the value before the first row.
     """
     if kind not in ("sum", "max"):
         raise ValueError(f"kind must be 'sum' or 'max', got {kind!r}")
@@ -74,7 +73,13 @@ def running(
     totals = tagged.groupBy("__group", "__block").agg(*[_combine(kind, f"__value{i}", f"__total{i}") for i in range(n)])
     carry = _earlier_totals(totals, kind, n, bits, levels, start)
 
-    before = [f"{_before(kind, f'__value{i}', '__group, __block', f'`{order}`', start)} AS __inside{i}" for i in range(n)]
+    # A repeated order value would make the result depend on which of its rows happens to come first.
+    twice = f"lag(`{order}`) OVER (PARTITION BY __group, __block ORDER BY `{order}`) = `{order}`"
+    failed = f"CAST(raise_error('{order} must be unique within a group') AS BIGINT)"
+    before = [
+        f"CASE WHEN {twice} THEN {failed} ELSE {_before(kind, f'__value{i}', '__group, __block', f'`{order}`', start)} END"
+        f" AS __inside{i}" for i in range(n)
+    ]
     joined = tagged.selectExpr("*", *before).join(carry, ["__group", "__block"])
     results = []
     for i, name in enumerate(values):

@@ -14,7 +14,6 @@ from .estimate import estimate_registers
 from .registers import build_registers
 from .running import BLOCK_BITS, running
 
-SALTS = 32
 RESULT_BYTES = 4
 
 
@@ -44,23 +43,21 @@ def _closed_windows(closing: DataFrame, by: Sequence[str], bits: int) -> DataFra
 
 
 def attach_group_value(
-    rows: DataFrame, values: DataFrame, by: Sequence[str], column: str, spread: str = "seq"
+    rows: DataFrame, values: DataFrame, by: Sequence[str], column: str, spread: str = "seq", bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Add each group's ``column`` from ``values`` (one row per group) to its rows, NULL where the group is missing.
 
-    Copies of ``values`` meet slices of the rows cut by the integer column ``spread``, so a group holding most of the
-    rows is not sent to one task.
+    Values are first given to the blocks of ``2**bits`` values of the integer column ``spread`` that a group has, and the
+    rows meet them by group and block, so a group holding most of the rows is not sent to one task.
     """
     if not by:
         # A single row, whatever the input size.
         return rows.withColumn(column, values.select(column).scalar())
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__slice")
-    names = [f"__group{i}" for i in range(len(by))]
-    copies = values.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col(column).alias("__found"), slices)
-    condition = F.pmod(F.col(spread), F.lit(SALTS)) == F.col("__slice")
-    for c, n in zip(by, names):
-        condition = condition & F.col(c).eqNullSafe(F.col(n))
-    return rows.join(copies, condition, "left").select(*rows.columns, F.col("__found").alias(column))
+    # One struct key: two NULL group values inside it compare equal.
+    tagged = rows.withColumns({"__key": F.struct(*by), "__part": F.expr(f"coalesce(shiftright({spread}, {bits}), 0)")})
+    known = values.select(F.struct(*by).alias("__key"), F.col(column).alias("__found"))
+    parts = tagged.select("__key", "__part").distinct().join(known, "__key")
+    return tagged.join(parts, ["__key", "__part"], "left").select(*rows.columns, F.col("__found").alias(column))
 
 
 def count_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:

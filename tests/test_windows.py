@@ -150,3 +150,25 @@ def test_stream_windows_match_the_state_machine(spark, close, size, by):
         frame = spark.createDataFrame([(k,) for k in keys] or [(None,)], "key bigint")
         direct = estimate_registers(build_registers(frame, "key", 8, "murmur3_32"), 8, 32).first().estimate
         assert got[key] == (end, direct)
+
+
+@pytest.mark.parametrize("by", [["session_id"], []])
+@pytest.mark.parametrize("size", [3, 40, 300, 10**6])
+def test_reaching_windows_over_several_levels(spark, by, size):
+    """Sparse sequence numbers in tiny blocks: summaries are combined over levels, windows span many blocks."""
+    rows = [(r[0] * 1000, *r[1:]) for r in make_packets(size, 150, 2, [4, 8, 16, 3])]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    windowed = reaching_windows(frame, size, by, bits=3)
+    group = F.col("session_id") if by else F.lit(None)
+    got = windowed.select(group, "window_id", "seq", "closes").collect()
+    expected, closed = walk(rows, size, "at_least", bool(by))
+    assert sorted((tuple(r) for r in got), key=str) == [(g, w, s, c) for g, w, s, _, c in expected]
+    assert windowed.where("window_closed").select(group, "window_id").distinct().count() == len(closed)
+
+
+@pytest.mark.parametrize("bad", [[1, 1], [1, None]])
+def test_sequence_numbers_must_be_usable(spark, bad):
+    frame = spark.createDataFrame([(s, 1, 4, 1, 2, False, [s], False) for s in [0, 2, *bad]], SCHEMA)
+    for assign in (reaching_windows, count_windows):
+        with pytest.raises(Exception, match="unique|NULL"):
+            assign(frame, 2, ["session_id"]).collect()
