@@ -4,8 +4,8 @@ Rows are cut into blocks of ``2**bits`` consecutive order values.  Each block is
 accumulated, and every row adds the total of the earlier blocks to a running value inside its own block.  With unique
 order values no window over rows ever holds more than ``2**bits`` of them, however large or skewed the groups are.
 
-The totals are cut into blocks again, and the totals of those: three levels of 16 bits leave at most ``2**15`` totals for
-the last window whatever the order values are, dense numbers or sparse ones such as microseconds or hashes.
+The totals are cut into blocks again, and the totals of those, as often as the largest order value needs: then the last
+window holds at most ``2**bits`` totals, for dense numbers and for sparse ones such as microseconds or hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
-LEVELS = 3
+
+
+def levels_for(df: DataFrame, order: str, bits: int = BLOCK_BITS) -> int:
+    """How often totals must be cut into blocks so that no window holds more than ``2**bits`` of them."""
+    largest = df.agg(F.max(F.abs(F.col(order).cast("decimal(20,0)")))).first()[0] or 0
+    return max(1, -(-int(largest).bit_length() // bits) - 1)
 
 
 def _combine(kind: str, column: str, out: str) -> Column:
@@ -51,13 +56,15 @@ def _earlier_totals(blocks: DataFrame, kind: str, n: int, bits: int, levels: int
 
 def running(
     df: DataFrame, order: str, values: Mapping[str, Column], by: Sequence[str] = (), kind: str = "sum",
-    inclusive: bool = True, start: int = 0, bits: int = BLOCK_BITS, levels: int = LEVELS,
+    inclusive: bool = True, start: int = 0, bits: int = BLOCK_BITS, levels: int | None = None,
 ) -> DataFrame:
     """Add running sums or maxima of integer ``values`` (output name -> column) along the integer column ``order``.
 
     ``order`` must be non-NULL and unique within a ``by`` group, else the query fails.  NULL values count as ``start``,
-    which is also the value before the first row.
+    which is also the value before the first row.  ``levels`` is found from the data unless it is given (see
+    ``levels_for``), which reads the order column once more.
     """
+    levels = levels or levels_for(df, order, bits)
     if kind not in ("sum", "max"):
         raise ValueError(f"kind must be 'sum' or 'max', got {kind!r}")
     n = len(values)

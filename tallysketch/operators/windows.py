@@ -12,7 +12,7 @@ from ..functions.hashes import HashFunction, get_hash
 from ..functions.u64 import step
 from .estimate import estimate_registers
 from .registers import build_registers
-from .running import BLOCK_BITS, running
+from .running import BLOCK_BITS, levels_for, running
 
 RESULT_BYTES = 4
 
@@ -23,22 +23,26 @@ def packet_tuples(packets: DataFrame) -> DataFrame:
     return used if "tuples" in used.columns else step(used, tuples=tuples_in_packet("length"))
 
 
-def running_tuples(packets: DataFrame, by: Sequence[str] = (), out: str = "running", bits: int = BLOCK_BITS) -> DataFrame:
+def running_tuples(
+    packets: DataFrame, by: Sequence[str] = (), out: str = "running", bits: int = BLOCK_BITS, levels: int | None = None,
+) -> DataFrame:
     """Running count of whole keys over the non-empty packets, in ``seq`` order."""
-    return running(packet_tuples(packets), "seq", {out: F.col("tuples")}, by, bits=bits)
+    levels = levels or levels_for(packets, "seq", bits)
+    return running(packet_tuples(packets), "seq", {out: F.col("tuples")}, by, bits=bits, levels=levels)
 
 
 def run_ids(
     lines: DataFrame, order: str = "seq", last: str = "last", out: str = "run_id", by: Sequence[str] = (),
-    bits: int = BLOCK_BITS,
+    bits: int = BLOCK_BITS, levels: int | None = None,
 ) -> DataFrame:
     """Number the runs of a stream cut by an end marker: the count of earlier markers."""
-    return running(lines, order, {out: F.col(last).cast("int")}, by, inclusive=False, bits=bits)
+    return running(lines, order, {out: F.col(last).cast("int")}, by, inclusive=False, bits=bits, levels=levels)
 
 
 def _closed_windows(closing: DataFrame, by: Sequence[str], bits: int) -> DataFrame:
     """Length of the unbroken series 1, 2, 3, ... of window numbers per group, as ``__closed``."""
-    ranked = running(closing, "__number", {"__nth": F.lit(1)}, by, bits=bits)
+    # Two levels serve any number of windows that can be: 2**48 of them with 16 bits.
+    ranked = running(closing, "__number", {"__nth": F.lit(1)}, by, bits=bits, levels=2)
     return ranked.where(F.col("__nth") == F.col("__number")).groupBy(*by).agg(F.max("__number").alias("__closed"))
 
 
@@ -60,7 +64,9 @@ def attach_group_value(
     return tagged.join(parts, ["__key", "__part"], "left").select(*rows.columns, F.col("__found").alias(column))
 
 
-def count_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:
+def count_windows(
+    packets: DataFrame, size: int, by: Sequence[str] = (), bits: int = BLOCK_BITS, levels: int | None = None,
+) -> DataFrame:
     """Assign non-empty packets to windows of ``size`` keys; adds ``running``, ``window_id``, ``closes`` and
     ``window_closed``.
 
@@ -71,7 +77,7 @@ def count_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: i
     """
     if size < 1:
         raise ValueError(f"size must be positive, got {size}")
-    counted = running_tuples(packets, by, "running", bits)
+    counted = running_tuples(packets, by, "running", bits, levels)
     ends_here = f"(tuples > 0 AND running % {size} = 0)"
     closing = counted.where(ends_here).select(*by, F.expr(f"running div {size} AS __number"))
     rows = attach_group_value(counted, _closed_windows(closing, by, bits), by, "__closed")
@@ -81,10 +87,13 @@ def count_windows(packets: DataFrame, size: int, by: Sequence[str] = (), bits: i
     return step(rows, window_closed=f"window_id <= {series}").drop("__closed")
 
 
-def marked_windows(packets: DataFrame, by: Sequence[str] = (), last: str = "last", bits: int = BLOCK_BITS) -> DataFrame:
+def marked_windows(
+    packets: DataFrame, by: Sequence[str] = (), last: str = "last", bits: int = BLOCK_BITS, levels: int | None = None,
+) -> DataFrame:
     """Like ``count_windows``, but a window closes at every packet whose ``last`` flag is set."""
     used = packet_tuples(packets)
-    numbered = run_ids(used, last=last, out="__earlier", by=by, bits=bits)
+    levels = levels or levels_for(packets, "seq", bits)
+    numbered = run_ids(used, last=last, out="__earlier", by=by, bits=bits, levels=levels)
     ends = used.groupBy(*by).agg(F.coalesce(F.sum(F.col(last).cast("bigint")), F.lit(0)).alias("__closed"))
     rows = attach_group_value(numbered, ends, by, "__closed")
     return rows.select(
@@ -103,9 +112,13 @@ def estimate_windows(
     return estimate_registers(registers, p, get_hash(hash).width, group)
 
 
-def payload_offsets(windowed: DataFrame, by: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:
+def payload_offsets(
+    windowed: DataFrame, by: Sequence[str] = (), bits: int = BLOCK_BITS, levels: int | None = None,
+) -> DataFrame:
     """Byte offset of each packet's payload inside its window."""
-    return running(windowed, "seq", {"offset": F.col("length")}, [*by, "window_id"], inclusive=False, bits=bits)
+    return running(
+        windowed, "seq", {"offset": F.col("length")}, [*by, "window_id"], inclusive=False, bits=bits, levels=levels
+    )
 
 
 def window_results(windowed: DataFrame, estimates: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hashes import get_hash
 from ..operators.estimate import estimate_registers
 from ..operators.registers import build_registers
+from ..operators.running import levels_for
 from ..operators.sketch import approx_distinct
 from ..operators.windows import count_windows, estimate_windows, payload_offsets, run_ids, window_results
 from ..sources.extents import read_extent
@@ -45,6 +46,7 @@ def tee_windows(
     packets: DataFrame, size: int, p: int = 16, hash: str = "murmur3_64_h1", by: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Payloads with their offsets, and the result behind each closed window (rule ``'exact'``)."""
-    windowed = count_windows(packets, size, by)
-    payload = payload_offsets(windowed, by).select(*by, "window_id", "seq", "offset", "length", "payload")
+    levels = levels_for(packets, "seq")
+    windowed = count_windows(packets, size, by, levels=levels)
+    payload = payload_offsets(windowed, by, levels=levels).select(*by, "window_id", "seq", "offset", "length", "payload")
     return payload, window_results(windowed, estimate_windows(windowed, p, hash, by), by)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.reach import reaching_windows
 from ..operators.routing import merge_by_origin, merge_fair, merge_priority, split_packets
-from ..operators.running import running
+from ..operators.running import levels_for, running
 from ..operators.windows import count_windows, estimate_windows, payload_offsets, run_ids, running_tuples
 from ..sources.extents import read_extent, write_extent
 from ..sources.generators import generated_over, uniform_over
@@ -205,8 +205,10 @@ def offsets_sql(by):
 
 @query(q.with_(*windows_sql(GLOBAL_SIZE, ""), select=f"SELECT seq, window_id, {offsets_sql('')} AS \"offset\" FROM windowed"))
 def w5_payload_offsets(spark, folder):
-    windowed = count_windows(event_packets(spark, folder), GLOBAL_SIZE)
-    return payload_offsets(windowed).select("seq", "window_id", "offset")
+    packets = event_packets(spark, folder)
+    levels = levels_for(packets, "seq")
+    windowed = count_windows(packets, GLOBAL_SIZE, levels=levels)
+    return payload_offsets(windowed, levels=levels).select("seq", "window_id", "offset")
 
 
 def tee_payload_sql(size, by):
@@ -328,6 +330,18 @@ def w1_running_sum_and_maximum(spark, folder):
         "event_id", "total", "highest")
 
 
+@query("""SELECT event_id, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY place) AS BIGINT) AS total FROM (
+  SELECT *, epoch_us(ts) * 1000 + event_id % 1000 AS place FROM events)
+  WHERE event_id IN (SELECT min(event_id) FROM events GROUP BY event_type, epoch_us(ts) * 1000 + event_id % 1000)""")
+def w1_running_sum_by_time(spark, folder):
+    """Sparse order values: microseconds and a little of the id, so that totals are cut into blocks several times."""
+    place = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
+    events = read_table(spark, folder, "events").withColumn("place", place)
+    first = events.groupBy("event_type", "place").agg(F.min_by(F.struct("event_id", "user_id"), "event_id").alias("first"))
+    rows = first.select("event_type", "place", "first.*")
+    return running(rows, "place", {"total": F.col("user_id")}, ["event_type"]).select("event_id", "total")
+
+
 @query(q.with_(
     q.distinct_keys("events", "user_id"), WORDS, q.registers("(SELECT user_id AS key FROM events)", 64, 16, "", "h1"),
     q.estimate("regs", 16), select="SELECT CAST(0 AS BIGINT) AS run_id, round(estimate, 6) AS estimate FROM est",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.registers import build_registers
+from ..sources.packets import stream_packets
 from ..sources.sinks import write_batch
 from ..sources.tables import read_table
 from ..storage import new_folder
@@ -60,14 +61,31 @@ def t1_stream_registers_by_type(spark, folder):
     return read_kept_registers(spark, out, ["event_type"])
 
 
-@query(q.with_(*registers_sql("events", "user_id"), q.estimate("regs", 14), select=f"SELECT {ESTIMATE} FROM est"))
+SEEN = f"""(SELECT b AS batch_id, user_id AS key FROM events, range({BATCHES}) AS r(b),
+  (SELECT min(event_id) AS low, (max(event_id) - min(event_id)) // {BATCHES} + 1 AS step FROM events)
+  WHERE event_id < low + (b + 1) * step)"""
+
+
+@query(q.with_(*registers_sql("events", "user_id", by="batch_id", rows=SEEN), q.estimate("regs", 14, "batch_id"),
+               select=f"SELECT CAST(batch_id AS INTEGER) AS batch_id, {ESTIMATE} FROM est"))
 def t2_running_estimate(spark, folder):
-    """The estimate after the last micro-batch of several."""
+    """The estimate after each micro-batch of several; the registers are folded after every second."""
     out = new_folder(spark, "estimates")
     events = read_table(spark, folder, "events").select("event_id", "user_id")
-    run_in_chunks(spark, events, "event_id", lambda s: keep_estimates(s, out, "user_id"))
-    last = spark.read.parquet(f"{out}/estimates").agg(F.max_by("estimate", "batch_id").alias("estimate"))
-    return last.select(rounded("estimate").alias("estimate"))
+    run_in_chunks(spark, events, "event_id", lambda s: keep_estimates(s, out, "user_id", compact=2))
+    return spark.read.parquet(f"{out}/estimates").select("batch_id", rounded("estimate").alias("estimate"))
+
+
+@query(q.with_(*registers_sql("events", "user_id", p=12, by="session_id",
+                              rows=f"(SELECT (event_id // {KEYS_PER_PACKET}) % 3 AS session_id, user_id AS key FROM events)"),
+               select="SELECT CAST(session_id AS INTEGER) AS session_id, bucket, CAST(rank AS TINYINT) AS rank FROM regs"))
+def s8_packet_stream(spark, folder):
+    """Packets as a stream of one file per micro-batch, sketched per session."""
+    path, out = new_folder(spark, "packets"), new_folder(spark, "registers")
+    event_packets(spark, folder).drop("last").repartition(BATCHES).write.parquet(path)
+    keys = stream_packets(spark, path, files_per_batch=1).select("session_id", F.explode("payload").alias("key"))
+    keep_registers(keys, out, "key", 12, by=["session_id"], compact=2).awaitTermination()
+    return read_kept_registers(spark, out, ["session_id"])
 
 
 def run_windows(spark, folder, **options):
@@ -124,11 +142,9 @@ def t4_marker_windows(spark, folder):
 @query(q.with_(*window_estimates_sql(SESSION_SIZE, "session_id", 10, q.murmur3_32(), "h", 32),
                select="SELECT session_id, window_id, zeros, round(harmonic, 6) AS harmonic FROM est"))
 def t5_reset_at_close(spark, folder):
-    """Every window starts from empty registers: its zeros and sums are those of its own keys."""
-    from ..operators.windows import count_windows, estimate_windows
-
-    windowed = count_windows(event_packets(spark, folder), SESSION_SIZE, ["session_id"])
-    estimates = estimate_windows(windowed, 10, "murmur3_32", ["session_id"])
+    """Every window of a stream starts from empty registers: its zeros and sums are those of its own keys."""
+    window = run_windows(spark, folder, size=SESSION_SIZE, close="exact", p=10, hash="murmur3_32")
+    estimates = window.closed_estimates(spark)
     return estimates.select("session_id", "window_id", "zeros", rounded("harmonic").alias("harmonic"))
 
 

@@ -23,39 +23,85 @@ def start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> Str
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _keep(batch: DataFrame, batch_id: int, folder: str, by: Sequence[str], compact: int) -> None:
+    """Store the registers a micro-batch has changed; every ``compact`` batches fold all so far into one table.
+
+    What is folded is deleted a round later, when no replay can ask for it.
+    """
+    write_batch(batch, f"{folder}/registers", batch_id)
+    if compact and (batch_id + 1) % compact == 0:
+        spark = batch.sparkSession
+        read_kept_registers(spark, folder, by).write.mode("overwrite").parquet(f"{folder}/folded/upto={batch_id}")
+        for old in range(max(0, batch_id + 1 - 2 * compact), batch_id + 1 - compact):
+            _delete(spark, f"{folder}/registers/batch_id={old}")
+        _delete(spark, f"{folder}/folded/upto={batch_id - 2 * compact}")
+
+
+def _path(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path, files = _path(spark, path)
+    files.delete(jvm_path, True)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers in the folder names ``name=number`` below a path whose contents are complete."""
+    jvm_path, files = _path(spark, path)
+    if not files.exists(jvm_path):
+        return []
+    found = [s.getPath() for s in files.listStatus(jvm_path) if s.isDirectory()]
+    done = [f.getName() for f in found if files.exists(_path(spark, f"{f}/_SUCCESS")[0])]
+    return sorted(int(name.split("=")[1]) for name in done)
+
+
 def keep_registers(
     stream: DataFrame, folder: str, key: str, p: int = 14, hash: str | HashFunction = "murmur3_32",
-    by: Sequence[str] = (), available_now: bool = True,
+    by: Sequence[str] = (), available_now: bool = True, compact: int = 100,
 ) -> StreamingQuery:
     """Maintain registers over a stream; each micro-batch writes only the registers that changed.
 
-    State is at most ``2**p`` rows per group.  Read the current registers with ``read_kept_registers``.
+    State is at most ``2**p`` rows per group.  Read the current registers with ``read_kept_registers``; at most
+    ``2 * compact`` batches are kept apart.
     """
     registers = build_registers(stream, key, p, hash, by)
     writer = registers.writeStream.outputMode("update").foreachBatch(
-        lambda batch, batch_id: write_batch(batch, f"{folder}/registers", batch_id)
+        lambda batch, batch_id: _keep(batch, batch_id, folder, by, compact)
     )
     return start(writer, f"{folder}/checkpoint", available_now)
 
 
 def read_kept_registers(spark: SparkSession, folder: str, by: Sequence[str] = ()) -> DataFrame:
     """Registers as of the last finished micro-batch."""
-    return merge_registers(spark.read.parquet(f"{folder}/registers"), by=by)
+    folded = _numbers(spark, f"{folder}/folded")
+    last = folded[-1] if folded else -1
+    later = [n for n in _numbers(spark, f"{folder}/registers") if n > last]
+    parts = [spark.read.parquet(*[f"{folder}/registers/batch_id={n}" for n in later])] if later else []
+    parts += [spark.read.parquet(f"{folder}/folded/upto={last}")] if folded else []
+    return merge_registers(*parts, by=by)
 
 
 def keep_estimates(
     stream: DataFrame, folder: str, key: str, p: int = 14, hash: str | HashFunction = "murmur3_32",
-    by: Sequence[str] = (), available_now: bool = True,
+    by: Sequence[str] = (), available_now: bool = True, compact: int = 100,
 ) -> StreamingQuery:
-    """After every micro-batch, append the estimate over everything seen so far: ``(batch_id, by..., estimate)``."""
+    """After every micro-batch, append the estimates over everything seen so far of the groups it has changed:
+    ``(batch_id, by..., estimate)``."""
     width = get_hash(hash).width
     registers = build_registers(stream, key, p, hash, by)
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        estimates = estimate_registers(batch, p, width, by).select(*by, "estimate")
-        write_batch(estimates, f"{folder}/estimates", batch_id)
-
-    writer = registers.writeStream.outputMode("complete").foreachBatch(emit)
+        _keep(batch, batch_id, folder, by, compact)
+        kept = read_kept_registers(batch.sparkSession, folder, by)
+        if by:
+            changed = batch.sparkSession.read.parquet(f"{folder}/registers/batch_id={batch_id}").select(
+                F.struct(*by).alias("__key")).distinct()
+            kept = kept.withColumn("__key", F.struct(*by)).join(changed, "__key", "left_semi").drop("__key")
+        write_batch(estimate_registers(kept, p, width, by).select(*by, "estimate"), f"{folder}/estimates", batch_id)
+
+    writer = registers.writeStream.outputMode("update").foreachBatch(emit)
     return start(writer, f"{folder}/checkpoint", available_now)
 
 

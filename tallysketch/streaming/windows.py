@@ -20,7 +20,7 @@ from ..functions.hashes import get_hash
 from ..operators.estimate import estimate_registers
 from ..operators.registers import build_registers, check_p, merge_registers
 from ..operators.reach import reaching_windows
-from ..operators.running import BLOCK_BITS
+from ..operators.running import BLOCK_BITS, levels_for
 from ..operators.windows import attach_group_value, count_windows, marked_windows, payload_offsets, window_results
 from ..sources.sinks import write_batch
 from .registers import start
@@ -67,16 +67,22 @@ class PacketWindows:
         """``(by..., window_id, offset, length, estimate)`` of every window closed so far."""
         return spark.read.parquet(f"{self.folder}/result").drop("batch_id")
 
+    def closed_estimates(self, spark: SparkSession) -> DataFrame:
+        """``(by..., window_id, estimate, zeros, harmonic, raw)`` of every window closed so far, from its registers."""
+        stored = spark.read.parquet(f"{self.folder}/registers").where("window_closed")
+        group = [*self.by, "window_id"]
+        return estimate_registers(merge_registers(stored, by=group), self.p, get_hash(self.hash).width, group)
+
     def payloads(self, spark: SparkSession) -> DataFrame:
         """``(by..., window_id, seq, offset, length, payload)`` of every packet so far."""
         packets = spark.read.parquet(f"{self.folder}/packets").where(F.col("seq") != CARRIED_SEQ)
         return packets.select(*self.by, "window_id", "seq", "offset", "length", "payload")
 
-    def _assign(self, rows: DataFrame) -> DataFrame:
+    def _assign(self, rows: DataFrame, levels: int) -> DataFrame:
         if self.close == "exact":
-            return count_windows(rows, self.size, self.by, self.bits)
+            return count_windows(rows, self.size, self.by, self.bits, levels)
         if self.close == "last":
-            return marked_windows(rows, self.by, bits=self.bits)
+            return marked_windows(rows, self.by, bits=self.bits, levels=levels)
         return reaching_windows(rows, self.size, self.by, self.bits)
 
     def _carried(self, spark: SparkSession, schema: T.StructType, batch_id: int) -> tuple[DataFrame, DataFrame]:
@@ -115,8 +121,10 @@ class PacketWindows:
             *by, F.lit(CARRIED_SEQ).cast("bigint").alias("seq"), F.col("bytes").alias("length"), "tuples",
             F.lit(False).alias("last"), F.lit(None).cast("array<bigint>").alias("payload"),
         )
-        windowed = self._assign(packets.unionByName(carried))
-        windowed = self._write(self._numbered(payload_offsets(windowed, by, self.bits), counts), "packets", batch_id)
+        levels = levels_for(batch, "seq", self.bits)
+        windowed = self._assign(packets.unionByName(carried), levels)
+        offsets = payload_offsets(windowed, by, self.bits, levels)
+        windowed = self._write(self._numbered(offsets, counts), "packets", batch_id)
 
         keys = windowed.select(*group, "window_closed", F.explode("payload").alias("key"))
         fresh = build_registers(keys, "key", self.p, self.hash, [*group, "window_closed"])
