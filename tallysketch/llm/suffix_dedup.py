@@ -2,7 +2,7 @@
 
 A byte goes when it lies in a ``length``-byte string that also starts in a document with a smaller id. Three steps:
 
-1. Anchors. Each window of ``length`` bytes is assigned the smallest hash of its ``GRAM``-byte substrings; equal windows
+1. Anchors. A text that an earlier document has from end to end goes as a whole. In the others, each window of ``length`` bytes is assigned the smallest hash of its ``GRAM``-byte substrings; equal windows
    have equal anchors, and neighbouring windows mostly share one, so a text is a few runs of windows per hundred bytes.
    Runs are dealt by anchor as packed arrays, and only anchors that two documents have go on. An anchor that several
    documents of one task's batch have is known there already: its runs pass on, and one witness goes to the anchor's
@@ -28,15 +28,17 @@ from pyspark.sql import functions as F
 
 from ..storage import new_folder
 from .catalog import query, read
-from .text import BYTE_CODES, flat, gathered, mixed, span_hashes
+from .text import BYTE_CODES, flat, gathered, mixed, packed, released, span_hashes, squeezed, unpacked
 
 GRAM = 16
 LENGTH = 50
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Runs to a bucket, on average; an anchor with more runs than HOT (or its share of four million) is dealt by windows.
-BUCKET = 1 << 19
-HOT = 2048
+BUCKET = 1 << 18
+HOT = 1 << 18
 HOT_KEYS = 4_000_000
+#: Ids that may be broadcast; more are joined by a shuffle.
+FEW = 1_000_000
 #: Parts of one id (rows that repeat it) are this far apart.
 PART = 1 << 32
 NOWHERE = 2 ** 63 - 1
@@ -46,7 +48,7 @@ NOWHERE = 2 ** 63 - 1
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: anchor, text number, first window's place in ``data``, number of windows."""
+    """Runs of windows with one anchor: anchor (48 bits), text number, first window's place in ``data``, number of windows."""
     none = np.empty(0, np.int64)
     if len(data) < length:
         return none.astype(np.uint64), none, none, none
@@ -71,18 +73,7 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tupl
     first = np.ones(len(own), bool)
     first[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])
     begins = np.flatnonzero(first)
-    return mixed(own[begins]), owner[begins], places[begins], np.diff(np.append(begins, len(own)))
-
-
-def packed(values: np.ndarray, kind: str) -> bytes:
-    """Numbers by byte place, so that the leading zeros of small ones compress away."""
-    values = np.ascontiguousarray(values.astype(kind))
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-
-
-def unpacked(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return mixed(own[begins]) >> np.uint64(16), owner[begins], places[begins], np.diff(np.append(begins, len(own)))
 
 
 def _anchor_rows(buckets: int, length: int, batch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -114,7 +105,7 @@ def _by_bucket(held: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.
     # One witness of each shared anchor goes to its bucket; the runs themselves are known to be shared.
     sent = ~shared
     sent[first] = True
-    bucket = ((keys[sent] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = ((keys[sent] >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     rows = []
     own = (keys[sent], docs[sent], starts[sent], np.where(shared[sent], 0, counts[sent]), sizes[sent])
@@ -140,6 +131,11 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(change) - 1, first, np.append(first[1:], len(keys))
 
 
+def _tail(keys: np.ndarray, counts: np.ndarray | int) -> np.ndarray:
+    """32 bits of the anchor, enough to bring equal ones together, and the number of windows, in one number."""
+    return (keys >> np.uint64(16)).astype(np.int64) << 16 | counts
+
+
 def _shared_runs(buckets: int, hot_runs: int) -> Callable[[pa.Table], pa.Table]:
     """Of a bucket: the runs whose anchor another document has, and for each anchor how many runs it has in all."""
     kinds = (("keys", "<u8"), ("docs", "<i8"), ("starts", "<i8"), ("counts", "<i4"), ("sizes", "<i4"))
@@ -161,10 +157,9 @@ def _shared_runs(buckets: int, hot_runs: int) -> Callable[[pa.Table], pa.Table]:
             return pa.table({
                 "doc": np.concatenate([docs[own], np.full(int(hot.sum()), NOWHERE)]),
                 "start": np.concatenate([starts[own], total[hot]]),
-                "count": np.concatenate([counts[own], np.zeros(int(hot.sum()), np.int32)]).astype(np.int32),
-                "key": np.concatenate([keys[own], keys[first[hot]]]).view(np.int64),
+                "tail": np.concatenate([_tail(keys[own], counts[own]), _tail(keys[first[hot]], 0)]),
             })
-        return pa.table({"doc": docs, "start": starts, "count": counts, "key": keys.view(np.int64)})
+        return pa.table({"doc": docs, "start": starts, "tail": _tail(keys, counts)})
 
     return work
 
@@ -206,11 +201,15 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, tie: np.ndarray, length:
 
 def _earlier(table: pa.Table, length: int) -> pa.Table:
     """Of a bucket of runs with their bytes: windows whose longest previous factor in an earlier document is long enough,
-    as spans; rows without bytes are spans that are known already."""
-    docs, starts = table["doc"].to_numpy(), table["start"].to_numpy()
-    counts, keys = table["count"].to_numpy(), table["key"].to_numpy()
-    offsets, data = flat(table["text"].combine_chunks() if table["text"].num_chunks != 1 else table["text"].chunk(0))
-    done = offsets[1:] == offsets[:-1]
+    as spans; runs without bytes are known to be repeats already."""
+    docs, starts, counts, keys = (
+        np.concatenate([unpacked(raw, "<i8") for raw in table[name].to_pylist()]) for name in PACKED
+    )
+    data = np.frombuffer(b"".join(map(released, table["text"].to_pylist())), np.uint8)
+    done = counts < 0
+    counts = np.abs(counts)
+    sizes = np.where(done, 0, counts + length - 1)
+    offsets = np.cumsum(sizes) - sizes
     spans = [(docs[done], starts[done], starts[done] + counts[done])]
     # Anchors that only one run is left of have nothing to be compared with.
     order = np.argsort(keys, kind="stable")
@@ -221,7 +220,7 @@ def _earlier(table: pa.Table, length: int) -> pa.Table:
     if len(order):
         number = counts[order]
         within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        places = np.repeat(offsets[:-1][order], number) + within
+        places = np.repeat(offsets[order], number) + within
         owners, at = np.repeat(docs[order], number), np.repeat(starts[order], number) + within
         rank = np.empty(len(at), np.int64)
         rank[np.lexsort((at, owners))] = np.arange(len(at))
@@ -229,13 +228,13 @@ def _earlier(table: pa.Table, length: int) -> pa.Table:
         heads = np.flatnonzero(differs)
         previous = suffixes[heads[np.cumsum(differs) - 1]]
         marked = suffixes[owners[previous] < owners[suffixes]]
-        spans.append(_merged(owners[marked], at[marked], at[marked] + 1))
-    owners, begins, ends = map(np.concatenate, zip(*spans))
+        spans.append((owners[marked], at[marked], at[marked] + 1))
+    owners, begins, ends = _merged(*map(np.concatenate, zip(*spans)))
     return pa.table({"doc": owners, "begin": begins, "end": ends + (length - 1)})
 
 
 def _merged(docs: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of single places."""
+    """Join what touches or overlaps."""
     if not len(docs):
         return docs, begins, ends
     order = np.lexsort((begins, docs))
@@ -243,59 +242,90 @@ def _merged(docs: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.
     fresh = np.ones(len(docs), bool)
     fresh[1:] = (docs[1:] != docs[:-1]) | (begins[1:] > ends[:-1])
     first = np.flatnonzero(fresh)
-    return docs[first], begins[first], ends[np.append(first[1:], len(docs)) - 1]
+    return docs[first], begins[first], np.maximum.reduceat(ends, first)
+
 
+#: What is packed of each run beside its bytes. A count below 0 says that the run is a repeat, and that no bytes follow.
+PACKED = ("docs", "starts", "counts", "keys")
 
-def _run_bytes(hot: np.ndarray, buckets: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _run_bytes(
+    hot: np.ndarray, buckets: int, length: int, batch: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From documents with their shared runs: the runs' bytes, equal runs of a batch once, hot anchors by windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in gathered(batches, 2, SLICE):
-            offsets, data = flat(part.column(2))
-            lists = part.column(3)
-            runs = lists.flatten()
-            own = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-            starts, counts = runs.field("start").to_numpy(), runs.field("count").to_numpy().astype(np.int64)
-            keys = runs.field("key").to_numpy()
-            mine = starts // PART == part.column(1).to_numpy()[own]
-            own, starts, counts, keys = own[mine], starts[mine], counts[mine], keys[mine]
-            docs = part.column(0).to_numpy()[own]
-            places = offsets[own] + starts % PART
-            split = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
-            if split.any():
-                number = counts[split]
-                within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                extra = [np.repeat(c[split], number) + within for c in (starts, places)]
-                docs = np.concatenate([docs[~split], np.repeat(docs[split], number)])
-                keys = np.concatenate([keys[~split], np.zeros(len(within), np.int64)])
-                starts, places = (np.concatenate([c[~split], e]) for c, e in zip((starts, places), extra))
-                counts = np.concatenate([counts[~split], np.ones(len(within), np.int64)])
-            if not len(docs):
-                continue
-            codes = span_hashes(BYTE_CODES[data], places, places + counts + length - 1)
-            keys = np.where(keys == 0, codes.view(np.int64), keys) if split.any() else keys
-            # Of equal runs only the earliest document's go on; the others are repeats whatever else there is.
-            order = np.lexsort((starts, docs, codes))
-            docs, keys, starts, places, counts = (c[order] for c in (docs, keys, starts, places, counts))
-            group, first, _ = _groups(codes[order])
-            repeat = docs[first][group] < docs
-            sizes = np.where(repeat, 0, counts + length - 1)
-            ends = np.cumsum(sizes)
-            index = np.repeat(places - (ends - sizes), sizes) + np.arange(ends[-1])
-            text = pa.Array.from_buffers(
-                pa.binary(), len(docs),
-                [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data[index])],
-            )
-            bucket = ((mixed(keys.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            bucket[repeat] = (docs[repeat] * 7919) % buckets
-            yield pa.record_batch(
-                [pa.array(bucket), pa.array(docs), pa.array(starts), pa.array(counts.astype(np.int32)), pa.array(keys), text],
-                ["bucket", "doc", "start", "count", "key", "text"],
-            )
+            held.append(_cut_runs(part, hot, length))
+            size += len(held[-1][0])
+            if size >= batch:
+                yield _packed_runs(held, buckets, length)
+                held, size = [], 0
+        if size:
+            yield _packed_runs(held, buckets, length)
 
     return work
 
 
+def _cut_runs(part: pa.RecordBatch, hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Document, start, number of windows, anchor, content hash and bytes of each run of a batch of documents."""
+    offsets, data = flat(part.column(2))
+    lists = part.column(3)
+    runs = lists.flatten()
+    own = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+    starts, tails = runs.field("start").to_numpy(), runs.field("tail").to_numpy()
+    mine = starts // PART == part.column(1).to_numpy()[own]
+    own, starts, tails = own[mine], starts[mine], tails[mine]
+    counts, keys = tails & 0xFFFF, tails >> 16
+    docs = part.column(0).to_numpy()[own]
+    places = offsets[own] + starts % PART
+    split = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
+    if split.any():
+        number = counts[split]
+        within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        docs = np.concatenate([docs[~split], np.repeat(docs[split], number)])
+        keys = np.concatenate([keys[~split], np.full(len(within), -1)])
+        starts, places = (
+            np.concatenate([c[~split], np.repeat(c[split], number) + within]) for c in (starts, places)
+        )
+        counts = np.concatenate([counts[~split], np.ones(len(within), np.int64)])
+    codes = span_hashes(BYTE_CODES[data], places, places + counts + length - 1)
+    keys = np.where(keys < 0, codes.view(np.int64), keys)
+    sizes = counts + length - 1
+    ends = np.cumsum(sizes)
+    text = data[np.repeat(places - (ends - sizes), sizes) + np.arange(ends[-1])] if len(ends) else data[:0]
+    return docs, starts, counts, keys, codes, text
+
+
+def _packed_runs(held: list[tuple[np.ndarray, ...]], buckets: int, length: int) -> pa.RecordBatch:
+    docs, starts, counts, keys, codes, text = map(np.concatenate, zip(*held))
+    sizes = counts + length - 1
+    places = np.cumsum(sizes) - sizes
+    # Of equal runs only the earliest document's go on; the others are repeats whatever else there is.
+    order = np.lexsort((starts, docs, codes))
+    group, first, _ = _groups(codes[order])
+    repeat = np.zeros(len(docs), bool)
+    repeat[order] = docs[order][first][group] < docs[order]
+    counts, sizes = np.where(repeat, -counts, counts), np.where(repeat, 0, sizes)
+    # Repeats need no company: they are dealt by their document.
+    dealt = np.where(repeat, mixed(docs.view(np.uint64)), mixed(keys.view(np.uint64)))
+    bucket = (dealt >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+    rows = []
+    for number, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if a < b:
+            own = order[a:b]
+            ends = np.cumsum(sizes[own])
+            index = np.repeat(places[own] - (ends - sizes[own]), sizes[own]) + np.arange(ends[-1])
+            rows.append((number, *[packed(c[own], "<i8") for c in (docs, starts, counts, keys)], squeezed(text[index].tobytes())))
+    names = ["bucket", *PACKED, "text"]
+    return pa.record_batch(
+        [pa.array(c, pa.int64() if n == "bucket" else pa.binary()) for n, c in zip(names, zip(*rows))], names
+    )
+
+
 # The whole
 
 
@@ -303,15 +333,30 @@ def numbered_parts(rows: DataFrame) -> DataFrame:
     """``doc, part, text``: rows that share an id are parts of one document; a null id is the last of all documents."""
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NOWHERE - 1)))
     if rows.groupBy("doc").count().where(F.col("count") > 1).isEmpty():
-        return rows.select("doc_id", "doc", F.lit(0).alias("part"), "text")
+        return rows.select("doc_id", "doc", F.lit(0).alias("part"), "text", "row")
     order = Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")
-    return rows.select("doc_id", "doc", (F.row_number().over(order) - 1).alias("part"), "text")
+    return rows.select("doc_id", "doc", (F.row_number().over(order) - 1).alias("part"), "text", "row")
+
+
+def _copies(parts: DataFrame) -> DataFrame:
+    """``doc, part, size`` of whole texts that an earlier document has: they go without looking for anchors."""
+    spark = parts.sparkSession
+    digests = parts.select("doc", "part", F.octet_length("text").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    first = digests.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    folder = new_folder(spark, "copies")
+    digests.join(first.where(F.col("first") < F.col("last")), "sha").where(F.col("doc") > F.col("first")).select(
+        "doc", "part", "size"
+    ).write.parquet(folder)
+    copies = spark.read.schema("doc long, part int, size int").parquet(folder)
+    return F.broadcast(copies) if copies.count() <= FEW else copies
 
 
 def repeated_spans(
     docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, hot_runs: int = HOT,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every row with its text and the spans of it to remove: ``doc_id, part, text, spans`` (array of begin, end).
+    """Every row with its text and the spans of it to remove: ``doc_id, part, text, spans`` (array of begin, end), and
+    with the columns that ``keep`` names in one column ``row``.
 
     Offsets are bytes of the UTF-8 text; spans may overlap and are in no order. Null text is empty and has none. Rows
     that share an id are parts of one document and don't remove each other's bytes; a null id comes after all others.
@@ -319,35 +364,52 @@ def repeated_spans(
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.struct(*[F.col(name) for name in keep]).alias("row"),
     )
-    parts = numbered_parts(rows)
+    numbered = numbered_parts(rows)
+    parts = numbered.drop("row")
+    copies = _copies(parts)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(1 + total // (18 * bucket))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(buckets, 2 * shuffles)
     folder = new_folder(spark, "runs")
     (
-        parts.select("doc", "part", F.col("text").cast("binary").alias("text"))
+        parts.join(copies.select("doc", "part"), ["doc", "part"], "left_anti")
+        .select("doc", "part", F.col("text").cast("binary").alias("text"))
+        # A fixed order: what is known to be shared within a batch must come out the same when a lost task runs again.
+        .sortWithinPartitions("doc", "part")
         .mapInArrow(_anchor_rows(buckets, length, bucket),
                     "bucket long, keys binary, docs binary, starts binary, counts binary, sizes binary")
-        .groupBy("bucket").applyInArrow(_shared_runs(buckets, hot_runs), "doc long, start long, count int, key long")
+        .groupBy("bucket").applyInArrow(_shared_runs(buckets, hot_runs), "doc long, start long, tail long")
         .write.parquet(folder)
     )
-    found = spark.read.schema("doc long, start long, count int, key long").parquet(folder)
+    found = spark.read.schema("doc long, start long, tail long").parquet(folder)
     # At most HOT_KEYS anchors have more than their share, so this stays small at any size.
     marks, runs = found.where(F.col("doc") == NOWHERE), found.where(F.col("doc") != NOWHERE)
     share = max(hot_runs, runs.count() // HOT_KEYS)
-    hot = np.array([r["key"] for r in marks.where(F.col("start") > share).select("key").collect()], np.int64)
-    listed = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "key")).alias("runs"))
+    hot = np.array([r["tail"] >> 16 for r in marks.where(F.col("start") > share).select("tail").collect()], np.int64)
+    listed = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "tail")).alias("runs"))
     spans = (
         parts.join(listed.hint("shuffle_hash"), "doc")
         .select("doc", "part", F.col("text").cast("binary").alias("text"), "runs")
-        .mapInArrow(_run_bytes(hot, buckets, length),
-                    "bucket long, doc long, start long, count int, key long, text binary")
+        # A fixed order here too: equal runs are collapsed within a batch.
+        .sortWithinPartitions("doc", "part")
+        .mapInArrow(_run_bytes(hot, buckets, length, bucket // 2),
+                    "bucket long, docs binary, starts binary, counts binary, keys binary, text binary")
         .groupBy("bucket").applyInArrow(lambda table: _earlier(table, length), "doc long, begin long, end long")
-        .groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     )
-    return parts.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "part", "text", "spans")
+    whole = copies.where(F.col("size") >= length).select(
+        "doc", (F.col("part") * PART).alias("begin"), (F.col("part") * PART + F.col("size")).alias("end")
+    )
+    spans = spans.unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    if not keep:
+        return parts.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "part", "text", "spans")
+    # The other columns come in with the spans: texts, dealt by document for the runs already, aren't moved once more.
+    others = numbered.select("doc", F.col("part").alias("__part"), "row").join(spans.hint("shuffle_hash"), "doc", "left")
+    return parts.join(others.hint("shuffle_hash"), "doc").where(F.col("part") - F.col("__part") == 0).select(
+        "doc_id", "part", "text", "spans", "row"
+    )
 
 
 def kept_bytes(size: int, spans: pa.StructArray | None, part: int) -> np.ndarray:
@@ -395,6 +457,33 @@ def remove_repeats(
     )
 
 
+def without_repeats(
+    docs: DataFrame, keep: tuple[str, ...], length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Every row's text without its repeats, ``text``, and the columns that ``keep`` names in one column ``row``.
+
+    A character goes if any of its bytes does, so what stays is text. A text of which nothing stays is empty.
+    """
+    types = dict(docs.select(F.struct(*[F.col(name) for name in keep]).alias("row")).dtypes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for row, part in enumerate(batch.column(0).to_pylist()):
+                data = np.frombuffer(batch.column(1)[row].as_buffer(), np.uint8)
+                stays = kept_bytes(len(data), batch.column(2)[row].values, part)
+                begins = np.flatnonzero(data & 0xC0 != 0x80)
+                if len(begins):
+                    whole = np.logical_and.reduceat(stays, begins)
+                    stays = np.repeat(whole, np.diff(np.append(begins, len(data))))
+                texts.append(data[stays].tobytes().decode())
+            yield pa.record_batch([pa.array(texts, pa.string()), batch.column(3)], ["text", "row"])
+
+    found = repeated_spans(docs, length, id_col, text_col, keep=keep)
+    rows = found.select("part", F.col("text").cast("binary").alias("text"), "spans", "row")
+    return rows.mapInArrow(work, f"text string, row {types['row']}")
+
+
 @query()
 def op2_suffix_dedup(spark, folder):
     """What is left of every document without the passages that an earlier one has."""

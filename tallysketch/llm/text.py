@@ -121,6 +121,26 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return span_hashes(BYTE_CODES[LOWER[data] if fold else data], starts, ends)
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Compressed bytes, their number in front."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def released(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
+def packed(values: np.ndarray, kind: str) -> bytes:
+    """Numbers by byte place and compressed: leading zeros and places with few values cost next to nothing."""
+    values = np.ascontiguousarray(values.astype(kind))
+    return squeezed(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(released(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 class Remembered:
     """A table of bounded size from words to what was made of them: what is in use stays, the rest is forgotten in turn.
 
