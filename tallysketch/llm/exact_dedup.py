@@ -26,19 +26,24 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and what ``keep`` names.
 
     Null text counts as empty. Of equal texts the longest original (code points) stays, then the smallest id; a null id
     comes after all others. Rows repeating an id and a text are members like others, and only one row of a group is
-    kept. An empty table gives no rows. Other columns are not looked at.
+    kept. An empty table gives no rows. Other columns are not looked at; those that ``keep`` names are carried along in
+    one column ``row``, so that no name can clash.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__points"),
         normalised(F.col(text_col)).alias("__norm"),
+        *([F.struct(*[F.col(name) for name in keep]).alias("row")] if keep else []),
     )
+    own = ["row"] if keep else []
     hashed = rows.withColumn("__hash", F.xxhash64("__norm"))
     # A text may fill a quarter of an even partition before it is salted, so at most four texts per partition are hot.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -58,7 +63,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ordered = Window.partitionBy(*group).orderBy(*best)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = dealt.select(
-        "doc_id", "__hash", "__points", "__salts", "__norm",
+        *own, "doc_id", "__hash", "__points", "__salts", "__norm",
         F.sha2(F.col("__norm").cast("binary"), 256).alias("text_sha256"),
         F.first("doc_id").over(whole).alias("keep_id"),
         F.count(F.lit(1)).over(whole).alias("group_size"),
@@ -66,14 +71,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     cold = found.where(F.col("__salts").isNull())
     plain = cold.select(
-        "doc_id", "keep_id", "group_size", (F.col("__place") == 1).alias("kept"), "text_sha256",
+        *own, "doc_id", "keep_id", "group_size", (F.col("__place") == 1).alias("kept"), "text_sha256",
     )
     if not hot:
         return plain
-    return plain.unionByName(_across_salts(found.where(F.col("__salts").isNotNull()), best))
+    return plain.unionByName(_across_salts(found.where(F.col("__salts").isNotNull()), best, own))
 
 
-def _across_salts(found: DataFrame, best: list[Column]) -> DataFrame:
+def _across_salts(found: DataFrame, best: list[Column], own: list[str]) -> DataFrame:
     """Rows of salted texts, with the group's result over all salts."""
     heads = found.where(F.col("__place") == 1)
     text = Window.partitionBy("__norm")
@@ -83,11 +88,11 @@ def _across_salts(found: DataFrame, best: list[Column]) -> DataFrame:
         F.first("keep_id").over(first).alias("__keep"), F.sum("group_size").over(text).alias("__size"),
     )
     # One row for each salt of a hot text: bounded by the number of partitions, whatever the number of rows.
-    local = found.select("doc_id", "text_sha256", F.col("keep_id").alias("__head"), "__place")
+    local = found.select(*own, "doc_id", "text_sha256", F.col("keep_id").alias("__head"), "__place")
     joined = local.join(F.broadcast(groups), (local["text_sha256"] == groups["text_sha256"])
                         & local["__head"].eqNullSafe(groups["__head"]))
     return joined.select(
-        local["doc_id"], F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"),
+        *own, local["doc_id"], F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"),
         ((F.col("__place") == 1) & (F.col("__rank") == 1)).alias("kept"), local["text_sha256"],
     )
 

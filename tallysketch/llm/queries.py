@@ -2,5 +2,20 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language, language_model, minhash, neighbours, packing, quality, suffix_dedup, toxicity  # noqa: F401
+import corpus_pipeline
+
+from . import (  # noqa: F401
+    byte_bpe,
+    exact_dedup,
+    language,
+    language_model,
+    minhash,
+    neighbours,
+    packing,
+    quality,
+    suffix_dedup,
+    toxicity,
+)
 from .catalog import QUERIES, SQL  # noqa: F401
+
+QUERIES["pipeline"] = corpus_pipeline.run
