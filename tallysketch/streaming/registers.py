@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -105,6 +106,12 @@ def keep_estimates(
     return start(writer, f"{folder}/checkpoint", available_now)
 
 
+def _window_registers(df: DataFrame, key: str, window: Column, p: int, hash: str | HashFunction, by: Sequence[str]) -> DataFrame:
+    group = ["window", *by]
+    windowed = df.select(*by, key, window.alias("window"))
+    return ranks(smallest_hashes(windowed, key, p, hash, group), p, hash, group)
+
+
 def event_time_estimates(
     df: DataFrame, key: str, time: str, length: str, slide: str | None = None, delay: str = "0 seconds", p: int = 14,
     hash: str | HashFunction = "murmur3_32", by: Sequence[str] = (),
@@ -116,9 +123,14 @@ def event_time_estimates(
     """
     words = words_for(get_hash(hash).width)
     timed = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    windowed = timed.select(*by, key, F.window(time, length, slide).alias("window"))
     group = ["window", *by]
-    registers = ranks(smallest_hashes(windowed, key, p, hash, group), p, hash, group)
+    if slide and not pd.Timedelta(length) % pd.Timedelta(slide):
+        # Every window is made of whole panes of one slide: rows are hashed once, and registers are spread, not rows.
+        panes = _window_registers(timed, key, F.window(time, slide), p, hash, by)
+        spread = panes.withColumn("window", F.window(F.window_time("window"), length, slide))
+        registers = merge_registers(spread, by=group)
+    else:
+        registers = _window_registers(timed, key, F.window(time, length, slide), p, hash, by)
     sums = registers.groupBy(*group).agg(*register_sums(words))
     return finish(sums, p, words, group).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by,
