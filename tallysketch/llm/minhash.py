@@ -2,8 +2,8 @@
 
 Documents with one and the same shingle set are a class from the start, and only its smallest id goes on. Signatures are
 cut into bands; a bucket holds the classes that agree in a band. Links are looked for in three rounds, each of which
-leaves out what is connected already: with the bucket's smallest member, with a pivot picked by the bucket's key, and
-between all members that are still in different components, block by block. A candidate's signatures are compared a
+leaves out what is connected already: each class with one smallest member of its buckets, with one pivot picked by a
+bucket's key, and between all members that are still in different components, block by block. A candidate's signatures are compared a
 batch of hashes at a time, and it is dropped as soon as the posterior probability of the wanted similarity (uniform
 prior) falls below ``MISS``. Survivors are confirmed on the full sets. So a group of near copies costs links to a few
 members, not all its pairs, and components are exactly those of the links.
@@ -32,7 +32,9 @@ MISS = 1e-6
 BATCH = 16
 SLICE = 2 << 20
 #: Members of a bucket that are compared in one task.
-BLOCK = 2048
+BLOCK = 1024
+#: Columns of a bucket's members.
+MEMBER = ["key", "one", "other", "node", "root", "block", "band", "signature"]
 #: Ids that may be broadcast; more are joined by a shuffle.
 FEW = 1_000_000
 
@@ -121,8 +123,9 @@ def _band_keys(hashes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             for place in range(ROWS):
                 keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, place])
             yield pa.record_batch(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))],
-                ["key", "node"],
+                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands)),
+                 pa.array(np.tile(np.arange(bands, dtype=np.int32), len(values)))],
+                ["key", "node", "band"],
             )
 
     return work
@@ -148,31 +151,74 @@ def _likely(percent: int, hashes: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return work
 
 
-def _across(percent: int, hashes: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a block or two of a bucket: pairs in different components that survive the sequential test."""
+def _open_pairs(table: pa.Table, percent: int, hashes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a block or two of a bucket, sorted by node: for each row the later ones in other components that survive the
+    sequential test. A pair is looked at in the first band it shares only."""
     steps = least_matches(percent, hashes)
+    roots, blocks, band = table["root"].to_numpy(), table["block"].to_numpy(), table["band"][0].as_py()
+    values = _matrix(table["signature"].combine_chunks(), hashes)
+    two = table["one"][0].as_py() != table["other"][0].as_py()
+    for row in range(len(roots) - 1):
+        alive = np.arange(row + 1, len(roots))
+        alive = alive[(roots[alive] != roots[row]) & ((blocks[alive] != blocks[row]) | (not two))]
+        matches, begin = np.zeros(len(alive), np.int64), 0
+        for end, least in steps:
+            if not len(alive):
+                break
+            matches += (values[alive, begin:end] == values[row, begin:end]).sum(axis=1)
+            stay = matches >= least
+            alive, matches, begin = alive[stay], matches[stay], end
+        if band and len(alive):
+            before = (values[alive, :ROWS * band] == values[row, :ROWS * band]).reshape(len(alive), band, ROWS)
+            alive = alive[~before.all(axis=2).any(axis=1)]
+        if len(alive):
+            yield row, alive
+
+
+def _contenders(percent: int, hashes: int) -> Callable[[pa.Table], pa.Table]:
+    """Members of a block or two that survive the sequential test with any other."""
 
     def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        needed = np.zeros(table.num_rows, bool)
+        for row, alive in _open_pairs(table, percent, hashes):
+            needed[row] = needed[alive] = True
+        return table.filter(pa.array(needed)).select(MEMBER)
+
+    return work
+
+
+def _across(percent: int, hashes: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between components within a block or two, confirmed on the full sets; components are joined on the way, so
+    there are fewer links than members."""
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
         nodes, roots = table["node"].to_numpy(), table["root"].to_numpy()
-        blocks = table["block"].to_numpy()
-        values = _matrix(table["signature"].combine_chunks(), hashes)
-        order = np.argsort(nodes)
-        nodes, roots, blocks, values = nodes[order], roots[order], blocks[order], values[order]
-        two = table["one"][0].as_py() != table["other"][0].as_py()
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for row in range(len(nodes) - 1):
-            alive = np.arange(row + 1, len(nodes))
-            alive = alive[(roots[alive] != roots[row]) & ((blocks[alive] != blocks[row]) | (not two))]
-            matches, begin = np.zeros(len(alive), np.int64), 0
-            for end, least in steps:
-                if not len(alive):
-                    break
-                matches += (values[alive, begin:end] == values[row, begin:end]).sum(axis=1)
-                stay = matches >= least
-                alive, matches, begin = alive[stay], matches[stay], end
-            left.append(np.full(len(alive), nodes[row]))
-            right.append(nodes[alive])
-        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+        ends, data = flat(table["shingles"].combine_chunks())
+        data, ends = data.view("<u8"), ends // 8
+        joined = {root: root for root in np.unique(roots).tolist()}
+
+        def find(root: int) -> int:
+            while joined[root] != root:
+                joined[root] = root = joined[joined[root]]
+            return root
+
+        left, right = [], []
+        for row, alive in _open_pairs(table, percent, hashes):
+            own = data[ends[row]:ends[row + 1]]
+            for other in alive.tolist():
+                a, b = find(roots[row].item()), find(roots[other].item())
+                theirs = data[ends[other]:ends[other + 1]]
+                if a == b or 100 * min(len(own), len(theirs)) < percent * max(len(own), len(theirs)):
+                    continue
+                place = np.searchsorted(own, theirs)
+                both = int((own[np.minimum(place, len(own) - 1)] == theirs).sum())
+                if 100 * both >= percent * (len(own) + len(theirs) - both):
+                    joined[max(a, b)] = min(a, b)
+                    left.append(nodes[row])
+                    right.append(nodes[other])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return work
 
@@ -213,7 +259,7 @@ class _Rounds:
             linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
             .select("set_key", F.col("first.doc_id").alias("node"), F.col("first.signature").alias("signature")), "classes",
         )
-        keys = self.classes.select("node", "signature").mapInArrow(_band_keys(self.hashes), "key long, node long").distinct()
+        keys = self.classes.select("node", "signature").mapInArrow(_band_keys(self.hashes), "key long, node long, band int").distinct()
         entries = self.stored(keys, "bands")
         # The pivot is a member picked by the bucket's key: exclusive or with it orders members anew in each bucket.
         many = entries.groupBy("key").agg(
@@ -245,14 +291,20 @@ class _Rounds:
         return self.entries.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def with_star(self, hub: str) -> DataFrame:
-        """Candidates: each entry with one member of its bucket, unless both are in one component."""
-        pairs = self.entries.where(F.col("node") != F.col(hub)).select("node", F.col(hub).alias("hub")).distinct()
+        """Candidates: each class with one member of its buckets, the one it shares most bands with among those in other
+        components."""
+        pairs = (
+            self.entries.where(F.col("node") != F.col(hub)).groupBy("node", F.col(hub).alias("hub"))
+            .agg(F.count(F.lit(1)).alias("shared"))
+        )
         left = self.roots.select(F.col("node"), F.col("root").alias("__left"))
         right = self.roots.select(F.col("node").alias("hub"), F.col("root").alias("__right"))
         apart = pairs.join(left, "node", "left").join(right, "hub", "left").where(
             F.coalesce("__left", "node") != F.coalesce("__right", "hub")
         )
-        pairs = apart.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        best = apart.groupBy("node").agg(F.max(F.struct("shared", F.bitwise_not("hub").alias("hub"))).alias("best"))
+        best = best.select("node", F.bitwise_not("best.hub").alias("hub"))
+        pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         signed = self.classes.select("node", "signature").dropDuplicates(["node"])
         return (
             pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("left")), "a")
@@ -261,7 +313,10 @@ class _Rounds:
         )
 
     def between_components(self) -> DataFrame:
-        """Candidates: all pairs of a bucket in different components, found within blocks and pairs of blocks."""
+        """Links between members of a bucket in different components, found within blocks and pairs of blocks.
+
+        Full sets go only to blocks in which a member has survived the sequential test, and are compared there.
+        """
         rooted = self.stored(self.rooted(), "rooted")
         open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
             F.col("low") != F.col("high")
@@ -272,22 +327,28 @@ class _Rounds:
             rooted.join(open_keys.select("key"), "key", "left_semi").join(signed, "node")
             .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", "node", "root", "signature", "block", F.least("block", "with").alias("one"),
-                    F.greatest("block", "with").alias("other"))
+            .withColumn("one", F.least("block", "with")).withColumn("other", F.greatest("block", "with"))
+            .select(*MEMBER)
+        )
+        schema = "key long, one int, other int, node long, root long, block int, band int, signature binary"
+        contenders = self.stored(
+            members.groupBy("key", "one", "other").applyInArrow(_contenders(self.percent, self.hashes), schema), "contenders"
         )
-        return members.groupBy("key", "one", "other").applyInArrow(
+        return contenders.join(self.sets, "node").groupBy("key", "one", "other").applyInArrow(
             _across(self.percent, self.hashes), "a long, b long"
-        ).distinct()
+        )
 
     def confirm(self, candidates: DataFrame) -> None:
         """Check candidates on the full sets and join what they link."""
         pairs = self.stored(candidates, "candidates")
         sets = self.sets
-        links = (
+        self.link(
             pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
             .select("a", "b", "left", "right").mapInArrow(_confirmed(self.percent), "a long, b long")
         )
+
+    def link(self, links: DataFrame) -> None:
         self.roots = stars(links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
@@ -301,7 +362,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     rounds = _Rounds(rows, percent)
     rounds.confirm(rounds.with_star("least"))
     rounds.confirm(rounds.with_star("pivot"))
-    rounds.confirm(rounds.between_components())
+    rounds.link(rounds.between_components())
     classes = rounds.classes.select("set_key", "node").join(rounds.roots, "node", "left").select(
         "set_key", F.coalesce("root", "node").alias("component_id")
     )
