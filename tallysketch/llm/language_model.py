@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from ..storage import new_folder
 from .catalog import query, read
 from .sampling import remainder
-from .text import flat, mixed, slices, word_bounds, word_hashes
+from .text import flat, mixed, packed, slices, unpacked, word_bounds, word_hashes
 
 #: Bytes of text to a block, and to a bucket of tokens or of pairs.
-BLOCK, TOKEN_BUCKET, PAIR_BUCKET = 16 << 20, 64 << 20, 8 << 20
+BLOCK, TOKEN_BUCKET, PAIR_BUCKET = 6 << 20, 64 << 20, 8 << 20
 SLICE = 2 << 20
 #: The end of a text as a token; it is also the context of the first token.
 END = np.uint64(0x9D8A7B3C5E1F2461)
+#: Bits of a pair's hash. 48 tell all but one in 50,000 pairs apart among five billion different ones.
+PAIR_BITS = 48
 #: Context buckets: 0 for contexts that were never seen, then powers of two.
 CONTEXTS = 48
 #: Steps of the learning histogram to a factor of two, and its largest step.
@@ -62,7 +64,7 @@ class Block:
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         before = np.roll(self.tokens, 1)
         before[self.begins] = END
-        pairs = mixed(before * np.uint64(0x9E3779B97F4A7C15) + self.tokens) >> np.uint64(8)
+        pairs = mixed(before * np.uint64(0x9E3779B97F4A7C15) + self.tokens) >> np.uint64(64 - PAIR_BITS)
         self.learnt = np.repeat(table[learn].to_numpy(), self.sizes) if len(self.sizes) else np.empty(0, bool)
         # The end comes with every block, so that the first context has an entry.
         self.words, self.word = np.unique(np.append(self.tokens, END), return_inverse=True)
@@ -84,12 +86,11 @@ def _ranges(keys: np.ndarray, bits: int, buckets: int) -> list[int]:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Numbers by byte place: leading zeros compress away."""
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return packed(values, "<u8")
 
 
 def _numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return unpacked(raw, "<u8")
 
 
 class Layout:
@@ -102,7 +103,7 @@ class Layout:
     def cuts(self, block: Block) -> Iterator[tuple[int, int, int, bool]]:
         """Bucket, begin, end and whether of pairs, for all entries of a block in order."""
         for keys, bits, first, number, paired in (
-            (block.words, 64, 0, self.tokens, False), (block.pairs, 56, self.tokens, self.pairs, True)
+            (block.words, 64, 0, self.tokens, False), (block.pairs, PAIR_BITS, self.tokens, self.pairs, True)
         ):
             edges = _ranges(keys, bits, number)
             for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:]), first):
