@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_folder
 from .catalog import query, read
-from .text import slices
+from .text import Remembered, slices
 
 #: Words remembered by a worker, and the longest that is remembered.
 REMEMBERED = 700_000
@@ -44,19 +44,13 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Remembered(REMEMBERED, LONGEST)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         words = [_lower(text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        needed = set().union(*words)
-        new = [word for word in needed if word not in self.known]
-        found = dict(zip(new, self._ids(new)))
-        fitting = {word: ids for word, ids in found.items() if len(word) <= LONGEST}
-        if len(self.known) + len(fitting) > REMEMBERED:
-            self.known = {word: self.known[word] for word in needed.intersection(self.known)} | {"": b""}
-        self.known.update(fitting)
-        known = self.known if len(fitting) == len(found) else self.known | found
-        return [b"".join(map(known.__getitem__, parts)) for parts in words]
+        new = self.known.missing(set().union(*words))
+        ids = self.known.add(new, self._ids(new))
+        return [b"".join(map(ids.__getitem__, parts)) for parts in words]
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of each word, all read in one call: tokens go to the word in which they begin."""
