@@ -341,6 +341,8 @@ class _Rounds:
     def confirm(self, candidates: DataFrame) -> None:
         """Check candidates on the full sets and join what they link."""
         pairs = self.stored(candidates, "candidates")
+        if pairs.isEmpty():
+            return
         sets = self.sets
         self.link(
             pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
