@@ -13,7 +13,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import query, read
-from .text import Remembered, slices
+from .text import Remembered, slices, worker_table
 
 WORD_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks remembered by a worker, and the longest that is remembered.
@@ -190,12 +189,15 @@ class ByteBpe:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
     """The encoder of a rank file (lines of base64 token and rank)."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return ByteBpe(ranks, pattern)
+
+    def make() -> ByteBpe:
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return ByteBpe(ranks, pattern)
+
+    return worker_table(("ranks", path, pattern), make)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, read
 from .sampling import remainder
-from .text import slices
+from .text import slices, worker_table
 
 #: Most documents learnt from for each language, most characters of each of them, and most characters in all.
 DOCUMENTS, CHARACTERS, REFERENCE = 64, 2000, 40_000
@@ -160,9 +160,6 @@ class CrossParser:
         return counts
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def languages(
     docs: DataFrame, texts: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -177,10 +174,8 @@ def languages(
     number = hash(tuple((name, *own) for name, own in sorted(texts.items())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent.value and number not in _parsers:
-            _parsers.clear()
-            _parsers[number] = CrossParser(sent.value)
-        parser = _parsers.get(number)
+        texts = sent.value
+        parser = worker_table(("languages", number), lambda: CrossParser(texts)) if texts else None
         for batch in batches:
             for part in slices(batch, 1, SLICE):
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)

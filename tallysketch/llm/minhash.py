@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..storage import new_folder
 from .catalog import query, read
 from .components import stars
-from .text import flat, mixed, slices, word_bounds, word_hashes
+from .text import flat, mixed, slices, word_bounds, word_hashes, worker_table
 
 SHINGLE = 5
 ROWS = 4
@@ -96,6 +96,7 @@ def least_matches(percent: int, hashes: int, miss: float = MISS) -> list[tuple[i
 
 def _signatures(hashes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table(None)
         for batch in batches:
             for part in slices(batch, 1, SLICE):
                 sizes, keys, held = [], [], []

@@ -12,7 +12,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_folder
 from .catalog import query, read
-from .text import Remembered, slices
+from .text import Remembered, slices, worker_table
 
 #: Words remembered by a worker, and the longest that is remembered.
 REMEMBERED = 700_000
@@ -74,9 +73,8 @@ def _lower(text: str) -> str:
     return text if b"\xcc" in raw or b"\xcd" in raw else raw.lower().decode()
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordTokens:
-    return WordTokens(path)
+    return worker_table(("words", path), lambda: WordTokens(path))
 
 
 def token_pieces(

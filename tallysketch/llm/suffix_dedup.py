@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_folder
 from .catalog import query, read
-from .text import BYTE_CODES, flat, gathered, mixed, packed, released, span_hashes, squeezed, unpacked
+from .text import BYTE_CODES, flat, gathered, mixed, packed, released, span_hashes, squeezed, unpacked, worker_table
 
 GRAM = 16
 LENGTH = 50
@@ -78,6 +78,7 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tupl
 
 def _anchor_rows(buckets: int, length: int, batch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table(None)
         held, size = [], 0
         for part in gathered(batches, 2, SLICE):
             offsets, data = flat(part.column(2))

@@ -6,7 +6,8 @@ texts count as empty. Words are runs of bytes other than space and 0x09 to 0x0D,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,23 @@ def unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(released(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+_table: dict = {}
+
+
+def worker_table(name: tuple | None, make: Callable[[], object] | None = None) -> object:
+    """What an operator keeps in a worker between tasks (a tokenizer, an automaton), made on first use.
+
+    A worker serves one operator after the other, so it keeps one such table at a time: a task that asks for another, or
+    for none (``None``), lets the one before go.
+    """
+    if name not in _table:
+        _table.clear()
+        gc.collect()
+        if name is not None:
+            _table[name] = make()
+    return _table.get(name)
+
+
 class Remembered:
     """A table of bounded size from words to what was made of them: what is in use stays, the rest is forgotten in turn.
 
