@@ -37,6 +37,8 @@ SLICE = 2 << 20
 BUCKET = 1 << 18
 HOT = 1 << 18
 HOT_KEYS = 4_000_000
+#: Most windows to a run, as their number has 16 bits where runs are packed; longer ones are several of the same anchor.
+WINDOWS = (1 << 16) - 1
 #: Ids that may be broadcast; more are joined by a shuffle.
 FEW = 1_000_000
 #: Parts of one id (rows that repeat it) are this far apart.
@@ -73,7 +75,13 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tupl
     first = np.ones(len(own), bool)
     first[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])
     begins = np.flatnonzero(first)
-    return mixed(own[begins]) >> np.uint64(16), owner[begins], places[begins], np.diff(np.append(begins, len(own)))
+    counts = np.diff(np.append(begins, len(own)))
+    pieces = -(-counts // WINDOWS)
+    if (pieces > 1).any():
+        piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begins = np.repeat(begins, pieces) + piece * WINDOWS
+        counts = np.diff(np.append(begins, len(own)))
+    return mixed(own[begins]) >> np.uint64(16), owner[begins], places[begins], counts
 
 
 def _anchor_rows(buckets: int, length: int, batch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -185,6 +185,16 @@ def test_repeated_passages(documents, bucket, hot_runs):
     assert any(r[2] for r in got)
 
 
+def test_long_periodic_stretches(documents):
+    """One anchor for more windows than 16 bits count, in different texts and at different lengths."""
+    rows = [(1, f"{sentence('p', 20)}{'=' * 200_000}{sentence('q', 20)}"), (2, f"{sentence('r', 20)}{'=' * 100_000}"),
+            (3, f"{'=' * 150_000}{sentence('s', 20)}{'ab' * 100_000}"), (4, f"{'ab' * 50_000}{sentence('t', 20)}")]
+    found = remove_repeats(documents(rows))
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()), key=repr)
+    assert got == removed(rows)
+    assert all(r[2] >= least for r, least in zip(got, (0, 100_000, 150_000, 100_000)))
+
+
 def test_passages_of_nothing(documents):
     assert remove_repeats(documents([])).count() == 0
 
