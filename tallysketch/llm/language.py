@@ -1,8 +1,10 @@
 """Language by cross-parsing: the language whose text needs the fewest phrases to spell a document.
 
 For each language a suffix automaton of a bounded sample of labelled text is built. A document is read from left to right;
-as long as what has been read since the last cut occurs in the sample, the phrase goes on, else a new one begins. Phrases over
-the document's length, for samples of one length, rank languages by cross entropy; the fewest win. The automata are completed to tables (state, symbol) -> (state, whether a phrase has ended), and many documents step through
+as long as what has been read since the last cut occurs in the sample, the phrase goes on, else a new one begins. A phrase
+costs the bits that point into its language's sample, log2 of that sample's length, as longer samples have longer matches; a
+symbol that the sample doesn't have costs what a phrase of the longest sample does. Bits over the document's length rank
+languages by cross entropy; the fewest win. The automata are completed to tables (state, symbol) -> (state, whether a phrase has ended), and many documents step through
 them at once. Symbols are lower-case letters; anything else is one separator. A document is read in blocks of ``BLOCK``
 symbols, each beginning a new phrase, so a very long document is many short walks.
 """
@@ -113,10 +115,13 @@ class CrossParser:
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.languages = sorted(texts)
         self.alphabet = Alphabet([text for own in texts.values() for text in own])
-        tables, self.starts, begin = [], [], 0
+        tables, sizes, self.starts, begin = [], [], [], 0
+        self.unseen = np.ones((SYMBOLS, len(self.languages)), np.int64)
         for language in self.languages:
             sample = np.concatenate([self.alphabet.symbols(f" {text}") for text in texts[language]])[:REFERENCE].tolist()
             moves = suffix_automaton(sample)
+            self.unseen[list(moves[0]), len(tables)] = 0
+            sizes.append(len(sample))
             # One more state follows a symbol that the sample doesn't have: a phrase by itself.
             alone = (begin + len(moves)) * SYMBOLS
             table = np.empty((len(moves) + 1, SYMBOLS), np.int32)
@@ -132,6 +137,8 @@ class CrossParser:
             self.starts.append(begin * SYMBOLS)
             begin += len(moves) + 1
         self.table = np.concatenate(tables).ravel()
+        #: Bits of a phrase in each language.
+        self.bits = np.log2(1 + np.array(sizes))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of phrases of each text (symbols) in each language."""
@@ -159,11 +166,21 @@ class CrossParser:
         np.add.at(counts, np.array(owners)[order], ended.T)
         return counts
 
+    def costs(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Bits of each text (symbols) in each language; the same where no language has any letter of the text."""
+        letters = np.array([np.bincount(text, minlength=SYMBOLS) for text in texts], np.int64).reshape(-1, SYMBOLS)
+        unseen = letters @ self.unseen
+        known = letters[:, 1:] @ (1 - self.unseen[1:])
+        bits = (self.phrases(texts) - unseen) * self.bits + unseen * self.bits.max()
+        # Separators alone tell nothing.
+        bits[~known.any(axis=1)] = self.bits.max()
+        return bits
+
 
 def languages(
     docs: DataFrame, texts: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, lang_pred and ``score`` (0 to 1: by how much the best needs fewer phrases than the next) of every row.
+    """doc_id, lang_pred and ``score`` (0 to 1: by how much the best needs fewer bits than the next) of every row.
 
     ``texts`` holds the sample of each language. Null text, text without a letter, and any text where no language was
     learnt are ``und`` with score 0. Ties go to the first name. Rows that repeat give repeated rows. ``keep`` names
@@ -181,7 +198,7 @@ def languages(
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 if parser:
                     symbols = [parser.alphabet.symbols(t or "") for t in part.column(1).to_pylist()]
-                    costs = parser.phrases(symbols)
+                    costs = parser.costs(symbols)
                     ranked = np.sort(costs, axis=1)
                     best = np.argmin(costs, axis=1)
                     for row, own in enumerate(symbols):

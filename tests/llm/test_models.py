@@ -131,6 +131,24 @@ def test_languages_of_odd_texts(spark, documents):
     assert nothing == {}
 
 
+def test_a_language_with_little_labelled_text(spark, documents):
+    """A twentieth of the others' text, and words that share their stems with a large language."""
+    source = random.Random(1)
+    word = lambda: "".join(source.choice("abdeiklmnorstu") for _ in range(source.randrange(3, 8)))
+    _, *own = ([word() for _ in range(2000)] for _ in range(4))
+    known = dict(zip(("large", "other", "rare"), own))
+    known["rare"] = [a if source.random() < 0.85 else b for a, b in zip(known["large"], known["rare"])]
+
+    def text(name, n):
+        return " ".join(known[name][(int(source.paretovariate(0.6)) - 1) % 2000] for _ in range(n))
+
+    texts = {name: [text(name, n)] for name, n in (("large", 8000), ("other", 8000), ("rare", 350))} | {"tiny": ["deter"]}
+    rows = [(1000 * place + i, text(name, 60)) for place, name in enumerate(known) for i in range(40)]
+    names = {r.doc_id: r.lang_pred for r in language.languages(documents(rows), texts).collect()}
+    right = [[names[1000 * place + i] == name for i in range(40)] for place, name in enumerate(known)]
+    assert np.mean(right, axis=1).min() >= 0.9
+
+
 # Language model
 
 
