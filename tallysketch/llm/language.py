@@ -5,7 +5,7 @@ as long as what has been read since the last cut occurs in the sample, the phras
 costs the bits that point into its language's sample, log2 of that sample's length, as longer samples have longer matches; a
 symbol that the sample doesn't have costs what a phrase of the longest sample does. Bits over the document's length rank
 languages by cross entropy; the fewest win. The automata are completed to tables (state, symbol) -> (state, whether a phrase has ended), and many documents step through
-them at once. Symbols are lower-case letters; anything else is one separator. A document is read in blocks of ``BLOCK``
+them at once. Symbols are the UTF-8 bytes of lower-case letters; anything else is one separator. A document is read in blocks of ``BLOCK``
 symbols, each beginning a new phrase, so a very long document is many short walks.
 """
 
@@ -24,8 +24,6 @@ from .text import slices, worker_table
 
 #: Most documents learnt from for each language, most characters of each of them, and most characters in all.
 DOCUMENTS, CHARACTERS, REFERENCE = 64, 2000, 40_000
-#: Symbols: 0 is the separator, the last is any letter that isn't among the frequent ones.
-SYMBOLS = 64
 BLOCK = 2048
 SLICE = 2 << 20
 UNKNOWN = "und"
@@ -54,29 +52,34 @@ def reference_texts(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     return texts
 
 
+def _lower_letters() -> np.ndarray:
+    """Code point of every letter in lower case; of anything else, the space."""
+    # Surrogates can't stand in a text.
+    points = map(chr, range(0x110000))
+    return np.fromiter((ord(c.lower()[0]) if c.isalpha() else 32 for c in points), np.uint32, 0x110000)
+
+
 class Alphabet:
-    """Symbol of every code point; the frequent letters of the sample have symbols of their own."""
+    """Symbols of a text: the bytes of its letters. Bytes that no sample has are one symbol, as none tells them apart."""
 
     def __init__(self, texts: list[str]) -> None:
-        letters: dict[str, int] = {}
-        for character in "".join(texts).lower():
-            if character.isalpha():
-                letters[character] = letters.get(character, 0) + 1
-        frequent = sorted(letters, key=lambda c: (-letters[c], c))[:SYMBOLS - 2]
-        own = {character: symbol for symbol, character in enumerate(frequent, 1)}
-        # Surrogates can't stand in a text.
-        self.table = np.zeros(0x110000, np.uint8)
-        for point in range(0x110000):
-            character = chr(point)
-            if character.isalpha():
-                self.table[point] = own.get(character.lower()[0], SYMBOLS - 1)
+        self.letters = _lower_letters()
+        own = sorted({*b"".join(self._bytes(text) for text in texts)} - {32})
+        #: One for the separator and one for the other bytes, and an even number, as tables need.
+        self.size = (len(own) + 3) // 2 * 2
+        self.table = np.full(256, self.size - 1, np.uint8)
+        self.table[own] = np.arange(1, len(own) + 1)
+        self.table[32] = 0
+
+    def _bytes(self, text: str) -> bytes:
+        """UTF-8 of lower-case letters, runs of separators taken once."""
+        codes = self.letters[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+        keep = codes != 32
+        keep[1:] |= codes[:-1] != 32
+        return codes[keep].astype("<u4").tobytes().decode("utf-32-le").encode()
 
     def symbols(self, text: str) -> np.ndarray:
-        """Symbols of a text, runs of separators taken once."""
-        codes = self.table[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
-        keep = codes != 0
-        keep[1:] |= codes[:-1] != 0
-        return codes[keep]
+        return self.table[np.frombuffer(self._bytes(text), np.uint8)]
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -116,25 +119,26 @@ class CrossParser:
         self.languages = sorted(texts)
         self.alphabet = Alphabet([text for own in texts.values() for text in own])
         tables, sizes, self.starts, begin = [], [], [], 0
-        self.unseen = np.ones((SYMBOLS, len(self.languages)), np.int64)
+        width = self.alphabet.size
+        self.unseen = np.ones((width, len(self.languages)), np.int64)
         for language in self.languages:
             sample = np.concatenate([self.alphabet.symbols(f" {text}") for text in texts[language]])[:REFERENCE].tolist()
             moves = suffix_automaton(sample)
             self.unseen[list(moves[0]), len(tables)] = 0
             sizes.append(len(sample))
             # One more state follows a symbol that the sample doesn't have: a phrase by itself.
-            alone = (begin + len(moves)) * SYMBOLS
-            table = np.empty((len(moves) + 1, SYMBOLS), np.int32)
+            alone = (begin + len(moves)) * width
+            table = np.empty((len(moves) + 1, width), np.int32)
             # Where nothing goes on, a phrase has ended (lowest bit) and the symbol begins the next one.
             table[:] = alone + 1
             table[0] = alone
             for symbol, state in moves[0].items():
-                table[:, symbol] = (begin + state) * SYMBOLS + 1
+                table[:, symbol] = (begin + state) * width + 1
             for state, own in enumerate(moves):
                 for symbol, target in own.items():
-                    table[state, symbol] = (begin + target) * SYMBOLS
+                    table[state, symbol] = (begin + target) * width
             tables.append(table)
-            self.starts.append(begin * SYMBOLS)
+            self.starts.append(begin * width)
             begin += len(moves) + 1
         self.table = np.concatenate(tables).ravel()
         #: Bits of a phrase in each language.
@@ -168,7 +172,8 @@ class CrossParser:
 
     def costs(self, texts: list[np.ndarray]) -> np.ndarray:
         """Bits of each text (symbols) in each language; the same where no language has any letter of the text."""
-        letters = np.array([np.bincount(text, minlength=SYMBOLS) for text in texts], np.int64).reshape(-1, SYMBOLS)
+        width = self.alphabet.size
+        letters = np.array([np.bincount(text, minlength=width) for text in texts], np.int64).reshape(-1, width)
         unseen = letters @ self.unseen
         known = letters[:, 1:] @ (1 - self.unseen[1:])
         bits = (self.phrases(texts) - unseen) * self.bits + unseen * self.bits.max()

@@ -149,6 +149,19 @@ def test_a_language_with_little_labelled_text(spark, documents):
     assert np.mean(right, axis=1).min() >= 0.9
 
 
+def test_scripts_with_thousands_of_letters(spark, documents):
+    source = random.Random(12)
+    letters = {"ja": range(0x4E00, 0x5400), "ko": range(0xAC00, 0xB200), "ru": range(0x430, 0x450), "zh": range(0x5300, 0x5900)}
+
+    def text(name, n):
+        return "".join(chr(source.choice(letters[name])) for _ in range(n))
+
+    texts = {name: [text(name, 8000)] for name in letters}
+    rows = [(1000 * place + i, text(name, 40)) for place, name in enumerate(letters) for i in range(40)]
+    names = {r.doc_id: r.lang_pred for r in language.languages(documents(rows), texts).collect()}
+    assert np.mean([names[i] == list(letters)[i // 1000] for i, _ in rows]) >= 0.95
+
+
 # Language model
 
 
