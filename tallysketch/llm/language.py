@@ -15,40 +15,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import query, read
 from .sampling import remainder
 from .text import slices, worker_table
 
-#: Most documents learnt from for each language, most characters of each of them, and most characters in all.
-DOCUMENTS, CHARACTERS, REFERENCE = 64, 2000, 40_000
+#: Symbols learnt from for each language, and the number of texts that they come in.
+REFERENCE, DOCUMENTS = 40_000, 64
+#: Characters to a piece of a text.
+PIECE = REFERENCE // DOCUMENTS
+#: Steps to a factor of two in which hashes are counted.
+STEPS = 4
 BLOCK = 2048
 SLICE = 2 << 20
 UNKNOWN = "und"
 
 
 def reference_texts(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """A bounded sample of labelled texts for each language; ``learn`` is an expression over ``__id``."""
-    rows = docs.select(
-        F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"),
-    ).where(F.col("__lang").isNotNull() & F.col("__text").isNotNull() & learn)
-    # The limit on row_number is applied in every task before the shuffle, so no language's rows meet in one.
-    first = Window.partitionBy("__lang").orderBy("__hash")
-    ids = (
-        rows.select("__lang", F.xxhash64("__id").alias("__hash"))
-        .withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= DOCUMENTS).drop("__n").distinct()
+    """A sample of about ``REFERENCE`` symbols of each language's labelled text, or all of it; ``learn`` is over ``__id``.
+
+    All texts are cut into pieces of ``PIECE`` letters, other characters being one space. Of the distinct pieces those
+    with the smallest hashes are taken, from wherever in the texts they are; short ones are joined.
+    """
+    letters = F.trim(F.regexp_replace(F.lower(F.col("__text")), r"\P{L}+", " "))
+    pieces = (
+        docs.select(
+            F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text"),
+        ).where(F.col("__lang").isNotNull() & F.col("__text").isNotNull() & learn)
+        .select("__lang", F.explode(F.regexp_extract_all(letters, F.lit(f"(.{{1,{PIECE}}})"), F.lit(1))).alias("__piece"))
+        .where(F.trim("__piece") != "")
+        .withColumn("__hash", F.shiftrightunsigned(F.xxhash64("__piece"), 1))
+        .withColumn("__step", F.floor(F.log2(F.col("__hash") + 1.0) * STEPS).cast("int"))
     )
+    # Sizes are added up over steps of the hash, a few hundred for each language, so no language's pieces meet in one task.
+    sizes = (
+        pieces.groupBy("__lang", "__hash", "__step").agg(F.max(F.octet_length("__piece") + 1).alias("__size"))
+        .groupBy("__lang", "__step").agg(F.sum("__size").alias("__size")).collect()
+    )
+    last: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for row in sorted(sizes, key=lambda r: (r["__lang"], r["__step"])):
+        if held.get(row["__lang"], 0) < REFERENCE:
+            last[row["__lang"]] = row["__step"]
+            held[row["__lang"]] = held.get(row["__lang"], 0) + row["__size"]
+    if not last:
+        return {}
+    steps = docs.sparkSession.createDataFrame(list(last.items()), "__lang STRING, __last INT")
     picked = (
-        rows.withColumn("__hash", F.xxhash64("__id")).join(F.broadcast(ids), ["__lang", "__hash"])
-        .select("__lang", "__hash", F.substring("__text", 1, CHARACTERS).alias("__text"))
-        .withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy("__hash", "__text")))
-        .where(F.col("__n") <= DOCUMENTS).orderBy("__lang", "__n")
+        pieces.join(F.broadcast(steps), "__lang").where(F.col("__step") <= F.col("__last"))
+        .groupBy("__lang", "__hash").agg(F.min("__piece").alias("__piece")).collect()
     )
     texts: dict[str, list[str]] = {}
-    for row in picked.select("__lang", "__text").collect():
-        texts.setdefault(row["__lang"], []).append(row["__text"])
+    held = {}
+    for row in sorted(picked, key=lambda r: (r["__lang"], r["__hash"])):
+        name, piece = row["__lang"], row["__piece"]
+        if held.get(name, 0) < REFERENCE:
+            own = texts.setdefault(name, [])
+            if own and len(own[-1]) < PIECE:
+                own[-1] += f" {piece}"
+            else:
+                own.append(piece)
+            held[name] = held.get(name, 0) + len(piece.encode()) + 1
     return texts
 
 

@@ -162,6 +162,25 @@ def test_scripts_with_thousands_of_letters(spark, documents):
     assert np.mean([names[i] == list(letters)[i // 1000] for i, _ in rows]) >= 0.95
 
 
+def test_the_sample_is_taken_from_all_of_the_text(spark):
+    """Shared beginnings, copies and texts without a letter don't take the place of other text; a few long texts fill it."""
+    source = random.Random(13)
+    fresh = lambda n: " ".join("".join(source.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    menu = " ".join("".join(source.choice("stuvwxyz") for _ in range(6)) for _ in range(300))
+    rows = [(i, f"{menu} {fresh(400)}", "menu") for i in range(80)]
+    rows += [(1000 + i, "menu menu", "copies") for i in range(2000)] + [(5000 + i, "123 !!", "copies") for i in range(2000)]
+    rows += [(9000 + i, fresh(100), "copies") for i in range(100)]
+    rows += [(20000 + i, fresh(10000), "few") for i in range(3)] + [(30000, "no letters follow", None), (30001, "12", "none")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING").repartition(4)
+    texts = language.reference_texts(docs, F.lit(True), "doc_id", "text", "lang")
+    assert sorted(texts) == ["copies", "few", "menu"]
+    assert texts == language.reference_texts(docs.repartition(3), F.lit(True), "doc_id", "text", "lang")
+    sizes = {name: sum(len(t) + 1 for t in own) for name, own in texts.items()}
+    assert all(0.95 * language.REFERENCE <= sizes[name] <= 1.05 * language.REFERENCE for name in ("few", "menu"))
+    assert sizes["copies"] >= 0.95 * language.REFERENCE and " ".join(texts["copies"]).count("menu menu") <= 1
+    assert sum(c in "stuvwxyz" for t in texts["menu"] for c in t) < 0.3 * sizes["menu"]
+
+
 # Language model
 
 
