@@ -274,7 +274,8 @@ def score_texts(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     layout, blocks = Layout(size), int(1 + size // BLOCK)
     # Held-out documents have blocks of their own, so that learning the weights reads no other totals.
-    number = F.pmod(F.xxhash64("doc_id"), F.when(F.col("held"), 1 + blocks // 10).otherwise(blocks))
+    # The text is hashed too, so that rows which share an id or have none are spread.
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.when(F.col("held"), 1 + blocks // 10).otherwise(blocks))
     dealt = rows.select("doc_id", "text", "learn", F.when(F.col("held"), number + blocks).otherwise(number).alias("block"))
     folder = new_folder(spark, "totals")
     (

@@ -44,6 +44,8 @@ FEW = 1_000_000
 #: Parts of one id (rows that repeat it) are this far apart.
 PART = 1 << 32
 NOWHERE = 2 ** 63 - 1
+#: Slots that the rows of a repeated id are numbered in.
+SLOTS = 1 << 16
 
 
 # Runs of windows
@@ -338,13 +340,21 @@ def _packed_runs(held: list[tuple[np.ndarray, ...]], buckets: int, length: int)
 # The whole
 
 
-def numbered_parts(rows: DataFrame) -> DataFrame:
-    """``doc, part, text``: rows that share an id are parts of one document; a null id is the last of all documents."""
+def numbered_parts(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``doc, part, text``: rows that share an id are parts of one document; a null id is the last of all documents. And
+    the columns that runs and spans are dealt by: where no id repeats, ``doc`` tells rows apart."""
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NOWHERE - 1)))
     if rows.groupBy("doc").count().where(F.col("count") > 1).isEmpty():
-        return rows.select("doc_id", "doc", F.lit(0).alias("part"), "text", "row")
-    order = Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")
-    return rows.select("doc_id", "doc", (F.row_number().over(order) - 1).alias("part"), "text", "row")
+        return rows.select("doc_id", "doc", F.lit(0).alias("part"), "text", "row"), ["doc"]
+    # A document's rows are numbered within slots by their text, after the rows of the slots before.
+    slotted = rows.withColumn("__slot", F.pmod(F.xxhash64("text"), F.lit(SLOTS)))
+    before = Window.partitionBy("doc").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slotted.groupBy("doc", "__slot").count().select(
+        "doc", "__slot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before")
+    )
+    order = Window.partitionBy("doc", "__slot").orderBy(F.xxhash64("text"), "text")
+    part = (F.row_number().over(order) - 1 + F.col("__before")).cast("int")
+    return slotted.join(slots, ["doc", "__slot"]).select("doc_id", "doc", part.alias("part"), "text", "row"), ["doc", "part"]
 
 
 def _copies(parts: DataFrame) -> DataFrame:
@@ -375,7 +385,7 @@ def repeated_spans(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.struct(*[F.col(name) for name in keep]).alias("row"),
     )
-    numbered = numbered_parts(rows)
+    numbered, keys = numbered_parts(rows)
     parts = numbered.drop("row")
     copies = _copies(parts)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -398,9 +408,11 @@ def repeated_spans(
     marks, runs = found.where(F.col("doc") == NOWHERE), found.where(F.col("doc") != NOWHERE)
     share = max(hot_runs, runs.count() // HOT_KEYS)
     hot = np.array([r["tail"] >> 16 for r in marks.where(F.col("start") > share).select("tail").collect()], np.int64)
-    listed = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "tail")).alias("runs"))
+    listed = runs.withColumn("part", F.expr(f"CAST(start DIV {PART} AS INT)")).groupBy(*keys).agg(
+        F.collect_list(F.struct("start", "tail")).alias("runs")
+    )
     spans = (
-        parts.join(listed.hint("shuffle_hash"), "doc")
+        parts.join(listed.hint("shuffle_hash"), keys)
         .select("doc", "part", F.col("text").cast("binary").alias("text"), "runs")
         # A fixed order here too: equal runs are collapsed within a batch.
         .sortWithinPartitions("doc", "part")
@@ -411,14 +423,12 @@ def repeated_spans(
     whole = copies.where(F.col("size") >= length).select(
         "doc", (F.col("part") * PART).alias("begin"), (F.col("part") * PART + F.col("size")).alias("end")
     )
-    spans = spans.unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = spans.unionByName(whole).withColumn("part", F.expr(f"CAST(begin DIV {PART} AS INT)")).groupBy(*keys).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     if not keep:
-        return parts.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "part", "text", "spans")
+        return parts.join(spans.hint("shuffle_hash"), keys, "left").select("doc_id", "part", "text", "spans")
     # The other columns come in with the spans: texts, dealt by document for the runs already, aren't moved once more.
-    others = numbered.select("doc", F.col("part").alias("__part"), "row").join(spans.hint("shuffle_hash"), "doc", "left")
-    return parts.join(others.hint("shuffle_hash"), "doc").where(F.col("part") - F.col("__part") == 0).select(
-        "doc_id", "part", "text", "spans", "row"
-    )
+    others = numbered.select(*keys, "row").join(spans.hint("shuffle_hash"), keys, "left")
+    return parts.join(others.hint("shuffle_hash"), keys).select("doc_id", "part", "text", "spans", "row")
 
 
 def kept_bytes(size: int, spans: pa.StructArray | None, part: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallysketch.llm import minhash
+from tallysketch.llm import minhash, suffix_dedup
 from tallysketch.llm.components import stars
 from tallysketch.llm.exact_dedup import exact_duplicates
 from tallysketch.llm.suffix_dedup import remove_repeats, suffix_order, without_repeats
@@ -195,6 +195,38 @@ def test_long_periodic_stretches(documents):
     assert all(r[2] >= least for r, least in zip(got, (0, 100_000, 150_000, 100_000)))
 
 
+def test_passages_of_rows_that_share_an_id(documents, monkeypatch):
+    """A task gets with each text only the runs and spans of its own, not those of all rows with the id."""
+    part, run_bytes = suffix_dedup.PART, suffix_dedup._run_bytes
+
+    def watched(*limits):
+        work = run_bytes(*limits)
+
+        def own(batches):
+            def looked_at():
+                for batch in batches:
+                    for number, runs in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                        assert {r["start"] // part for r in runs} == {number}
+                    yield batch
+
+            return work(looked_at())
+
+        return own
+
+    monkeypatch.setattr(suffix_dedup, "_run_bytes", watched)
+    passages = [sentence(("p", n), 20) for n in range(3)]
+    rows = [(i, f"{sentence(('o', i), 10)} {passages[i]}") for i in range(3)]
+    rows += [(i, f"{sentence(('h', n), 10)} {passages[n % 3]}") for n in range(40) for i in (None, 7)] + [(7, "short")] * 3
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(rows)).collect()), key=repr)
+    assert got == removed(rows)
+    parts = suffix_dedup.repeated_spans(documents(rows)).collect()
+    assert sorted(r.part for r in parts if r.doc_id is None) == list(range(40))
+    assert sorted(r.part for r in parts if r.doc_id == 7) == list(range(43))
+    assert all(s.begin // part == r.part for r in parts for s in r.spans or [])
+    kept = without_repeats(documents(rows), ("doc_id", "kept")).collect()
+    assert sorted((r.row.doc_id is None, len(r.text)) for r in kept) == sorted((r[0] is None, r[1] - r[2]) for r in got)
+
+
 def test_passages_of_nothing(documents):
     assert remove_repeats(documents([])).count() == 0
 

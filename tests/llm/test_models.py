@@ -221,6 +221,26 @@ def test_the_model_is_a_distribution(documents):
     assert all(s < found[103] for s in ends.values())
 
 
+def test_rows_without_an_id_are_spread_over_blocks(documents, monkeypatch):
+    entries = language_model._entries
+
+    def watched(layout):
+        work = entries(layout)
+
+        def few(table):
+            assert table.num_rows <= 40
+            return work(table)
+
+        return few
+
+    monkeypatch.setattr(language_model, "_entries", watched)
+    monkeypatch.setattr(language_model, "BLOCK", 300)
+    rows = [(i, f"text number {n} of {n % 7}") for n in range(100) for i in (None, 3)]
+    found = language_model.score_texts(documents(rows), F.lit(True), F.lit(False)).collect()
+    assert collections.Counter(r.doc_id for r in found) == {None: 100, 3: 100}
+    assert {r.train_tokens for r in found} == {sum(len(words(t)) for _, t in rows)}
+
+
 def test_language_model_of_nothing(documents):
     nothing = language_model.score_texts(documents([]), F.lit(True), F.lit(False))
     assert nothing.count() == 0
