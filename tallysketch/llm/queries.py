@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     exact_dedup,
     language,
     language_model,
+    lexical,
     minhash,
     neighbours,
     packing,
