@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from . import (  # noqa: F401
     byte_bpe,
+    centroids,
     exact_dedup,
     language,
     language_model,
