@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     byte_bpe,
     centroids,
     exact_dedup,
+    html_extraction,
     language,
     language_model,
     lexical,
