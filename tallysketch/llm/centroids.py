@@ -57,13 +57,13 @@ def squared_distances(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def _gaps(squares: np.ndarray, nearest: np.ndarray) -> np.ndarray:
-    """Distance to the second nearest less that to the nearest, a little less for rounding."""
+    """Distance to the second nearest less that to the nearest, a little less for rounding, and not below 0."""
     rows = np.arange(len(squares))
     upper = np.sqrt(squares[rows, nearest].astype(np.float64))
     others = squares.astype(np.float64)
     others[rows, nearest] = np.inf
     lower = np.sqrt(others.min(axis=1))
-    return np.where(np.isinf(lower), lower, lower - upper - SLACK * (1 + lower + upper))
+    return np.where(np.isinf(lower), lower, np.maximum(lower - upper - SLACK * (1 + lower + upper), 0))
 
 
 class Clusters:
