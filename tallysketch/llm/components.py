@@ -24,7 +24,7 @@ def stars(links: DataFrame) -> DataFrame:
         folder = new_folder(spark, "stars")
         (current if before is None else _small(_large(current))).write.parquet(folder)
         current = spark.read.schema("node long, root long").parquet(folder)
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root") % 1_000_003)).first()
+        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if tuple(state) == before or not state[0]:
             return current
         before = tuple(state)

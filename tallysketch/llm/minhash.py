@@ -1,6 +1,7 @@
 """Near duplicates by MinHash: banded candidates, sequential Bayesian verification, exact confirmation.
 
-Documents with one and the same shingle set are a class from the start, and only its smallest id goes on. Signatures are
+Documents with one and the same shingle set are a class from the start, and only one of them goes on, as a node with a number
+of its own: an id that repeats with different texts is in as many classes, which are linked by it. Signatures are
 cut into bands; a bucket holds the classes that agree in a band. Links are looked for in three rounds, each of which
 leaves out what is connected already: each class with one smallest member of its buckets, with one pivot picked by a
 bucket's key, and between all members that are still in different components, block by block. A candidate's signatures are compared a
@@ -65,6 +66,11 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int = SHINGLE) ->
             yield np.empty(0, np.uint64)
 
 
+def _set_key(shingles: np.ndarray) -> bytes | None:
+    """Digest of a set; the empty set has none."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
     """Smallest value of each hash function over a set, 32 bits each."""
     factors = mixed(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
@@ -102,7 +108,7 @@ def _signatures(hashes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 sizes, keys, held = [], [], []
                 for own in shingle_sets(*flat(part.column(1))):
                     sizes.append(len(own))
-                    keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                    keys.append(_set_key(own))
                     held.append(signature(own, hashes).tobytes() if len(own) else None)
                 yield pa.record_batch(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(held, pa.binary())],
@@ -240,9 +246,11 @@ def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 1, SLICE):
-            sets = [own.astype("<u8").tobytes() for own in shingle_sets(*flat(part.column(1)))]
-            yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+        for part in slices(batch, 0, SLICE):
+            sets = list(shingle_sets(*flat(part.column(0))))
+            yield pa.record_batch(
+                [pa.array([_set_key(own) for own in sets], pa.binary()),
+                 pa.array([own.astype("<u8").tobytes() for own in sets], pa.binary())], ["set_key", "shingles"])
 
 
 class _Rounds:
@@ -256,9 +264,11 @@ class _Rounds:
             "signatures",
         )
         linked = self.signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+        # Numbered as they are written: the stored numbers are what all later steps read.
         self.classes = self.stored(
-            linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
-            .select("set_key", F.col("first.doc_id").alias("node"), F.col("first.signature").alias("signature")), "classes",
+            linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "signature")).alias("first")).select(
+                "set_key", F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("least_id"),
+                F.col("first.signature").alias("signature")), "classes",
         )
         keys = self.classes.select("node", "signature").mapInArrow(_band_keys(self.hashes), "key long, node long, band int").distinct()
         entries = self.stored(keys, "bands")
@@ -270,6 +280,9 @@ class _Rounds:
         self.entries = self.stored(entries.join(many, "key"), "buckets")
         self.sets = self.stored(self._sets(rows), "sets")
         self.roots = self.spark.createDataFrame([], "node long, root long")
+        repeated = self.stored(linked.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "repeated-ids")
+        if not repeated.isEmpty():
+            self.link(self._same_ids(linked, repeated))
 
     def stored(self, frame: DataFrame, purpose: str) -> DataFrame:
         """Written to the shared folder, so that later steps don't compute it again, also after an executor is lost."""
@@ -278,14 +291,23 @@ class _Rounds:
         return self.spark.read.schema(frame.schema).parquet(folder)
 
     def _sets(self, rows: DataFrame) -> DataFrame:
-        """Full shingle sets of the classes that share a bucket with another."""
-        wanted = self.entries.select(F.col("node").alias("doc_id")).distinct()
-        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-        found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "node long, shingles binary")
-        return found.dropDuplicates(["node"]) if self._repeated(rows) else found
-
-    def _repeated(self, rows: DataFrame) -> bool:
-        return not rows.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()
+        """Full shingle sets of the classes that share a bucket with another, ``node, shingles``."""
+        shared = self.entries.select("node").distinct()
+        wanted = self.stored(self.classes.select("node", "set_key", "least_id").join(shared, "node", "left_semi"), "wanted")
+        few = wanted.count() <= FEW
+        ids = wanted.select(F.col("least_id").alias("doc_id")).distinct()
+        found = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text").mapInArrow(
+            _set_rows, "set_key binary, shingles binary")
+        nodes = wanted.select("set_key", "node")
+        # Several rows of one id may bring one set.
+        return found.join(F.broadcast(nodes) if few else nodes, "set_key").select("node", "shingles").dropDuplicates(["node"])
+
+    def _same_ids(self, linked: DataFrame, repeated: DataFrame) -> DataFrame:
+        """Links between the classes that rows of one id are in."""
+        members = linked.join(repeated, "doc_id", "left_semi").select("doc_id", "set_key").join(
+            self.classes.select("set_key", "node"), "set_key").select("doc_id", "node").distinct()
+        first = members.groupBy("doc_id").agg(F.min("node").alias("b"))
+        return members.join(first, "doc_id").select(F.col("node").alias("a"), "b").where("a != b")
 
     def rooted(self) -> DataFrame:
         """Bucket entries with the component each is in so far."""
@@ -306,7 +328,7 @@ class _Rounds:
         best = apart.groupBy("node").agg(F.max(F.struct("shared", F.bitwise_not("hub").alias("hub"))).alias("best"))
         best = best.select("node", F.bitwise_not("best.hub").alias("hub"))
         pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        signed = self.classes.select("node", "signature").dropDuplicates(["node"])
+        signed = self.classes.select("node", "signature")
         return (
             pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("left")), "a")
             .join(signed.select(F.col("node").alias("b"), F.col("signature").alias("right")), "b")
@@ -322,7 +344,7 @@ class _Rounds:
         open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
             F.col("low") != F.col("high")
         )
-        signed = self.classes.select("node", "signature").dropDuplicates(["node"])
+        signed = self.classes.select("node", "signature")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         members = (
             rooted.join(open_keys.select("key"), "key", "left_semi").join(signed, "node")
@@ -358,17 +380,19 @@ class _Rounds:
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: doc_id, n_shingles, component_id, kept. Links need ``100 * both >= percent * either``.
 
-    Null and empty texts and texts without words have no shingles and no links. Rows that share an id are one node of
-    the graph; rows without id are linked to nothing, have a null component and are kept. An empty table gives no rows.
+    Null and empty texts and texts without words have no shingles and no links. Rows that share an id are linked with
+    each other, and each by its own text with others; rows without id are linked to nothing, have a null component and
+    are kept. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rounds = _Rounds(rows, percent)
     rounds.confirm(rounds.with_star("least"))
     rounds.confirm(rounds.with_star("pivot"))
     rounds.link(rounds.between_components())
-    classes = rounds.classes.select("set_key", "node").join(rounds.roots, "node", "left").select(
-        "set_key", F.coalesce("root", "node").alias("component_id")
-    )
+    rooted = rounds.classes.select("set_key", "node", "least_id").join(rounds.roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = rooted.join(least, "root").select("set_key", "component_id")
     found = rounds.signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select(
