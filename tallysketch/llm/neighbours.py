@@ -35,6 +35,9 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> None:
         random = np.random.default_rng(seed)
+        #: Vectors are divided by this power of two, which keeps squares of very large and very small ones in range.
+        self.unit = _unit(sample)
+        sample = sample / self.unit
         self.normals: list[np.ndarray] = []
         self.offsets: list[float] = []
         self.children: list[list[int]] = []
@@ -86,6 +89,7 @@ class Forest:
 
     def leaf_of(self, vectors: np.ndarray) -> np.ndarray:
         """Leaf of each vector in each tree."""
+        vectors = vectors / self.unit
         out = np.empty((len(vectors), len(self.roots)), np.int64)
         for tree, root in enumerate(self.roots):
             nodes = np.full(len(vectors), root)
@@ -98,6 +102,7 @@ class Forest:
 
     def nearest_leaves(self, vector: np.ndarray, visits: int) -> list[int]:
         """Leaves in the order a queue shared by all trees gives them: the least margin crossed on the way comes first."""
+        vector = vector / self.unit
         margins = self.planes @ vector - self.shifts if len(self.planes) else np.empty(0)
         queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
@@ -125,6 +130,23 @@ def _stacked(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _unit(*arrays: np.ndarray) -> float:
+    """A power of two by which numbers can be divided so that their squares neither overflow nor vanish: 1 for usual ones."""
+    largest = max((float(np.abs(a).max(initial=0.0)) for a in arrays), default=0.0)
+    return 1.0 if largest == 0 or 1e-100 < largest < 1e100 else 2.0 ** min(max(int(np.frexp(largest)[1]), -1000), 1023)
+
+
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each vector, also where a square leaves the range of doubles."""
+    apart = vectors - query
+    with np.errstate(over="ignore"):
+        out = np.sqrt((apart ** 2).sum(axis=1))
+    for row in np.flatnonzero(~((out > 1e-100) & (out < 1e150))).tolist():
+        unit = _unit(apart[row])
+        out[row] = np.sqrt(((apart[row] / unit) ** 2).sum()) * unit
+    return out
+
+
 def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, ranks, scores = [], [], []
@@ -132,6 +154,8 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if left.num_rows and right.num_rows:
             queries = _stacked(left["vector"].combine_chunks())
             vectors = _stacked(right["vector"].combine_chunks())
+            unit = _unit(queries, vectors)
+            given, queries, vectors, own = vectors, queries / unit, vectors / unit, queries
             names = right["id"].to_numpy()
             query_ids = left["query_id"].to_numpy()
             squares = (vectors ** 2).sum(axis=1)
@@ -145,7 +169,7 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                         close = np.argpartition(rough[row], 3 * k)[:3 * k]
                         limit = rough[row][close].max() + 1e-9 * (1 + squares.max())
                         close = np.flatnonzero(rough[row] <= limit)
-                    exact = np.sqrt(((vectors[close] - part[row]) ** 2).sum(axis=1))
+                    exact = distances(given[close], own[at + row])
                     best = np.lexsort((names[close], exact))[:k + 1]
                     out[0].append(np.full(len(best), query_ids[at + row]))
                     out[1].append(names[close][best])
@@ -163,13 +187,16 @@ def nearest_neighbours(
     """query_id, rank (from 1), vec_id, score: for each query the nearest vectors found, its own id left out.
 
     Scores are Euclidean distances on the original vectors in double precision; ties go to the smaller id. Vectors that
-    are null, empty, zero or hold a null or non-finite component, and rows without id, take no part on either side;
-    all vectors must have one length. An id that repeats stands for each of its vectors, and is reported once, with its
+    are null, empty, zero or hold a null or non-finite component, and rows without id, take no part on either side, nor do
+    vectors of another length than most (of the greater, if two are as frequent). An id that repeats stands for each of its vectors, and is reported once, with its
     smallest distance. Empty tables give no rows. Where all vectors fit into the leaves visited, the result is exact.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     kind = dict(rows.dtypes)["vector"]
+    common = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    width = common["width"] if common else 0
+    rows = rows.where(F.size("vector") == width)
     fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()["vector"].combine_chunks()
     if isinstance(fitted, pa.ChunkedArray):
         fitted = pa.concat_arrays(fitted.chunks) if fitted.num_chunks else pa.array([], pa.list_(pa.float64()))
@@ -210,7 +237,8 @@ def nearest_neighbours(
                 )
 
     indexed = distinct.select("id", "vector").mapInArrow(leaves, f"id long, vector {kind}, leaf long")
-    asked = usable(queries, id_col, vector_col).withColumn("vector", F.col("vector").cast(kind)).distinct().mapInArrow(
+    wanted = usable(queries, id_col, vector_col).where(F.size("vector") == width)
+    asked = wanted.withColumn("vector", F.col("vector").cast(kind)).distinct().mapInArrow(
         visited, f"query_id long, vector {kind}, leaf long"
     )
     # A leaf is as many groups as it has blocks; a query goes to each of them.
