@@ -7,6 +7,7 @@ texts count as empty. Words are runs of bytes other than space and 0x09 to 0x0D,
 from __future__ import annotations
 
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -97,16 +98,24 @@ def word_bounds(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 _held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that a worker keeps; longer tables, for a long text, are made for it and dropped.
+_KEPT = 3 << 20
+#: Longer words are hashed by a digest: sums modulo 2^64 are equal for some long words made for it.
+_LONG_WORD = 512
 
 
 def _powers(size: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse; the longest made so far are kept."""
-    if len(_held[0]) < size:
-        for place, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            powers = np.full(size + size // 4 + 65536, np.uint64(base))
-            powers[0] = 1
-            _held[place] = np.cumprod(powers)
-    return _held
+    """Powers of the base and of its inverse."""
+    if len(_held[0]) >= size:
+        return _held
+    made = []
+    for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+        powers = np.full(max(size, min(size + size // 4 + 65536, _KEPT)), np.uint64(base))
+        powers[0] = 1
+        made.append(np.cumprod(powers))
+    if len(made[0]) <= _KEPT:
+        _held[:] = made
+    return made
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -119,7 +128,12 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of words; ``fold`` takes A-Z as a-z."""
-    return span_hashes(BYTE_CODES[LOWER[data] if fold else data], starts, ends)
+    data = LOWER[data] if fold else data
+    hashes = span_hashes(BYTE_CODES[data], starts, ends)
+    for word in np.flatnonzero(ends - starts > _LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[word]:ends[word]].tobytes(), digest_size=8).digest()
+        hashes[word] = int.from_bytes(digest, "little")
+    return hashes
 
 
 def squeezed(raw: bytes) -> bytes:
