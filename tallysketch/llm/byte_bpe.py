@@ -4,7 +4,8 @@ A pre-token is a linked list of symbols. Candidate merges wait in one bucket for
 anything is kept in a bitmap of three levels, so find-first-set on three words gives the lowest rank. Entries whose symbols
 have merged meanwhile are stale and skipped when they come up. A pre-token of n bytes costs O(n) queue steps, however
 long it is. All new pre-tokens of a slice of
-texts share one queue; those seen before are looked up in a table of bounded size.
+texts share one queue; those seen before are looked up in a table of bounded size. For a round trip that table holds
+what becomes of a pre-token's ids too, so that a text is joined from its pre-tokens, not from its ids.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -26,7 +27,7 @@ from .text import Remembered, slices, worker_table
 
 WORD_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks remembered by a worker, and the longest that is remembered.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 LONGEST = 64
 SLICE = 4 << 20
 
@@ -95,6 +96,7 @@ class ByteBpe:
         self.cut = regex.compile(pattern)
         self.alone = Remembered(REMEMBERED // 8, LONGEST)
         self.spaced = Remembered(REMEMBERED, LONGEST)
+        self.trips = Remembered(REMEMBERED // 8, LONGEST), Remembered(REMEMBERED, LONGEST)
 
     def merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of pre-tokens, all merged through one queue: merges in one never touch another."""
@@ -173,15 +175,32 @@ class ByteBpe:
             [*firsts[words[0]], *chain.from_iterable(map(rests.__getitem__, words[1:]))] for words in chunks
         ]
 
-    def _learned(self, chunks: list[list[str]], before: str, known: Remembered) -> dict[str, tuple[int, ...]]:
-        """Ids of every chunk that stands in ``chunks``, each read with ``before`` in front of it."""
+    def round_trips(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Of each text: how many ids, the decimal ids joined by one space, and the bytes they decode to."""
+        chunks = [WORD_SPACE.split(text) for text in texts]
+        alone, spaced = self.trips
+        firsts = self._learned([[words[0]] for words in chunks], "", alone, self._trip)
+        rests = self._learned([words[1:] for words in chunks], " ", spaced, self._trip)
+        for words in chunks:
+            first = firsts[words[0]]
+            counts, names, parts = zip(first, *map(rests.__getitem__, words[1:]))
+            yield sum(counts), b"".join(names)[1:], b"".join(parts)
+
+    def _trip(self, ids: tuple[int, ...]) -> tuple[int, bytes, bytes]:
+        """Of a chunk: how many ids, each in decimal behind a space, and their bytes."""
+        return len(ids), "".join([f" {i}" for i in ids]).encode(), self.decode(ids)
+
+    def _learned(
+        self, chunks: list[list[str]], before: str, known: Remembered, make: Callable[[tuple[int, ...]], tuple] = tuple,
+    ) -> dict[str, tuple]:
+        """What ``make`` makes of the ids of every chunk that stands in ``chunks``, each read with ``before`` in front of it."""
         new = known.missing(set().union(*chunks))
         cut = [self.cut.findall(before + chunk) for chunk in new]
         pieces = list(set().union(*cut))
         ids = dict(zip(pieces, self.merged([piece.encode() for piece in pieces])))
-        return known.add(new, [tuple(chain.from_iterable(map(ids.__getitem__, parts))) for parts in cut])
+        return known.add(new, [make(tuple(chain.from_iterable(map(ids.__getitem__, parts)))) for parts in cut])
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def id_text(self, ids: list[int]) -> str:
@@ -226,10 +245,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             for part in slices(batch, 1, SLICE):
                 counts, id_digests, text_digests, sizes = [], [], [], []
-                for ids in bpe.encode_many([text or "" for text in part.column(1).to_pylist()]):
-                    decoded = bpe.decode(ids)
-                    counts.append(len(ids))
-                    id_digests.append(hashlib.sha256(bpe.id_text(ids).encode()).hexdigest())
+                for count, ids, decoded in bpe.round_trips([text or "" for text in part.column(1).to_pylist()]):
+                    counts.append(count)
+                    id_digests.append(hashlib.sha256(ids).hexdigest())
                     text_digests.append(hashlib.sha256(decoded).hexdigest())
                     sizes.append(len(decoded))
                 yield pa.record_batch(
