@@ -12,12 +12,14 @@ from ..storage import new_folder
 from ..streaming.registers import (
     event_time_estimates, keep_estimates, keep_event_time_estimates, keep_registers, read_kept_registers, start,
 )
+from ..streaming.counters import StreamCounters, keep_counted_registers
+from ..streaming.keyed import KeyedWindows
 from ..streaming.windows import PacketWindows
 from . import sqltext as q
-from .catalog import KEYS_PER_PACKET, PACKETS_SQL, event_packets, query, rounded
+from .catalog import KEYS_PER_PACKET, PACKETS_SQL, SESSIONS, event_packets, query, rounded
 from .queries_sketch import ESTIMATE, REGISTERS, registers_sql
 from .queries_source import (
-    AT_LEAST, GLOBAL_SIZE, SESSION_SIZE, exploded, tee_payload_sql, tee_result_sql, WALK, window_estimates_sql,
+    AT_LEAST, GLOBAL_SIZE, SESSION_SIZE, exploded, tee_payload_sql, tee_result_sql, WALK, window_estimates_sql, WORDS,
 )
 
 BATCHES = 4
@@ -88,6 +90,31 @@ def s8_packet_stream(spark, folder):
     return read_kept_registers(spark, out, ["session_id"])
 
 
+@query(f"""WITH bounds AS (SELECT min(event_id) AS low, (max(event_id) - min(event_id)) // {BATCHES} + 1 AS step FROM events),
+batches AS (SELECT (event_id - low) // step AS batch_id, user_id AS key FROM events, bounds),
+{q.distinct_keys("events", "user_id")}, {q.murmur3_32()}
+SELECT CAST(batch_id AS BIGINT) AS batch_id, count(key) AS keys, count(*) - count(key) AS nulls,
+  count(DISTINCT h // {1 << (32 - 12)}) AS registers, count(*) AS input_rows
+FROM batches LEFT JOIN hashed USING (key) GROUP BY batch_id""")
+def a12_stream_counters(spark, folder):
+    """Keys in and registers out of every micro-batch, as the listener has received them."""
+    out, counters, ids = new_folder(spark, "registers"), StreamCounters().attach(spark), []
+    events = read_table(spark, folder, "events").select("event_id", "user_id")
+
+    def run(stream):
+        running = keep_counted_registers(stream, out, "user_id", 12)
+        ids.append(running.id)
+        running.awaitTermination()
+        counters.wait(running)
+        return running
+
+    try:
+        run_in_chunks(spark, events, "event_id", run)
+    finally:
+        counters.detach(spark)
+    return counters.table(spark, ids[-1]).select("batch_id", "keys", "nulls", "registers", "input_rows")
+
+
 def run_windows(spark, folder, **options):
     """The event packets in a stream of several micro-batches through counted windows."""
     window = PacketWindows(new_folder(spark, "windows"), **options)
@@ -162,6 +189,63 @@ def t7_stream_payload(spark, folder):
     return exploded(window.payloads(spark), "session_id", "window_id", "seq", "offset", "length")
 
 
+SESSION_PACKETS = 20
+#: Every twentieth packet of a session closes it, so its id starts anew with the next.
+OPENED = f"""packets AS MATERIALIZED (SELECT *, seq // {SESSIONS * SESSION_PACKETS} * {SESSIONS * SESSION_PACKETS} + session_id AS opened
+  FROM plain_packets)"""
+
+
+def reopened_sql(parts):
+    """The given expressions with sessions told apart by their first packet."""
+    text = q.with_(*parts[:-1], select=parts[-1], recursive=True)
+    return text.replace("packets AS MATERIALIZED (", "plain_packets AS MATERIALIZED (", 1).replace(
+        "FROM events GROUP BY ALL)", f"FROM events GROUP BY ALL),\n{OPENED}", 1)
+
+
+def keyed_sql(*parts):
+    return reopened_sql([*parts, """SELECT session_id, opened, window_id, "offset", CAST(4 AS BIGINT) AS length,
+  round(estimate, 6) AS estimate FROM ends JOIN est USING (session_id, opened, window_id)"""])
+
+
+def run_keyed_windows(spark, folder, **options):
+    """The event packets, with sessions that close, in several micro-batches through windows held as keyed state."""
+    windows = KeyedWindows(new_folder(spark, "keyed"), **options)
+    closed = F.expr(f"seq div {SESSIONS} % {SESSION_PACKETS} = {SESSION_PACKETS - 1}")
+    run_in_chunks(spark, event_packets(spark, folder).withColumn("closed", closed), "seq", windows.start)
+    return windows.read(spark).withColumn("estimate", rounded("estimate"))
+
+
+@query(keyed_sql(
+    *window_estimates_sql(SESSION_SIZE, "session_id, opened", 16, WORDS, "h1", 64),
+    "ends AS (SELECT session_id, opened, window_id, CAST(sum(length) AS BIGINT) AS \"offset\" FROM windowed"
+    " WHERE window_id <= series GROUP BY session_id, opened, window_id)",
+))
+def t3_keyed_windows(spark, folder):
+    """Windows closing on an exact hit, as state of sessions that close and start again."""
+    return run_keyed_windows(spark, folder, size=SESSION_SIZE, close="exact")
+
+
+KEYED_WALK = f"""ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id, opened ORDER BY seq) AS nth FROM packets),
+walk AS (SELECT session_id, opened, nth, seq, length, tuples AS held, CAST(1 AS BIGINT) AS window_id FROM ordered WHERE nth = 1
+  UNION ALL SELECT o.session_id, o.opened, o.nth, o.seq, o.length,
+    CASE WHEN held >= {AT_LEAST} THEN o.tuples ELSE held + o.tuples END, window_id + CAST(held >= {AT_LEAST} AS BIGINT)
+  FROM walk JOIN ordered o ON o.session_id = walk.session_id AND o.opened = walk.opened AND o.nth = walk.nth + 1)"""
+
+
+@query(keyed_sql(
+    PACKETS_SQL, KEYED_WALK,
+    f"""ends AS (SELECT session_id, opened, window_id, CAST(sum(length) AS BIGINT) AS "offset" FROM walk
+  GROUP BY session_id, opened, window_id HAVING max(held) >= {AT_LEAST})""",
+    f"keyed AS MATERIALIZED (SELECT session_id, opened, window_id, user_id AS key FROM walk JOIN events"
+    f" ON event_id // {KEYS_PER_PACKET} = seq SEMI JOIN ends USING (session_id, opened, window_id))",
+    q.distinct_keys("events", "user_id"), q.murmur3_32(), q.registers("keyed", 32, 12, "session_id, opened, window_id"),
+    q.estimate("regs", 12, "session_id, opened, window_id"),
+))
+def t3_keyed_windows_at_least(spark, folder):
+    """Windows that close at the first packet reaching the size, as keyed state."""
+    return run_keyed_windows(spark, folder, size=AT_LEAST, p=12, hash="murmur3_32")
+
+
 def event_windows_sql(length, slide):
     """Windows of whole hours that the watermark has passed at the end of the input."""
     copies = length // slide
