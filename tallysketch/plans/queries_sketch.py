@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.sql import register_sql_functions, register_view
+from ..functions.tables import register_table_functions
+from ..operators.bitmap import build_bitmaps, count_bitmaps, merge_bitmaps
 from ..operators.cumulative import checkpoints, cumulative_estimates
 from ..operators.estimate import estimate_registers
+from ..operators.packed import estimate_packed, merge_packed, pack_registers
 from ..operators.quality import error_report, exact_distinct
 from ..operators.registers import build_registers, dense_registers, merge_registers, rank_histogram, zero_count
 from ..operators.sketch import Sketch, approx_distinct
@@ -189,16 +192,16 @@ def a15_groups_without_keys(spark, folder):
         "event_type", "exact", rounded("estimate").alias("estimate"))
 
 
-@query("SELECT 14 AS p, 'murmur3_32' AS hash, 0.0e0 AS estimate, count(user_id) AS keys FROM events WHERE event_id < 0")
+@query("""SELECT event_type, 14 AS p, 'murmur3_32' AS hash, 0.0e0 AS estimate, count(*) AS rows FROM events GROUP BY event_type""")
 def x1_empty_sketch(spark, folder):
-    """The sketch of no rows, stored and reloaded."""
+    """Sketches of groups that have rows but no key, stored and reloaded."""
     path = new_folder(spark, "empty")
-    events = read_table(spark, folder, "events").where("event_id < 0")
-    Sketch.build(events, "user_id", by=["event_type"]).save(path, partition_by=["event_type"])
-    saved = Sketch.load(spark, path, by=[])
-    keys = events.agg(F.count("user_id").alias("keys"))
-    return saved.estimate().select(
-        F.lit(saved.p).alias("p"), F.lit(saved.hash).alias("hash"), "estimate", keys.scalar().alias("keys"))
+    events = read_table(spark, folder, "events").withColumn("key", F.lit(None).cast("bigint"))
+    Sketch.build(events, "key", by=["event_type"]).save(path, partition_by=["event_type"])
+    saved = Sketch.load(spark, path)
+    rows = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+    return saved.estimate().join(rows, "event_type").select(
+        "event_type", F.lit(saved.p).alias("p"), F.lit(saved.hash).alias("hash"), "estimate", "rows")
 
 
 @query(q.with_(*registers_sql("events", "user_id", rows=DAILY), q.estimate("regs", 14), select=f"SELECT {ESTIMATE} FROM est"))
@@ -206,6 +209,37 @@ def a16_rollup_daily_to_total(spark, folder):
     return daily_sketch(spark, folder).roll_up().estimate().select(rounded("estimate").alias("estimate"))
 
 
+@query(q.with_(*registers_sql("events", "user_id", by="event_type", rows=DAILY), q.estimate("regs", 14, "event_type"),
+               select=f"SELECT event_type, {ESTIMATE}, zeros FROM est"))
+def a16_packed_rollup(spark, folder):
+    """Daily sketches stored as one binary each, and rolled up over the days from the binaries alone."""
+    path = new_folder(spark, "packed")
+    pack_registers(daily_sketch(spark, folder).registers, 14, ["day", "event_type"]).write.parquet(path)
+    total = merge_packed(spark.read.parquet(path), p=14, by=["event_type"])
+    return estimate_packed(total, 14, "murmur3_32", ["event_type"]).select(
+        "event_type", rounded("estimate").alias("estimate"), "zeros")
+
+
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, user_id FROM events)
+SELECT 'day' AS level, CAST(day AS VARCHAR) AS name, count(DISTINCT user_id) AS exact FROM e GROUP BY day
+UNION ALL SELECT 'type', event_type, count(DISTINCT user_id) FROM e GROUP BY event_type
+UNION ALL SELECT 'total', NULL, count(DISTINCT user_id) FROM e""")
+def a11_bitmap_rollup(spark, folder):
+    """Exact counts by day, by type and in total, all from one stored table of bitmaps."""
+    path = new_folder(spark, "bitmaps")
+    events = read_table(spark, folder, "events").withColumn("day", F.to_date("ts"))
+    build_bitmaps(events, "user_id", ["day", "event_type"]).write.parquet(path)
+    stored = spark.read.parquet(path)
+
+    def level(name, column):
+        by = [column] if column else []
+        counts = count_bitmaps(merge_bitmaps(stored, by=by), by)
+        return counts.select(
+            F.lit(name).alias("level"), (F.col(column) if column else F.lit(None)).cast("string").alias("name"), "exact")
+
+    return level("day", "day").unionByName(level("type", "event_type")).unionByName(level("total", None))
+
+
 @query(q.with_(
     "k AS MATERIALIZED (SELECT DISTINCT l_orderkey * 1000000007 AS key FROM lineitem)", q.xxhash64(),
     q.registers("(SELECT l_orderkey * 1000000007 AS key FROM lineitem)", 64, 14), q.estimate("regs", 14),
@@ -482,3 +516,15 @@ def x7_sql_wide_hashes(spark, folder):
 def x7_register_view(spark, folder):
     register_view(Sketch.build(scan_keys(spark, folder, "orders", "o_custkey"), "key"), "tally_registers")
     return spark.sql("SELECT rank, count(*) AS registers FROM tally_registers GROUP BY rank")
+
+
+@query(q.with_(*registers_sql("lineitem", "l_orderkey", by="l_returnflag"), q.estimate("regs", 14, "l_returnflag"),
+               select=f"SELECT l_returnflag, {ESTIMATE}, zeros FROM est"))
+def x7_table_function(spark, folder):
+    """A table function over a view of packed sketches by flag and status, in partitions that the SQL names."""
+    register_table_functions(spark)
+    by = ["l_returnflag", "l_linestatus"]
+    lines = Sketch.build(read_table(spark, folder, "lineitem"), "l_orderkey", by=by)
+    pack_registers(lines.registers, 14, by).createOrReplaceTempView("tally_line_sketches")
+    return spark.sql("""SELECT l_returnflag, round(estimate, 6) AS estimate, zeros
+                        FROM tally_sketch(TABLE(SELECT l_returnflag, packed FROM tally_line_sketches) PARTITION BY (l_returnflag), 14, 'estimate')""")

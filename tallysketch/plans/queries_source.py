@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.reach import reaching_windows
 from ..operators.routing import merge_by_origin, merge_fair, merge_priority, split_packets
 from ..operators.running import levels_for, running
+from ..operators.scan import scan
 from ..operators.windows import count_windows, estimate_windows, payload_offsets, run_ids, running_tuples
 from ..sources.extents import read_extent, write_extent
 from ..sources.generators import generated_over, uniform_over
@@ -330,16 +331,28 @@ def w1_running_sum_and_maximum(spark, folder):
         "event_id", "total", "highest")
 
 
-@query("""SELECT event_id, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY place) AS BIGINT) AS total FROM (
-  SELECT *, epoch_us(ts) * 1000 + event_id % 1000 AS place FROM events)
-  WHERE event_id IN (SELECT min(event_id) FROM events GROUP BY event_type, epoch_us(ts) * 1000 + event_id % 1000)""")
+@query("""SELECT event_id, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY epoch_us(ts)) AS BIGINT) AS total FROM events""")
 def w1_running_sum_by_time(spark, folder):
-    """Sparse order values: microseconds and a little of the id, so that totals are cut into blocks several times."""
-    place = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
-    events = read_table(spark, folder, "events").withColumn("place", place)
-    first = events.groupBy("event_type", "place").agg(F.min_by(F.struct("event_id", "user_id"), "event_id").alias("first"))
-    rows = first.select("event_type", "place", "first.*")
-    return running(rows, "place", {"total": F.col("user_id")}, ["event_type"]).select("event_id", "total")
+    """Sparse order values, so that totals are cut into blocks several times; events of one microsecond are added up first."""
+    events = read_table(spark, folder, "events").withColumn("place", F.unix_micros(F.col("ts").cast("timestamp")))
+    sums = events.groupBy("event_type", "place").agg(F.sum("user_id").alias("added"))
+    totals = running(sums, "place", {"total": F.col("added")}, ["event_type"]).select("event_type", "place", "total")
+    return events.join(totals, ["event_type", "place"]).select("event_id", "total")
+
+
+@query("""SELECT event_id, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY ts) AS BIGINT) AS total,
+CAST(coalesce(sum(user_id) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS overall,
+CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+  - user_id AS before,
+max(user_id) OVER (PARTITION BY event_type ORDER BY ts) AS highest FROM events""")
+def w1_scan_by_time(spark, folder):
+    """Running values along event times, ties and all, in two passes over ranges."""
+    events = read_table(spark, folder, "events").select("event_id", "event_type", "user_id", "ts")
+    total = scan(events, ["ts"], {"total": F.col("user_id")}, ["event_type"])
+    overall = scan(total, ["ts"], {"overall": F.col("user_id")})
+    before = scan(overall, ["ts", "event_id"], {"before": F.col("user_id")}, ["event_type"], inclusive=False)
+    highest = scan(before, ["ts"], {"highest": F.col("user_id")}, ["event_type"], "max")
+    return highest.select("event_id", "total", "overall", "before", "highest")
 
 
 @query(q.with_(
