@@ -234,6 +234,16 @@ def learn_weights(cells: np.ndarray, tokens: np.ndarray, v: int) -> np.ndarray:
     ])
 
 
+def for_scoring(weights: np.ndarray, n: int) -> np.ndarray:
+    """Weights with which the chances after any context add up to 1: a context that was never seen has no pairs to share
+    out its weight among, and where nothing was learnt no tokens either."""
+    weights = weights.copy()
+    weights[0, 0] = 0
+    if not n:
+        weights[:, :2] = 0
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
 # The whole
 
 
@@ -293,7 +303,7 @@ def score_texts(
         .applyInArrow(_held_out_cells(layout, n), "cell long, tokens long")
         .groupBy("cell").agg(F.sum("tokens").alias("tokens")).toPandas()
     )
-    weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["tokens"].to_numpy(np.float64), v)
+    weights = for_scoring(learn_weights(cells["cell"].to_numpy(np.int64), cells["tokens"].to_numpy(np.float64), v), n)
     scored = dealt.groupBy("block").cogroup(totals.where(F.col("block") >= 0).groupBy("block")).applyInArrow(
         _scores(layout, n, v, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
