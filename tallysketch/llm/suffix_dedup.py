@@ -43,7 +43,8 @@ WINDOWS = (1 << 16) - 1
 FEW = 1_000_000
 #: Parts of one id (rows that repeat it) are this far apart.
 PART = 1 << 32
-NOWHERE = 2 ** 63 - 1
+#: What a null id counts as: the largest.
+LAST = 2 ** 63 - 1
 #: Slots that the rows of a repeated id are numbered in.
 SLOTS = 1 << 16
 
@@ -117,12 +118,10 @@ def _by_bucket(held: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.
     sent = ~shared
     sent[first] = True
     bucket = ((keys[sent] >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     rows = []
     own = (keys[sent], docs[sent], starts[sent], np.where(shared[sent], 0, counts[sent]), sizes[sent])
-    for number, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-        if a < b:
-            rows.append((number, *[packed(c[a:b], k) for c, k in zip(own, ("<u8", "<i8", "<i8", "<i4", "<i4"))]))
+    for number, a, b in _pieces(bucket):
+        rows.append((number, *[packed(c[a:b], k) for c, k in zip(own, ("<u8", "<i8", "<i8", "<i4", "<i4"))]))
     passing = (keys[shared], docs[shared], starts[shared], counts[shared], sizes[shared])
     for a in range(0, int(shared.sum()), BUCKET // 8):
         b = a + BUCKET // 8
@@ -134,6 +133,13 @@ def _by_bucket(held: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.
     )
 
 
+def _pieces(sorted_numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Number, begin and end of each stretch of equal numbers."""
+    if len(sorted_numbers):
+        _, first, last = _groups(sorted_numbers)
+        yield from zip(sorted_numbers[first].tolist(), first.tolist(), last.tolist())
+
+
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted keys: each one's group number, and each group's begin and end."""
     change = np.ones(len(keys), bool)
@@ -165,8 +171,10 @@ def _shared_runs(buckets: int, hot_runs: int) -> Callable[[pa.Table], pa.Table]:
             # One entry in a batch counts for itself; a witness for all entries of its batch.
             total = np.add.reduceat(np.where(counts == 0, sizes, 1), first)
             hot = shared & (total > hot_runs)
+            # A mark of a hot anchor has no document.
+            mark = np.append(np.zeros(int(own.sum()), bool), np.ones(int(hot.sum()), bool))
             return pa.table({
-                "doc": np.concatenate([docs[own], np.full(int(hot.sum()), NOWHERE)]),
+                "doc": pa.array(np.append(docs[own], np.zeros(int(hot.sum()), np.int64)), mask=mark),
                 "start": np.concatenate([starts[own], total[hot]]),
                 "tail": np.concatenate([_tail(keys[own], counts[own]), _tail(keys[first[hot]], 0)]),
             })
@@ -221,13 +229,18 @@ def _earlier(table: pa.Table, length: int) -> pa.Table:
     counts = np.abs(counts)
     sizes = np.where(done, 0, counts + length - 1)
     offsets = np.cumsum(sizes) - sizes
+    # Runs of different batches may be equal too: the later documents' are repeats as a whole.
+    left = np.flatnonzero(~done)
+    codes = span_hashes(BYTE_CODES[data], offsets[left], offsets[left] + sizes[left])
+    done[left] = _later_copies(docs[left], starts[left], sizes[left], offsets[left], codes, data)
     spans = [(docs[done], starts[done], starts[done] + counts[done])]
-    # Anchors that only one run is left of have nothing to be compared with.
-    order = np.argsort(keys, kind="stable")
+    # Anchors that only one document has left have nothing to be compared with.
+    order = np.lexsort((docs, keys))
     order = order[~done[order]]
     if len(order):
         group, first, last = _groups(keys[order])
-        order = order[(last - first)[group] > 1]
+        several = docs[order[first]] != docs[order[last - 1]]
+        order = order[several[group]]
     if len(order):
         number = counts[order]
         within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
@@ -309,28 +322,47 @@ def _cut_runs(part: pa.RecordBatch, hot: np.ndarray, length: int) -> tuple[np.nd
     return docs, starts, counts, keys, codes, text
 
 
+def _spread(places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of stretches that begin at ``places``, one stretch after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(places - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _later_copies(
+    docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, codes: np.ndarray, text: np.ndarray,
+) -> np.ndarray:
+    """Which runs an earlier document among them has byte for byte; equal ``codes`` only say where to look."""
+    order = np.lexsort((starts, docs, sizes, codes))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (codes[order[1:]] != codes[order[:-1]]) | (sizes[order[1:]] != sizes[order[:-1]])
+    leader = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(order) else order
+    later = docs[leader] < docs[order]
+    run, leader = order[later], leader[later]
+    repeat = np.zeros(len(docs), bool)
+    for at in range(0, len(run), 16_384):
+        part = slice(at, at + 16_384)
+        own = sizes[run[part]]
+        differs = text[_spread(places[run[part]], own)] != text[_spread(places[leader[part]], own)]
+        repeat[run[part]] = np.add.reduceat(differs, np.cumsum(own) - own, dtype=np.int64) == 0
+    return repeat
+
+
 def _packed_runs(held: list[tuple[np.ndarray, ...]], buckets: int, length: int) -> pa.RecordBatch:
     docs, starts, counts, keys, codes, text = map(np.concatenate, zip(*held))
     sizes = counts + length - 1
     places = np.cumsum(sizes) - sizes
     # Of equal runs only the earliest document's go on; the others are repeats whatever else there is.
-    order = np.lexsort((starts, docs, codes))
-    group, first, _ = _groups(codes[order])
-    repeat = np.zeros(len(docs), bool)
-    repeat[order] = docs[order][first][group] < docs[order]
+    repeat = _later_copies(docs, starts, sizes, places, codes, text)
     counts, sizes = np.where(repeat, -counts, counts), np.where(repeat, 0, sizes)
     # Repeats need no company: they are dealt by their document.
     dealt = np.where(repeat, mixed(docs.view(np.uint64)), mixed(keys.view(np.uint64)))
     bucket = (dealt >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
     rows = []
-    for number, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if a < b:
-            own = order[a:b]
-            ends = np.cumsum(sizes[own])
-            index = np.repeat(places[own] - (ends - sizes[own]), sizes[own]) + np.arange(ends[-1])
-            rows.append((number, *[packed(c[own], "<i8") for c in (docs, starts, counts, keys)], squeezed(text[index].tobytes())))
+    for number, a, b in _pieces(bucket[order]):
+        own = order[a:b]
+        packs = [packed(c[own], "<i8") for c in (docs, starts, counts, keys)]
+        rows.append((number, *packs, squeezed(text[_spread(places[own], sizes[own])].tobytes())))
     names = ["bucket", *PACKED, "text"]
     return pa.record_batch(
         [pa.array(c, pa.int64() if n == "bucket" else pa.binary()) for n, c in zip(names, zip(*rows))], names
@@ -341,9 +373,9 @@ def _packed_runs(held: list[tuple[np.ndarray, ...]], buckets: int, length: int)
 
 
 def numbered_parts(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``doc, part, text``: rows that share an id are parts of one document; a null id is the last of all documents. And
+    """``doc, part, text``: rows that share an id are parts of one document; a null id counts as the largest there can be. And
     the columns that runs and spans are dealt by: where no id repeats, ``doc`` tells rows apart."""
-    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NOWHERE - 1)))
+    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
     if rows.groupBy("doc").count().where(F.col("count") > 1).isEmpty():
         return rows.select("doc_id", "doc", F.lit(0).alias("part"), "text", "row"), ["doc"]
     # A document's rows are numbered within slots by their text, after the rows of the slots before.
@@ -378,7 +410,7 @@ def repeated_spans(
     with the columns that ``keep`` names in one column ``row``.
 
     Offsets are bytes of the UTF-8 text; spans may overlap and are in no order. Null text is empty and has none. Rows
-    that share an id are parts of one document and don't remove each other's bytes; a null id comes after all others.
+    that share an id are parts of one document and don't remove each other's bytes; a null id counts as 2^63 - 1.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -405,7 +437,7 @@ def repeated_spans(
     )
     found = spark.read.schema("doc long, start long, tail long").parquet(folder)
     # At most HOT_KEYS anchors have more than their share, so this stays small at any size.
-    marks, runs = found.where(F.col("doc") == NOWHERE), found.where(F.col("doc") != NOWHERE)
+    marks, runs = found.where(F.col("doc").isNull()), found.where(F.col("doc").isNotNull())
     share = max(hot_runs, runs.count() // HOT_KEYS)
     hot = np.array([r["tail"] >> 16 for r in marks.where(F.col("start") > share).select("tail").collect()], np.int64)
     listed = runs.withColumn("part", F.expr(f"CAST(start DIV {PART} AS INT)")).groupBy(*keys).agg(
