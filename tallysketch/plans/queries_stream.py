@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.registers import build_registers
+from ..operators.routing import item_turns
 from ..sources.packets import stream_packets
 from ..sources.sinks import write_batch
 from ..sources.tables import read_table
@@ -14,12 +15,13 @@ from ..streaming.registers import (
 )
 from ..streaming.counters import StreamCounters, keep_counted_registers
 from ..streaming.keyed import KeyedWindows
+from ..streaming.merging import keep_merged, merge_streams_by_origin
 from ..streaming.windows import PacketWindows
 from . import sqltext as q
 from .catalog import KEYS_PER_PACKET, PACKETS_SQL, SESSIONS, event_packets, query, rounded
 from .queries_sketch import ESTIMATE, REGISTERS, registers_sql
 from .queries_source import (
-    AT_LEAST, GLOBAL_SIZE, SESSION_SIZE, exploded, tee_payload_sql, tee_result_sql, WALK, window_estimates_sql, WORDS,
+    AT_LEAST, GLOBAL_SIZE, ORIGIN, SESSION_SIZE, TURNS, exploded, origin_table, tee_payload_sql, tee_result_sql, two_inputs, WALK, window_estimates_sql, WORDS,
 )
 
 BATCHES = 4
@@ -296,3 +298,30 @@ def u4_stream_split(spark, folder):
     start(events.writeStream.foreachBatch(route), f"{out}/checkpoint", True).awaitTermination()
     parts = [spark.read.parquet(f"{out}/{str(f).lower()}").withColumn("routed", F.lit(f)) for f in (True, False)]
     return parts[0].unionByName(parts[1]).groupBy("routed").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(f"WITH {TURNS}, {ORIGIN} SELECT position, source, seq, key FROM items JOIN slots USING (source, turn)")
+def u2_stream_merge(spark, folder):
+    """Orders and customers as two streams, merged in the order of a third that event types give, over several batches.
+
+    The three streams run at their own speeds: the k-th batch has the k-th part of each.
+    """
+    first, second = two_inputs(spark, folder)
+    frames = {
+        "origin": item_turns(origin_table(spark, folder), ["source"], "position"),
+        "first": item_turns(first), "second": item_turns(second),
+    }
+    inboxes, out, slack = {}, new_folder(spark, "merged"), 1
+    for name, frame in frames.items():
+        stored = new_folder(spark, name)
+        frame.write.parquet(stored)
+        frames[name] = spark.read.parquet(stored)
+        inboxes[name] = new_folder(spark, f"inbox-{name}")
+    for part in range(BATCHES):
+        for name, frame in frames.items():
+            order = "position" if name == "origin" else "turn"
+            step = F.lit(frame.agg(F.max(order)).first()[0] // BATCHES + 1)
+            frame.where(F.call_function("div", F.col(order), step) == part).write.mode("append").parquet(inboxes[name])
+        streams = [spark.readStream.schema(frames[n].schema).parquet(inboxes[n]) for n in ("origin", "first", "second")]
+        keep_merged(merge_streams_by_origin(*streams, slack), out).awaitTermination()
+    return spark.read.parquet(f"{out}/merged").select("position", "source", "seq", "key")

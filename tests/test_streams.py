@@ -90,3 +90,28 @@ def test_packet_stream_source(spark, tables):
     event_packets(spark, tables).drop("last").write.json(path)
     stream = stream_packets(spark, path, "json", files_per_batch=1)
     assert stream.isStreaming and "payload" in stream.columns
+
+
+def test_streams_merge_as_batches_do_and_forget(spark):
+    """Three streams at different speeds, unordered inside batches; what has met is forgotten."""
+    from tallysketch.operators.routing import item_turns, merge_by_origin
+    from tallysketch.streaming.merging import keep_merged, merge_streams_by_origin
+
+    origin = spark.range(400).select(F.col("id").alias("position"), (F.col("id") % 2).cast("int").alias("source"))
+    first = spark.range(200).select((F.col("id") * 2).alias("seq"), F.lit("f").alias("name"))
+    second = spark.range(210).select(F.col("id").alias("seq"), F.lit("s").alias("name"))
+    frames = [item_turns(origin, ["source"], "position"), item_turns(first), item_turns(second)]
+    inboxes, out = [new_folder(spark, f"inbox{i}") for i in range(3)], new_folder(spark, "out")
+    states = []
+    for part in range(5):
+        for frame, inbox, speed in zip(frames, inboxes, (50, 40, 45)):
+            own = frame.where(F.expr(f"least(turn div {speed}, 4) = {part}"))
+            own.orderBy(F.rand(1)).write.mode("append").parquet(inbox)
+        streams = [spark.readStream.schema(f.schema).parquet(i) for f, i in zip(frames, inboxes)]
+        query = keep_merged(merge_streams_by_origin(*streams, slack=1), out)
+        query.awaitTermination()
+        states.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]))
+    merged = spark.read.parquet(f"{out}/merged").select("position", "source", "seq", "name")
+    batch = merge_by_origin(origin, first, second).select("position", "source", "seq", "name")
+    assert rows(merged) == rows(batch) and len(rows(merged)) > 300
+    assert states[-1] < 300  # of 810 rows that came in
