@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, read
 from .sampling import remainder
-from .text import slices, worker_table
+from .text import give_back, slices, worker_table
 
 #: Symbols learnt from for each language, and the number of texts that they come in.
 REFERENCE, DOCUMENTS = 40_000, 64
@@ -240,16 +240,22 @@ def languages(
                             names[row] = parser.languages[best[row]]
                             scores[row] = 1 - ranked[row, 0] / ranked[row, 1] if ranked.shape[1] > 1 else 1.0
                 yield pa.record_batch(
-                    [part.column(0), *part.columns[2:], pa.array(names, pa.string()), pa.array(scores)], names=out_names
+                    [part.column(0), *[part.column(at) for at in places], pa.array(names, pa.string()), pa.array(scores)],
+                    names=out_names,
                 )
+        give_back()
 
+    kept = [f"__keep_{place}" for place in range(len(keep))]
+    # Where the text is kept, it does not go to the workers twice.
+    held = dict(docs.dtypes).get(text_col) == "string"
+    own = [(new, name) for new, name in zip(kept, keep) if not (held and name == text_col)]
     rows = docs.select(
         F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"),
-        *[F.col(name).alias(f"__keep_{place}") for place, name in enumerate(keep)],
+        *[F.col(name).alias(new) for new, name in own],
     )
-    kept = [f"__keep_{place}" for place in range(len(keep))]
+    places = [1 if held and name == text_col else rows.columns.index(new) for new, name in zip(kept, keep)]
     out_names = ["doc_id", *kept, "lang_pred", "score"]
-    types = dict(rows.dtypes)
+    types = dict(rows.dtypes) | {new: "string" for new, place in zip(kept, places) if place == 1}
     schema = ", ".join(["doc_id long", *[f"{name} {types[name]}" for name in kept], "lang_pred string", "score double"])
     return rows.mapInArrow(work, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..storage import new_folder
 from .catalog import query, read
 from .components import stars
-from .text import flat, mixed, slices, word_bounds, word_hashes, worker_table
+from .text import flat, give_back, mixed, slices, word_bounds, word_hashes, worker_table
 
 SHINGLE = 5
 ROWS = 4
@@ -114,6 +114,7 @@ def _signatures(hashes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(held, pa.binary())],
                     ["doc_id", "n_shingles", "set_key", "signature"],
                 )
+        give_back()
 
     return work
 
@@ -251,6 +252,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 [pa.array([_set_key(own) for own in sets], pa.binary()),
                  pa.array([own.astype("<u8").tobytes() for own in sets], pa.binary())], ["set_key", "shingles"])
+    give_back()
 
 
 class _Rounds:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_folder
 from .catalog import query, read
-from .text import BYTE_CODES, flat, gathered, mixed, packed, released, span_hashes, squeezed, unpacked, worker_table
+from .text import BYTE_CODES, flat, gathered, give_back, mixed, packed, released, span_hashes, squeezed, unpacked, worker_table
 
 GRAM = 16
 LENGTH = 50
@@ -103,6 +103,8 @@ def _anchor_rows(buckets: int, length: int, batch: int) -> Callable[[Iterator[pa
                 held, size = [], 0
         if size:
             yield from _by_bucket(held, buckets)
+        held.clear()
+        give_back()
 
     return work
 
@@ -288,6 +290,8 @@ def _run_bytes(
                 held, size = [], 0
         if size:
             yield _packed_runs(held, buckets, length)
+        held.clear()
+        give_back()
 
     return work
 

@@ -6,6 +6,7 @@ texts count as empty. Words are runs of bytes other than space and 0x09 to 0x0D,
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 from collections.abc import Callable, Iterator
@@ -156,6 +157,15 @@ def unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(released(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the machine: the next operator's workers and the JVM share its memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 _table: dict = {}
 
 
@@ -167,7 +177,7 @@ def worker_table(name: tuple | None, make: Callable[[], object] | None = None) -
     """
     if name not in _table:
         _table.clear()
-        gc.collect()
+        give_back()
         if name is not None:
             _table[name] = make()
     return _table.get(name)
