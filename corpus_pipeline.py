@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
 from tallysketch.llm.exact_dedup import exact_duplicates
 from tallysketch.llm.language import UNKNOWN, languages, reference_texts
 from tallysketch.llm.minhash import FEW, near_duplicates
@@ -17,8 +16,20 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 
 
+#: Rows that go to a Python worker at once: whole texts, so a worker and its JVM hold some megabytes of them, not dozens.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """The session's setting stays as it is where it is lower already."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language: null texts and texts without a letter go."""
+    _bounded_batches(spark)
     texts = reference_texts(docs, F.lit(True), "doc_id", "text", "lang")
     found = languages(docs, texts, keep=tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN)
     return found.select(*[F.col(f"__keep_{place}").alias(name) for place, name in enumerate(docs.columns)])
@@ -31,21 +42,41 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    gone = near_duplicates(docs, 80).where(~F.col("kept")).select("doc_id").distinct()
+    """The row with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Rows are told apart by numbers of their own, so ids may repeat or be missing (a missing one is the largest)."""
+    _bounded_batches(spark)
+    folder = new_folder(spark, "numbered")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    numbered = spark.read.parquet(folder)
+    folder = new_folder(spark, "near-groups")
+    near_duplicates(numbered, 80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id").write.parquet(folder)
+    groups = spark.read.parquet(folder)
+    folder = new_folder(spark, "near-copies")
+    shared = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    members = groups.join(shared, "component_id").join(numbered.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("__none"), "doc_id", "__row")
+    first = members.groupBy("component_id").agg(F.min(order).alias("__first"))
+    members.join(first, "component_id").where(F.col("__row") != F.col("__first.__row")).select("__row").write.parquet(folder)
+    gone = spark.read.parquet(folder)
     gone = F.broadcast(gone) if gone.count() <= FEW else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes and more that a document with a smaller id has; n_chars is counted anew."""
-    found = without_repeats(docs, keep=tuple(docs.columns))
+    _bounded_batches(spark)
+    # The old text and its length don't come along.
+    found = without_repeats(docs, keep=tuple(name for name in docs.columns if name not in ("text", "n_chars")))
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return found.select(*[new.get(name, F.col("row")[name]).alias(name) for name in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All tokens in sequences of 2048."""
+    import public_tokenizers
+
+    _bounded_batches(spark)
     return pack(docs, public_tokenizers.path(TOKENIZER), CAPACITY)
 
 
