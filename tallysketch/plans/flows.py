@@ -12,7 +12,7 @@ from ..operators.estimate import estimate_registers
 from ..operators.registers import build_registers
 from ..operators.running import levels_for
 from ..operators.sketch import approx_distinct
-from ..operators.windows import count_windows, estimate_windows, payload_offsets, run_ids, window_results
+from ..operators.windows import count_windows, estimate_windows, place_packets, run_ids, window_results
 from ..sources.extents import read_extent
 from ..sources.lines import unpack_lines
 from ..sources.sinks import write_result
@@ -47,6 +47,6 @@ def tee_windows(
 ) -> tuple[DataFrame, DataFrame]:
     """Payloads with their offsets, and the result behind each closed window (rule ``'exact'``)."""
     levels = levels_for(packets, "seq")
-    windowed = count_windows(packets, size, by, levels=levels)
-    payload = payload_offsets(windowed, by, levels=levels).select(*by, "window_id", "seq", "offset", "length", "payload")
-    return payload, window_results(windowed, estimate_windows(windowed, p, hash, by), by)
+    placed = place_packets(packets, lambda narrow: count_windows(narrow, size, by, levels=levels), by, levels=levels)
+    payload = placed.select(*by, "window_id", "seq", "offset", "length", "payload")
+    return payload, window_results(placed, estimate_windows(placed, p, hash, by), by)

@@ -8,7 +8,7 @@ from ..operators.reach import reaching_windows
 from ..operators.routing import merge_by_origin, merge_fair, merge_priority, split_packets
 from ..operators.running import levels_for, running
 from ..operators.scan import scan
-from ..operators.windows import count_windows, estimate_windows, payload_offsets, run_ids, running_tuples
+from ..operators.windows import count_windows, estimate_windows, place_packets, run_ids, running_tuples
 from ..sources.extents import read_extent, write_extent
 from ..sources.generators import generated_over, uniform_over
 from ..sources.lines import count_lane_keys, unpack_lines
@@ -208,8 +208,8 @@ def offsets_sql(by):
 def w5_payload_offsets(spark, folder):
     packets = event_packets(spark, folder)
     levels = levels_for(packets, "seq")
-    windowed = count_windows(packets, GLOBAL_SIZE, levels=levels)
-    return payload_offsets(windowed, levels=levels).select("seq", "window_id", "offset")
+    placed = place_packets(packets, lambda narrow: count_windows(narrow, GLOBAL_SIZE, levels=levels), levels=levels)
+    return placed.select("seq", "window_id", "offset")
 
 
 def tee_payload_sql(size, by):

@@ -21,7 +21,7 @@ from ..operators.estimate import estimate_registers
 from ..operators.registers import build_registers, check_p, merge_registers
 from ..operators.reach import reaching_windows
 from ..operators.running import BLOCK_BITS, levels_for
-from ..operators.windows import attach_group_value, count_windows, marked_windows, payload_offsets, window_results
+from ..operators.windows import attach_group_value, count_windows, marked_windows, place_packets, window_results
 from ..sources.sinks import write_batch
 from .registers import start
 
@@ -40,7 +40,8 @@ class PacketWindows:
     non-negative and grow from batch to batch within a group.
 
     ``folder`` receives, per ``batch_id``: ``packets`` (every packet with its window and its offset there), ``result``
-    (one row per closed window, placed right behind its payload), ``registers``, and the state ``counts`` and ``open``.
+    (one row per closed window, placed right behind its payload), ``registers``, the state ``counts`` and ``open``, and the steps
+    ``numbers`` and ``places`` of narrow rows.
     """
 
     folder: str
@@ -78,9 +79,9 @@ class PacketWindows:
         packets = spark.read.parquet(f"{self.folder}/packets").where(F.col("seq") != CARRIED_SEQ)
         return packets.select(*self.by, "window_id", "seq", "offset", "length", "payload")
 
-    def _assign(self, rows: DataFrame, levels: int) -> DataFrame:
+    def _assign(self, rows: DataFrame, levels: int, batch_id: int) -> DataFrame:
         if self.close == "exact":
-            return count_windows(rows, self.size, self.by, self.bits, levels)
+            return count_windows(rows, self.size, self.by, self.bits, levels, lambda df: self._write(df, "numbers", batch_id))
         if self.close == "last":
             return marked_windows(rows, self.by, bits=self.bits, levels=levels)
         return reaching_windows(rows, self.size, self.by, self.bits)
@@ -122,9 +123,11 @@ class PacketWindows:
             F.lit(False).alias("last"), F.lit(None).cast("array<bigint>").alias("payload"),
         )
         levels = levels_for(batch, "seq", self.bits)
-        windowed = self._assign(packets.unionByName(carried), levels)
-        offsets = payload_offsets(windowed, by, self.bits, levels)
-        windowed = self._write(self._numbered(offsets, counts), "packets", batch_id)
+        placed = place_packets(
+            packets.unionByName(carried), lambda narrow: self._assign(narrow, levels, batch_id), by, self.bits, levels,
+            lambda df: self._write(self._numbered(df, counts), "places", batch_id), "last",
+        )
+        windowed = self._write(placed, "packets", batch_id)
 
         keys = windowed.select(*group, "window_closed", F.explode("payload").alias("key"))
         fresh = build_registers(keys, "key", self.p, self.hash, [*group, "window_closed"])

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tallysketch.operators.reach import closing_packets, reaching_windows, summarise
 from tallysketch.operators.registers import build_registers
-from tallysketch.operators.windows import count_windows, estimate_windows, marked_windows, payload_offsets, run_ids
+from tallysketch.operators.windows import (
+    _closed_windows, count_windows, estimate_windows, marked_windows, payload_offsets, place_packets, run_ids,
+)
 from tallysketch.operators.estimate import estimate_registers
 from tallysketch.sources.packets import PACKET_SCHEMA, stream_packets
 from tallysketch.storage import new_folder
@@ -172,3 +174,28 @@ def test_sequence_numbers_must_be_usable(spark, bad):
     for assign in (reaching_windows, count_windows):
         with pytest.raises(Exception, match="unique|NULL"):
             assign(frame, 2, ["session_id"]).collect()
+
+
+@pytest.mark.parametrize("by", [["session_id"], []])
+def test_payloads_are_shuffled_once(spark, by):
+    rows = make_packets(3, 200, 3, [4, 8, 0])
+    frame = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+
+    def assign(narrow):
+        seen.append(set(narrow.columns))
+        return count_windows(narrow, 2, by, bits=3)
+
+    placed = place_packets(frame, assign, by, bits=3)
+    assert seen == [{*by, "seq", "length", "tuples"}]
+    got = placed.select(F.col("session_id") if by else F.lit(None), "window_id", "seq", "offset", "closes").collect()
+    assert sorted((tuple(r) for r in got), key=str) == walk(rows, 2, "exact", bool(by))[0]
+    plan = placed._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan
+
+
+def test_series_of_windows_end_at_the_first_gap(spark):
+    numbers = {"none": [], "late": [2, 3], "gap": [1, 2, 3, 4, 5, 7, 8], "block": list(range(1, 17)) + [21], None: [1, 2, 3, 4, 9]}
+    rows = [(g, n) for g, many in numbers.items() for n in many]
+    closed = _closed_windows(spark.createDataFrame(rows, "g STRING, __number BIGINT"), ["g"], 2)
+    assert {r.g: r["__closed"] for r in closed.collect()} == {"gap": 5, "block": 16, None: 4}
