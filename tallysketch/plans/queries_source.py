@@ -75,6 +75,24 @@ def s6_extent_scan(spark, folder):
     return low.unionByName(high).unionByName(appended).select("part", "address", "key")
 
 
+@query("""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey AS key, max(o_orderkey) OVER () AS top,
+count(*) OVER () AS n FROM orders)
+SELECT CASE WHEN key <= top // 3 THEN 'low' WHEN i < n - n // 4 THEN 'middle' ELSE 'high' END AS part, 4 * i AS address,
+CAST(key AS BIGINT) AS key FROM o""")
+def s6_pruned_scan(spark, folder):
+    """All orders' keys as an extent in key order, read back in three parts that each plan only the steps that can hold their
+    keys; two of them are told apart by address."""
+    orders = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"))
+    top, n = orders.agg(F.coalesce(F.max("key"), F.lit(0)), F.count(F.lit(1))).first()
+    path = new_folder(spark, "extent")
+    write_extent(orders.orderBy("key"), path, step=4096)
+    third, late = top // 3, 4 * (n - n // 4)
+    low = read_extent(spark, path, highest_key=third).withColumn("part", F.lit("low"))
+    middle = read_extent(spark, path, 0, late, lowest_key=third + 1).withColumn("part", F.lit("middle"))
+    high = read_extent(spark, path, late, lowest_key=third + 1).withColumn("part", F.lit("high"))
+    return low.unionByName(middle).unionByName(high).select("part", "address", "key")
+
+
 @query(f"WITH {LINES_SQL} SELECT seq, last, CAST(lane AS INTEGER) AS lane, key, true AS valid FROM lines")
 def s7_unpacked_lanes(spark, folder):
     return unpack_lines(event_lines(spark, folder))

@@ -1,7 +1,9 @@
 """Sources, sinks, routing and running aggregates against plain Python."""
 
 import random
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from tallysketch import approx_distinct
 from tallysketch.operators.routing import merge_by_origin, merge_fair, merge_priority, split_packets
 from tallysketch.operators.running import running
 from tallysketch.plans.flows import estimate_extent, estimate_runs
-from tallysketch.sources.extents import plan_spans, read_extent, write_extent
+from tallysketch.sources.extents import (
+    ExtentReader, KeyRanges, Span, matching_parts, plan_spans, read_extent, write_extent,
+)
 from tallysketch.sources.generators import from_generator, naturals, uniform
 from tallysketch.sources.lines import LINE_SCHEMA, count_lane_keys, pack_lines, unpack_lines
 from tallysketch.sources.packets import pack_packets, read_packets
@@ -139,3 +143,62 @@ def test_routing(spark):
     flags = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "packet BIGINT, dest INT")
     first, second = split_packets(a, flags, 1)
     assert (keys(first, "seq"), keys(second, "seq")) == ([12, 13], [10, 11, 14, 15])
+
+
+def test_key_ranges_do_not_depend_on_batches():
+    keys = np.random.default_rng(1).integers(0, 1 << 32, 1000)
+    whole = KeyRanges(64)
+    whole.add(keys)
+    for sizes in ([1] * 1000, [7] * 143, [16] * 63, [500, 0, 500]):
+        pieces, at = KeyRanges(64), 0
+        for size in sizes:
+            pieces.add(keys[at : at + size])
+            at += size
+        assert pieces.to_bytes() == whole.to_bytes()
+    assert whole.low == [int(keys[i : i + 16].min()) for i in range(0, 1000, 16)]
+    assert whole.high == [int(keys[i : i + 16].max()) for i in range(0, 1000, 16)]
+    assert KeyRanges(64).to_bytes()[8:] == bytes(8)
+
+
+def test_parts_of_a_span_in_wanted_steps():
+    span = Span("f", 24, 100, 1024)
+    wanted = np.array([True, False, True, True, False, False, False, True, True])
+    assert matching_parts(span, 16, wanted) == [Span("f", 32, 32, 1032), Span("f", 112, 12, 1112)]
+    assert matching_parts(span, 16, np.zeros(9, bool)) == []
+    assert matching_parts(span, 16, np.ones(9, bool)) == [span]
+
+
+def test_wanted_keys_choose_what_is_planned(spark):
+    path = new_folder(spark, "extent")
+    write_extent(spark.range(0, 10_000, 1, 4).select(F.col("id").alias("key")), path, step=400)
+    write_extent(spark.range(50, 60).select(F.col("id").alias("key")).coalesce(1), path, step=400)
+
+    def planned(low, high, offset=0, length=None):
+        return [(s.address, s.size) for s in ExtentReader(path, offset, length, 1 << 20, low, high).partitions()]
+
+    assert planned(130, 199) == [(400, 400)]
+    assert planned(55, 55) == [(0, 400), (40_000, 40)]
+    assert planned(99, 100) == [(0, 800), (40_000, 40)][:1]
+    assert planned(130, 199, 500, 100) == [(500, 100)]
+    assert planned(10_000, 1 << 33) == planned(7, 6) == []
+    assert sum(size for _, size in planned(0, 1 << 32)) == 40_040
+
+    extent = read_extent(spark, path, lowest_key=40, highest_key=58)
+    assert extent.count() == 19 + 9
+    # One DataFrame, several filters: each sees all rows.
+    assert extent.where("key = 55").unionByName(extent.where("key <> 55")).count() == 28
+    assert extent.rdd.getNumPartitions() == 2 < read_extent(spark, path).rdd.getNumPartitions()
+    assert read_extent(spark, path, lowest_key=20_000).count() == 0
+    part = read_extent(spark, path, 404, 4000, highest_key=149)
+    assert sorted(tuple(r) for r in part.collect()) == [(4 * i, i) for i in range(101, 150)]
+
+
+def test_files_without_fitting_ranges_are_read_whole(spark):
+    path = new_folder(spark, "extent")
+    write_extent(spark.range(100).select(F.col("id").alias("key")).coalesce(1), path, step=40)
+    (data,) = Path(path.removeprefix("file:")).glob("*.u32")
+    data.write_bytes(np.arange(500, 620, dtype="<u4").tobytes())
+    assert read_extent(spark, path, lowest_key=510, highest_key=510).count() == 1
+    write_extent(spark.range(5).select(F.col("id").alias("key")), path, "overwrite")
+    assert read_extent(spark, path, lowest_key=1).count() == 4
+    assert not data.exists() and not Path(f"{data}.ranges").exists()
