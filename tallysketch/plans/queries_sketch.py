@@ -192,16 +192,33 @@ def a15_groups_without_keys(spark, folder):
         "event_type", "exact", rounded("estimate").alias("estimate"))
 
 
-@query("""SELECT event_type, 14 AS p, 'murmur3_32' AS hash, 0.0e0 AS estimate, count(*) AS rows FROM events GROUP BY event_type""")
+@query(q.with_(*registers_sql("events", "user_id", by="event_type"), q.estimate("regs", 14, "event_type"),
+               "total AS (SELECT bucket, max(rank) AS rank FROM regs GROUP BY bucket)", q.estimate("total", 14, name="whole"),
+               select="""SELECT e.event_type, 14 AS p, 'murmur3_32' AS hash, 0.0e0 AS estimate, count(*) AS rows,
+  count(user_id) AS keys, coalesce(round(any_value(est.estimate), 6), 0) AS merged, 'type' AS level
+FROM events AS e LEFT JOIN est ON e.event_type IS NOT DISTINCT FROM est.event_type GROUP BY e.event_type
+UNION ALL SELECT NULL, 14, 'murmur3_32', 0.0e0, count(*), count(user_id), (SELECT round(estimate, 6) FROM whole), 'total' FROM events"""))
 def x1_empty_sketch(spark, folder):
-    """Sketches of groups that have rows but no key, stored and reloaded."""
+    """Sketches of groups that have rows but no key, stored and reloaded: estimates of 0, by group and rolled up, and a union
+    with the sketches of the users that estimates these."""
     path = new_folder(spark, "empty")
-    events = read_table(spark, folder, "events").withColumn("key", F.lit(None).cast("bigint"))
-    Sketch.build(events, "key", by=["event_type"]).save(path, partition_by=["event_type"])
-    saved = Sketch.load(spark, path)
-    rows = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
-    return saved.estimate().join(rows, "event_type").select(
-        "event_type", F.lit(saved.p).alias("p"), F.lit(saved.hash).alias("hash"), "estimate", "rows")
+    events = read_table(spark, folder, "events")
+    no_keys = events.select("event_type", F.lit(None).cast("bigint").alias("user_id"))
+    Sketch.build(no_keys, "user_id", by=["event_type"]).save(path, partition_by=["event_type"])
+    users = Sketch.build(events, "user_id", by=["event_type"])
+
+    def level(name, by):
+        saved = Sketch.load(spark, path, by)
+        union = saved.merge(users.roll_up(by)).estimate()
+        counts = events.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count("user_id").alias("keys"))
+        # Side by side through a grouping, where a join would lose the group NULL.
+        parts = saved.estimate().select(*by, "estimate").unionByName(counts, True).unionByName(
+            union.select(*by, rounded("estimate").alias("merged")), True)
+        return parts.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("estimate", "rows", "keys", "merged")]).select(
+            (F.col(by[0]) if by else F.lit(None)).cast("string").alias("event_type"), F.lit(saved.p).alias("p"),
+            F.lit(saved.hash).alias("hash"), "estimate", "rows", "keys", "merged", F.lit(name).alias("level"))
+
+    return level("type", ["event_type"]).unionByName(level("total", []))
 
 
 @query(q.with_(*registers_sql("events", "user_id", rows=DAILY), q.estimate("regs", 14), select=f"SELECT {ESTIMATE} FROM est"))

@@ -36,3 +36,16 @@ def test_entry(spark):
 
 def test_every_check_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_empty_sketches_of_odd_groups(spark, tmp_path):
+    rows = [(None, None), (None, 7), ("a", 7), ("a", 8), ("b", None), ("b", None), ("", 9)]
+    spark.createDataFrame(rows, "event_type STRING, user_id LONG").write.parquet(str(tmp_path / "events.parquet"))
+    other = duckdb.connect()
+    other.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    mine = QUERIES["x1_empty_sketch"](spark, str(tmp_path))
+    assert check.compare(mine.toPandas(), other.execute(SQL["x1_empty_sketch"]).df()).startswith("same")
+    found = {(r.level, r.event_type): (r.estimate, r.rows, r.keys, round(r.merged)) for r in mine.collect()}
+    assert found == {
+        ("type", None): (0, 2, 1, 1), ("type", "a"): (0, 2, 2, 2), ("type", "b"): (0, 2, 0, 0), ("type", ""): (0, 1, 1, 1),
+        ("total", None): (0, 7, 4, 3)}
