@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..storage import new_folder
 from .catalog import query, read
 from .markup import AROUND, MAIN, blocks
-from .text import mixed, worker_table
+from .text import mixed, released, squeezed, worker_table
 
 #: Tokens of a repeated substring at least, marks of blocks among them.
 LONG = 12
@@ -114,7 +114,7 @@ def _page_runs(pages: DataFrame, outside: Broadcast | None = None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker_table(("html words",), dict)
-        some = None if outside is None else np.frombuffer(outside.value, np.uint8)
+        some = None if outside is None else np.frombuffer(released(outside.value), np.uint8)
         for batch in batches:
             hosts, names, texts, marks = batch.columns
             marks = marks.to_numpy().view(np.uint64)
@@ -157,7 +157,7 @@ def _filter(found: DataFrame) -> bytes:
     some = np.zeros((FILTER // ROW, ROW // 8), np.uint8)
     for row in rows.toLocalIterator():
         some[row["row"]] = np.frombuffer(row["bits"], np.uint8)
-    return some.tobytes()
+    return squeezed(some.tobytes())
 
 
 def _repeated_windows(rows: list[np.ndarray], *bounds: np.ndarray) -> list[np.ndarray]:
