@@ -1,5 +1,7 @@
 """Every registered query with SQL gives what that SQL gives in another engine."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -49,3 +51,15 @@ def test_empty_sketches_of_odd_groups(spark, tmp_path):
     assert found == {
         ("type", None): (0, 2, 1, 1), ("type", "a"): (0, 2, 2, 2), ("type", "b"): (0, 2, 0, 0), ("type", ""): (0, 1, 1, 1),
         ("total", None): (0, 7, 4, 3)}
+
+
+def test_builtin_counts_keep_sketches_per_flag_only(spark, tmp_path):
+    """Flags without a value stay a group, keys may be missing, and no order key has a sketch of its own."""
+    rows = [(None, 1), (None, 1), (None, 2), ("A", 3), ("A", None), ("", 3), ("", 4), ("", 5)]
+    spark.createDataFrame(rows, "l_returnflag STRING, l_orderkey LONG").write.parquet(str(tmp_path / "lineitem.parquet"))
+    mine = QUERIES["a10_builtin_counts"](spark, str(tmp_path))
+    assert {tuple(r) for r in mine.collect()} == {(None, 2, True, True), ("A", 1, True, True), ("", 3, True, True)}
+    plan = mine._jdf.queryExecution().sparkPlan().toString()
+    per_key = [x for x in plan.splitlines() if re.search(r"Aggregate\(.*keys=\[[^]]*l_orderkey", x)]
+    assert per_key and "hll_sketch_agg" in plan
+    assert not [x for x in per_key if "hll_sketch_agg" in x or "approx_count_distinct" in x]
