@@ -311,17 +311,18 @@ def u2_stream_merge(spark, folder):
         "origin": item_turns(origin_table(spark, folder), ["source"], "position"),
         "first": item_turns(first), "second": item_turns(second),
     }
-    inboxes, out, slack = {}, new_folder(spark, "merged"), 1
+    inboxes, parts, out, slack = {}, {}, new_folder(spark, "merged"), 1
     for name, frame in frames.items():
         stored = new_folder(spark, name)
         frame.write.parquet(stored)
-        frames[name] = spark.read.parquet(stored)
+        frames[name] = frame = spark.read.parquet(stored)
         inboxes[name] = new_folder(spark, f"inbox-{name}")
+        order = "position" if name == "origin" else "turn"
+        step = F.lit(frame.agg(F.max(order)).first()[0] // BATCHES + 1)
+        parts[name] = F.call_function("div", F.col(order), step)
     for part in range(BATCHES):
         for name, frame in frames.items():
-            order = "position" if name == "origin" else "turn"
-            step = F.lit(frame.agg(F.max(order)).first()[0] // BATCHES + 1)
-            frame.where(F.call_function("div", F.col(order), step) == part).write.mode("append").parquet(inboxes[name])
+            frame.where(parts[name] == part).write.mode("append").parquet(inboxes[name])
         streams = [spark.readStream.schema(frames[n].schema).parquet(inboxes[n]) for n in ("origin", "first", "second")]
         keep_merged(merge_streams_by_origin(*streams, slack), out).awaitTermination()
     return spark.read.parquet(f"{out}/merged").select("position", "source", "seq", "key")

@@ -115,3 +115,88 @@ def test_streams_merge_as_batches_do_and_forget(spark):
     batch = merge_by_origin(origin, first, second).select("position", "source", "seq", "name")
     assert rows(merged) == rows(batch) and len(rows(merged)) > 300
     assert states[-1] < 300  # of 810 rows that came in
+
+
+def merged_in_batches(spark, batches, schemas, out, **options):
+    """Each batch holds the rows that every one of the three streams brings; a run for each on one checkpoint."""
+    from tallysketch.streaming.merging import keep_merged, merge_streams_by_origin
+
+    inboxes = [new_folder(spark, f"inbox{i}") for i in range(3)]
+    for batch in batches:
+        for rows_, schema, inbox in zip(batch, schemas, inboxes):
+            spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(inbox)
+        streams = [spark.readStream.schema(schema).parquet(inbox) for schema, inbox in zip(schemas, inboxes)]
+        query = keep_merged(merge_streams_by_origin(*streams, **options), out)
+        query.awaitTermination()
+    return query
+
+
+def test_rows_that_wait_are_packed_in_state(spark):
+    from tallysketch.operators.routing import item_turns, merge_by_origin
+    from tallysketch.streaming.merging import keep_merged, merge_streams_by_origin
+
+    origin = spark.range(9000).select(F.col("id").alias("position"), (F.col("id") % 3 == 0).cast("int").alias("source"))
+    first = spark.range(20000).select((F.col("id") * 2).alias("seq"))
+    second = spark.range(100).select(F.col("id").alias("seq"))
+    frames = [item_turns(origin, ["source"], "position"), item_turns(first), item_turns(second)]
+    inboxes, out = [new_folder(spark, f"inbox{i}") for i in range(3)], new_folder(spark, "out")
+    for part in range(2):
+        for frame, inbox, half in zip(frames, inboxes, (1500, 10000, 50)):
+            frame.where(F.expr(f"least(turn div {half}, 1) = {part}")).write.mode("append").parquet(inbox)
+        streams = [spark.readStream.schema(f.schema).parquet(i) for f, i in zip(frames, inboxes)]
+        query = keep_merged(merge_streams_by_origin(*streams, slack=1), out)
+        query.awaitTermination()
+    merged = spark.read.parquet(f"{out}/merged").select("position", "source", "seq")
+    assert rows(merged) == rows(merge_by_origin(origin, first, second).select("position", "source", "seq"))
+    # 20,000 items and 9,000 entries wait for the second stream: five blocks of the first source, and one of the other.
+    assert sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]) <= 6
+
+
+ODD = [
+    "position LONG, source INT, turn INT",
+    "turn LONG, name STRING, number LONG, part DOUBLE, list ARRAY<LONG>, at TIMESTAMP, raw BINARY",
+]
+
+
+def test_merged_rows_keep_their_values(spark):
+    """Turns that repeat meet every time, across batches and blocks; NULLs, NaN and long numbers stay what they are."""
+    from datetime import datetime
+
+    big, at = 2**53 + 1, datetime(2024, 3, 31, 2, 30)
+    batches = [
+        ([(0, 0, 0), (1, 0, 5), (2, 1, 0), (None, 0, 1), (9, 7, 0), (10, None, 0)],
+         [(0, None, None, None, None, None, None), (5, "f5", big, float("nan"), [big, None], at, b"\xff")],
+         [(0, "s0", 1, -0.0, [], None, b"")]),
+        ([(3, 0, 5), (4, 0, None), (5, 0, 6)],
+         [(1, "f1", -big, 0.5, None, at, None), (5, "again", None, 1.0, [None], None, b"x"), (None, "none", 1, 1.0, [], at, b"")],
+         [(5, "s5", 1, 1.0, [], at, b"")]),
+        ([(6, 0, 1), (7, 1, 5)], [(6, "f6", 2, 2.0, [3], at, b"y")], [(9, "s9", 1, 1.0, [], at, b"")]),
+    ]
+    out, schemas = new_folder(spark, "out"), [ODD[0], ODD[1], ODD[1]]
+    merged_in_batches(spark, batches, schemas, out, bits=1)
+    whole = [spark.createDataFrame(sum((b[i] for b in batches), []), schemas[i]) for i in range(3)]
+    names = ["position", "source", *whole[1].columns[1:]]
+    expected = [
+        whole[0].where(F.col("source") == s).join(whole[s + 1], "turn").select(*names) for s in (0, 1)]
+    merged = spark.read.parquet(f"{out}/merged").select(*names)
+    assert [repr(r) for r in rows_by_text(merged)] == [repr(r) for r in rows_by_text(expected[0].unionByName(expected[1]))]
+    assert merged.count() == 10
+
+
+def rows_by_text(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_merged_rows_that_come_late_are_dropped(spark):
+    schemas = ["position LONG, source INT, turn LONG", "seq LONG, turn LONG", "seq LONG, turn LONG"]
+    turns = range(10)
+    batches = [
+        ([(t, 0, t) for t in turns] + [(10 + t, 1, t) for t in turns], [(t, t) for t in turns if t not in (3, 9)],
+         [(t, t) for t in turns]),
+        # Turn 3 is too late and so is the new entry for turn 4; turn 9 is not.
+        ([(30, 0, 4), (31, 0, 10)], [(3, 3), (9, 9), (10, 10)], [(10, 10)]),
+    ]
+    out = new_folder(spark, "out")
+    merged_in_batches(spark, batches, schemas, out, slack=1, bits=2)
+    got = rows(spark.read.parquet(f"{out}/merged").select("position", "source", "seq"))
+    assert got == sorted([(t, 0, t) for t in turns if t != 3] + [(10 + t, 1, t) for t in turns] + [(31, 0, 10)])
