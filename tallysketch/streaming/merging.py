@@ -111,34 +111,41 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[pa.Array, pa.A
         done = end
 
 
+def _after(table: pa.Table, reached: int) -> pa.Table:
+    """The rows whose time a watermark has not reached."""
+    return table.filter(pa.array(_turns(table) + 1 > reached))
+
+
 def _concat(*tables: pa.Table | None) -> pa.Table | None:
     tables = [t for t in tables if t is not None]
     return pa.concat_tables(tables).combine_chunks() if tables else None
 
 
-def _meet(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What meets in one block in this batch; what the watermark has not reached stays, met or not."""
-    # pandas is what the API hands over: a packed table in each row.
-    come = [(named, _unpacked(rows)) for frame in frames for named, rows in zip(frame["__named"], frame["__rows"])]
-    new_named, new_items = (_concat(*[rows for named, rows in come if named == side]) for side in (True, False))
-    held = state.get if state.exists else (None, None)
-    old_named, old_items = (None if rows is None else _unpacked(bytes(rows)) for rows in held)
-    named, items = _concat(old_named, new_named), _concat(old_items, new_items)
-    for left, right in ((new_named, items), (old_named, new_items)):
-        for a, b in _pairs(_turns(left), _turns(right)):
-            met, other = (t.drop_columns(["__turn"]).take(places).columns for t, places in ((left, a), (right, b)))
-            columns = [*met, pa.array(np.full(len(a), key[0]), pa.int32()), *other]
-            yield pd.DataFrame({"rows": [_packed(pa.table(columns, [str(i) for i in range(len(columns))]))]})
-    # Times are whole seconds, one more than the turn.
-    reached = state.getCurrentWatermarkMs() // 1000
-    kept = [None if t is None else t.filter(pa.array(_turns(t) + 1 > reached)) for t in (named, items)]
-    kept = [t if t is not None and len(t) else None for t in kept]
-    left = [int(_turns(t).min()) for t in kept if t is not None]
-    if left:
-        state.update(tuple(None if t is None else _packed(t) for t in kept))
-        state.setTimeoutTimestamp((min(left) + 1) * 1000 - 1)
-    elif state.exists:
-        state.remove()
+def _meeting(bits: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def meet(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """What meets in one block in this batch; what the watermark has not reached stays, met or not."""
+        *held, late = state.get if state.exists else (None, None, 0)
+        # pandas is what the API hands over: a packed table in each row. Some rows of a block may be late where others aren't.
+        come = [(named, _after(_unpacked(rows), late)) for frame in frames for named, rows in zip(frame["__named"], frame["__rows"])]
+        new_named, new_items = (_concat(*[rows for named, rows in come if named == side]) for side in (True, False))
+        old_named, old_items = (None if rows is None else _unpacked(bytes(rows)) for rows in held)
+        named, items = _concat(old_named, new_named), _concat(old_items, new_items)
+        for left, right in ((new_named, items), (old_named, new_items)):
+            for a, b in _pairs(_turns(left), _turns(right)):
+                met, other = (t.drop_columns(["__turn"]).take(places).columns for t, places in ((left, a), (right, b)))
+                columns = [*met, pa.array(np.full(len(a), key[0]), pa.int32()), *other]
+                yield pd.DataFrame({"rows": [_packed(pa.table(columns, [str(i) for i in range(len(columns))]))]})
+        # Times are whole seconds, one more than the turn.
+        reached, block = int(state.getCurrentWatermarkMs()) // 1000, int(key[1])
+        if reached < (block + 1) << bits:
+            kept = [None if t is None else _after(t, reached) for t in (named, items)]
+            state.update((*[_packed(t) if t is not None and len(t) else None for t in kept], reached))
+            # Called again when the watermark goes on inside the block.
+            state.setTimeoutTimestamp(max(reached * 1000, ((block << bits) + 1) * 1000 - 1))
+        elif state.exists:
+            state.remove()
+
+    return meet
 
 
 def _unpacking(names: Sequence[str]) -> Callable[[Batches], Batches]:
@@ -167,7 +174,7 @@ def merge_streams_by_origin(
     a larger one has, in an earlier batch; what comes later is dropped. Rows with a NULL turn or another source meet nothing.
     Append mode; the result can go on to any sink. A task holds ``2**bits`` turns of both sides at once: fewer bits suit wide rows.
 
-    An item and an entry that both come too late, in one batch, to a block that the watermark has not passed as a whole may meet.
+    An item and an entry that both come too late, in one batch, may meet if they are the first rows of their block.
     """
     columns = [c for c in first.columns if c != "turn"]
     turn = F.col("turn").cast("bigint").alias("__turn")
@@ -189,7 +196,7 @@ def merge_streams_by_origin(
             packed = _timed(rows.mapInArrow(_packing(side, bits), schema), "__last", slack)
             blocks = packed if blocks is None else blocks.union(packed)
     met = blocks.groupBy("__source", "__block").applyInPandasWithState(
-        _meet, "rows BINARY", "named BINARY, items BINARY", "append", GroupStateTimeout.EventTimeTimeout)
+        _meeting(bits), "rows BINARY", "named BINARY, items BINARY, reached BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
     names = ["position", "source", *columns]
     return met.mapInArrow(_unpacking(names), T.StructType([T.StructField(c, kinds[c]) for c in names]))
 

@@ -193,10 +193,11 @@ def test_merged_rows_that_come_late_are_dropped(spark):
     batches = [
         ([(t, 0, t) for t in turns] + [(10 + t, 1, t) for t in turns], [(t, t) for t in turns if t not in (3, 9)],
          [(t, t) for t in turns]),
-        # Turn 3 is too late and so is the new entry for turn 4; turn 9 is not.
-        ([(30, 0, 4), (31, 0, 10)], [(3, 3), (9, 9), (10, 10)], [(10, 10)]),
+        # Turns 3, 4 and 5 are too late, 5 on both sides; turn 7 and those after it are not, so 7 meets all that is held.
+        ([(30, 0, 4), (31, 0, 10), (32, 0, 5), (33, 0, 7)], [(3, 3), (9, 9), (10, 10), (55, 5), (77, 7)], [(10, 10)]),
     ]
     out = new_folder(spark, "out")
     merged_in_batches(spark, batches, schemas, out, slack=1, bits=2)
     got = rows(spark.read.parquet(f"{out}/merged").select("position", "source", "seq"))
-    assert got == sorted([(t, 0, t) for t in turns if t != 3] + [(10 + t, 1, t) for t in turns] + [(31, 0, 10)])
+    more = [(31, 0, 10), (33, 0, 7), (33, 0, 77), (7, 0, 77)]
+    assert got == sorted([(t, 0, t) for t in turns if t != 3] + [(10 + t, 1, t) for t in turns] + more)
