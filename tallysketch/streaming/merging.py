@@ -113,7 +113,8 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[pa.Array, pa.A
 
 def _after(table: pa.Table, reached: int) -> pa.Table:
     """The rows whose time a watermark has not reached."""
-    return table.filter(pa.array(_turns(table) + 1 > reached))
+    ahead = _turns(table) + 1 > reached
+    return table if ahead.all() else table.filter(pa.array(ahead))
 
 
 def _concat(*tables: pa.Table | None) -> pa.Table | None:
